@@ -109,10 +109,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         request_key(base64_text(F.col("text").cast("binary")), F.lit("m1"), F.col("lang")).alias("key"))
 
 
-def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+def memory(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
     """F-REQ: keys already answered, those of the labelled documents."""
     known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"))
-    return requests(spark, sf_dir).join(known, "ord", "left_semi").select("key").distinct()
+    return requests.join(known, "ord", "left_semi").select("key").distinct()
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

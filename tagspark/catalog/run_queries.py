@@ -13,7 +13,7 @@ from tagspark.functions.text import run_id
 from tagspark.operators import memory as mem
 from tagspark.operators import results, runs
 from tagspark.plans.reports import run_report
-from tagspark.session import fresh_path
+from tagspark.session import fresh_path, written
 from tagspark.sources import records, stores
 from tagspark.sources.sheet import read_sheet
 
@@ -123,7 +123,8 @@ SPLIT = """
 
 @query(sql(SPLIT + "SELECT ord, source, source <> 'scorer' AS cached FROM split", "requests"))
 def memory_split(spark, sf_dir):
-    return mem.split_requests(A.requests(spark, sf_dir), A.memory(spark, sf_dir)).select("ord", "source", "cached")
+    requests = written(A.requests(spark, sf_dir), "requests")
+    return mem.split_requests(requests, A.memory(spark, sf_dir, requests)).select("ord", "source", "cached")
 
 
 @query(sql(SPLIT + """
@@ -131,8 +132,9 @@ SELECT count(*) FILTER (source <> 'scorer') AS hits, count(*) FILTER (source = '
   100 * (count(*) FILTER (source <> 'scorer') / count(*)) AS reused_percent,
   (SELECT count(*) FROM memory) + count(*) FILTER (source = 'scorer') AS entries FROM split""", "requests"))
 def memory_summary(spark, sf_dir):
-    known = A.memory(spark, sf_dir)
-    return mem.memory_summary(mem.split_requests(A.requests(spark, sf_dir), known), known)
+    requests = written(A.requests(spark, sf_dir), "requests")
+    known = A.memory(spark, sf_dir, requests)
+    return mem.memory_summary(mem.split_requests(requests, known), known)
 
 
 @query("""

@@ -8,13 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagspark import fixed
-from tagspark.functions.text import SPACE, blank, lines, normalise, strip
+from tagspark.functions.text import SPACE, blank, let, lines, normalise, strip
 
 _GAP = rf"[{SPACE}]"
 _INK = rf"[^{SPACE}]"
 # fixed values: the shapes of a reason line and of a detail line
 _REASON = (rf"(?sU)\A{_GAP}*(?:[-*\u2022]{_GAP}*)?(?:\d+[.)]{_GAP}*)?"
            rf"([A-Za-z][A-Za-z &']{{1,30}}?){_GAP}*[-\u2013:]{_GAP}+({_INK}.*)\z")
+# Cheap necessary test: starts like a reason, and has a separator further on.
+_MAY_REASON = rf"(?sU)\A[{SPACE}\-*\u2022\d.)]*+[A-Za-z][A-Za-z &']+{_GAP}*[-\u2013:]{_GAP}"
 _DETAIL = (rf"(?siU)\A{_GAP}*\**{_GAP}*(category|model|description|specs)"
            rf"{_GAP}*\**{_GAP}*:{_GAP}*({_INK}.*)\z")
 
@@ -26,21 +28,22 @@ def tag_array(text: Column) -> Column:
     an empty array, never an error.
     """
     bare = F.regexp_replace(blank(text), "```(?:json)?", "")
-    span = F.regexp_extract(bare, r"(?s)\[.*?\]", 0)
-    values = F.try_variant_get(F.try_parse_json(span), "$", "array<variant>")
 
-    def written(value: Column) -> Column:
-        kind = F.schema_of_variant(value)
-        as_text = F.try_variant_get(value, "$", "string")
-        return (
-            F.when(kind == "BOOLEAN", F.initcap(as_text))
-            .when((kind == "DOUBLE") | (kind.startswith("DECIMAL") & ~kind.endswith(",0)")),
-                  F.try_variant_get(value, "$", "double").cast("string"))
-            .otherwise(as_text)
-        )
+    def read(span: Column) -> Column:
+        def written(value: Column, at: Column) -> Column:
+            kind = F.schema_of_variant(value)
+            # A variant forgets how a number was written, so its text is read again.
+            digits = F.get(F.from_json(span, "array<string>"), at)
+            number = F.when(digits.rlike("[.eE]"), digits.try_cast("double").cast("string")).otherwise(digits)
+            return (F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+                    .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(value, "$", "string")))
+                    .when(~kind.rlike(r"\A(OBJECT|ARRAY|VOID)"), number))
 
-    kept = F.filter(values, lambda v: ~F.schema_of_variant(v).rlike(r"\A(OBJECT|ARRAY|VOID)"))
-    return F.coalesce(F.transform(kept, written), F.array().cast("array<string>"))
+        values = F.try_variant_get(F.try_parse_json(F.nullif(span, F.lit(""))), "$", "array<variant>")
+        return F.coalesce(
+            F.array_compact(F.transform(values, written)), F.array().cast("array<string>"))
+
+    return let(F.regexp_extract(bare, r"(?s)\[.*?\]", 0), read)
 
 
 def clean_reason(text: Column) -> Column:
@@ -56,11 +59,10 @@ def clean_detail(text: Column) -> Column:
 
 
 def _first_per_tag(entries: Column) -> Column:
-    names = F.transform(entries, lambda e: e["tag"])
-    return F.map_from_entries(F.transform(
+    return let(F.transform(entries, lambda e: e["tag"]), lambda names: F.map_from_entries(F.transform(
         F.array_distinct(names),
-        lambda n: F.struct(n.alias("key"), F.element_at(entries, F.array_position(names, n).cast("int"))["why"].alias("value")),
-    ))
+        lambda n: F.struct(
+            n.alias("key"), F.get(entries, F.array_position(names, n).cast("int") - 1)["why"].alias("value")))))
 
 
 def reasons(text: Column, vocabulary: Sequence[str]) -> Column:
@@ -72,47 +74,41 @@ def reasons(text: Column, vocabulary: Sequence[str]) -> Column:
     def parts(line: Column) -> Column:
         return F.struct(
             normalise(F.regexp_extract(line, _REASON, 1)).alias("tag"),
-            clean_reason(F.regexp_extract(line, _REASON, 2)).alias("why"),
-        )
+            clean_reason(F.regexp_extract(line, _REASON, 2)).alias("why"))
+
+    def with_nested(reason: Column) -> Column:
+        return let(parts(reason["why"]), lambda inner: F.when(
+            inner["tag"].isin(list(vocabulary)), F.array(reason, inner)).otherwise(F.array(reason)))
 
-    reason_lines = F.filter(lines(blank(text)), lambda s: ~s.rlike(rf"(?U)\A{_GAP}*\["))
     found = F.filter(
-        F.transform(reason_lines, parts),
-        lambda r: (r["tag"] != "") & ~r["tag"].isin(fixed.DETAIL_LABELS),
-    )
-    both = F.flatten(F.transform(found, lambda r: F.filter(
-        F.array(F.struct(r["tag"].alias("tag"), r["why"].alias("why"), F.lit(False).alias("nested")),
-                F.struct(parts(r["why"])["tag"].alias("tag"), parts(r["why"])["why"].alias("why"),
-                         F.lit(True).alias("nested"))),
-        lambda e: ~e["nested"] | e["tag"].isin(list(vocabulary)),
-    )))
-    return _first_per_tag(both)
+        F.transform(
+            F.filter(lines(blank(text)), lambda s: s.rlike(_MAY_REASON)), parts),
+        lambda r: (r["tag"] != "") & ~r["tag"].isin(fixed.DETAIL_LABELS))
+    return let(F.flatten(F.transform(found, with_nested)), _first_per_tag)
 
 
 def details(text: Column) -> Column:
     """S-8: struct of the labelled facts, NULL where the answer states none."""
     found = F.filter(
-        F.transform(lines(blank(text)), lambda s: F.struct(
-            F.lower(F.regexp_extract(s, _DETAIL, 1)).alias("label"),
-            clean_detail(F.regexp_extract(s, _DETAIL, 2)).alias("value"),
-        )),
-        lambda d: (d["label"] != "") & d["value"].isNotNull(),
-    )
+        F.transform(
+            F.filter(lines(blank(text)), lambda s: s.rlike(_DETAIL)),
+            lambda s: F.struct(
+                F.lower(F.regexp_extract(s, _DETAIL, 1)).alias("label"),
+                clean_detail(F.regexp_extract(s, _DETAIL, 2)).alias("value"))),
+        lambda d: d["value"].isNotNull())
 
-    def first(label: str) -> Column:
-        return F.get(F.filter(found, lambda d: d["label"] == label), F.lit(0))["value"]
+    def first(stated: Column, label: str) -> Column:
+        return F.get(F.filter(stated, lambda d: d["label"] == label), F.lit(0))["value"].alias(label)
 
-    return F.struct(*[first(label).alias(label) for label in fixed.DETAIL_LABELS])
+    return let(found, lambda stated: F.struct(*[first(stated, label) for label in fixed.DETAIL_LABELS]))
 
 
 def prediction(text: Column, vocabulary: Sequence[str]) -> Column:
     """A whole answer as one struct; what is missing is blank, never an error."""
-    facts = details(text)
-    return F.struct(
+    return let(details(text), lambda facts: F.struct(
         tag_array(text).alias("tags"),
         reasons(text, vocabulary).alias("reasons"),
         blank(facts["category"]).alias("category"),
         blank(facts["model"]).alias("product"),
         blank(facts["description"]).alias("description"),
-        blank(facts["specs"]).alias("specs"),
-    )
+        blank(facts["specs"]).alias("specs")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagspark import fixed
-from tagspark.functions.text import SPACE, basename, blank, normalise, strip
+from tagspark.functions.text import SPACE, basename, blank, let, normalise, strip
 
 _ONE = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
 _TWO = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
@@ -20,16 +20,18 @@ _LIST = rf"(?s)\A\[{_GAP}(?:{_WORD}(?:{_GAP},{_GAP}{_WORD})*+{_GAP},?{_GAP})?\]\
 
 def path_parts(path: Column) -> Column:
     """Folder and file names of a path, with `.` and `..` resolved."""
-    named = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
-    resolved = F.aggregate(
-        named,
-        F.array().cast("array<string>"),
-        lambda kept, p: F.when(
-            (p == "..") & (F.size(kept) > 0) & ~F.try_element_at(kept, F.lit(-1)).eqNullSafe(F.lit("..")),
-            F.slice(kept, 1, F.size(kept) - 1),
-        ).otherwise(F.concat(kept, F.array(p))),
-    )
-    return F.when(F.array_contains(named, ".."), resolved).otherwise(named)
+    def resolved(named: Column) -> Column:
+        return F.aggregate(
+            named,
+            F.array().cast("array<string>"),
+            lambda kept, p: F.when(
+                (p == "..") & (F.size(kept) > 0) & ~F.try_element_at(kept, F.lit(-1)).eqNullSafe(F.lit("..")),
+                F.slice(kept, 1, F.size(kept) - 1),
+            ).otherwise(F.concat(kept, F.array(p))))
+
+    return let(
+        F.filter(F.split(path, "/"), lambda p: ~p.isin("", ".")),
+        lambda named: F.when(F.array_contains(named, ".."), resolved(named)).otherwise(named))
 
 
 def category_and_model(path: Column, known: Sequence[str] = tuple(fixed.KNOWN_CATEGORIES)) -> Column:
@@ -38,18 +40,15 @@ def category_and_model(path: Column, known: Sequence[str] = tuple(fixed.KNOWN_CA
     The two are found separately: when the last known folder holds the file
     itself, the model named under an earlier known folder stands.
     """
-    parts = path_parts(path)
-    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    places = F.filter(
-        F.transform(folders, lambda p, i: F.when(F.lower(p).isin(list(known)), i)),
-        lambda i: i.isNotNull(),
-    )
-    last = F.array_max(places)
-    last_with_child = F.array_max(F.filter(places, lambda i: i + 1 < F.size(folders)))
-    return F.struct(
-        F.get(folders, last).alias("category"),
-        F.get(folders, last_with_child + 1).alias("model"),
-    )
+    def read(folders: Column) -> Column:
+        places = F.filter(
+            F.transform(folders, lambda p, i: F.when(F.lower(p).isin(list(known)), i)), lambda i: i.isNotNull())
+        return let(F.struct(places.alias("places"), F.size(folders).alias("n")), lambda at: F.struct(
+            F.get(folders, F.array_max(at["places"])).alias("category"),
+            F.get(folders, F.array_max(F.filter(at["places"], lambda i: i + 1 < at["n"])) + 1).alias("model")))
+
+    return let(
+        let(path_parts(path), lambda parts: F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))), read)
 
 
 def describe(category: Column, model: Column) -> Column:
@@ -62,26 +61,21 @@ def describe(category: Column, model: Column) -> Column:
 
 
 def context_from_path(path: Column, known: Sequence[str] = tuple(fixed.KNOWN_CATEGORIES)) -> Column:
-    found = category_and_model(path, known)
-    return describe(found["category"], found["model"])
+    return let(category_and_model(path, known), lambda found: describe(found["category"], found["model"]))
 
 
 def split_context(context: Column) -> Column:
     """S-5: struct of category and model read back from a context; last wins."""
-    facts = F.transform(F.split(blank(context), ","), strip)
-
-    def last_value(label: str) -> Column:
+    def last_value(facts: Column, label: str) -> Column:
         named = F.filter(facts, lambda p: F.lower(p).startswith(label))
         return blank(strip(F.substring(F.try_element_at(named, F.lit(-1)), len(label) + 1, 1 << 30)))
 
-    return F.struct(last_value("category:").alias("category"), last_value("model:").alias("model"))
+    return let(F.transform(F.split(blank(context), ","), strip), lambda facts: F.struct(
+        last_value(facts, "category:").alias("category"), last_value(facts, "model:").alias("model")))
 
 
 def tags_from_name(path: Column) -> Column:
     """S-3: tags from a file name holding a bracketed list of quoted words."""
-    span = F.regexp_extract(basename(path), r"(?s)\[.*\]", 0)
-    words = F.regexp_extract_all(span, F.lit(f"(?s){_WORD}"), 0)
-
     def plain(word: Column) -> Column:
         quoted = F.regexp_extract_all(word, F.lit(f"(?s){_QUOTED}"), 0)
         pieces = F.transform(
@@ -90,8 +84,12 @@ def tags_from_name(path: Column) -> Column:
         )
         return F.when(F.size(quoted) > 0, F.array_join(pieces, "")).otherwise(word)
 
-    return F.when(span.rlike(_LIST), F.transform(words, lambda w: normalise(plain(w)))).otherwise(
-        F.array().cast("array<string>"))
+    def listed(span: Column) -> Column:
+        words = F.regexp_extract_all(span, F.lit(f"(?s){_WORD}"), 0)
+        return F.when(span.rlike(_LIST), F.transform(words, lambda w: normalise(plain(w)))).otherwise(
+            F.array().cast("array<string>"))
+
+    return let(F.regexp_extract(basename(path), r"(?s)\[.*\]", 0), listed)
 
 
 def carousel_position(path: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagspark import fixed
-from tagspark.functions.text import normalise
+from tagspark.functions.text import let, normalise
 
 
 def text_array(values: Sequence[str]) -> Column:
@@ -92,16 +92,19 @@ def warnings(tags: Column, reasons: Column, attempts: Column) -> Column:
 
 def confidence(tags: Column, reasons: Column, attempts: Column) -> Column:
     """S-18: struct of verdict and why."""
-    found = warnings(tags, reasons, attempts)
     untagged = F.coalesce(F.size(tags), F.lit(0)) <= 0
-    verdict = (F.when(untagged, fixed.VERDICTS["none"])
-               .when(F.size(found) == 0, fixed.VERDICTS["clean"])
-               .when(F.size(found) == 1, fixed.VERDICTS["one"])
-               .otherwise(fixed.VERDICTS["more"]))
-    why = (F.when(untagged, fixed.WARNING_TEXTS["untagged"])
-           .when(F.size(found) == 0, fixed.WARNING_TEXTS["clean"])
-           .otherwise(F.array_join(found, ", ")))
-    return F.struct(verdict.alias("verdict"), why.alias("why"))
+
+    def judged(found: Column) -> Column:
+        verdict = (F.when(untagged, fixed.VERDICTS["none"])
+                   .when(F.size(found) == 0, fixed.VERDICTS["clean"])
+                   .when(F.size(found) == 1, fixed.VERDICTS["one"])
+                   .otherwise(fixed.VERDICTS["more"]))
+        why = (F.when(untagged, fixed.WARNING_TEXTS["untagged"])
+               .when(F.size(found) == 0, fixed.WARNING_TEXTS["clean"])
+               .otherwise(F.array_join(found, ", ")))
+        return F.struct(verdict.alias("verdict"), why.alias("why"))
+
+    return let(warnings(tags, reasons, attempts), judged)
 
 
 def is_transient(status: Column, error_type: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ _FLOAT = (rf"\A[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})"
           rf"(?:[eE][+-]?{_DIGITS})?\z")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, with `value` worked out once however often it is used.
+
+    A Column used twice is evaluated twice, and once per element inside a
+    lambda; an array of one element makes it a lambda variable instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise(tag: Column) -> Column:
     """S-1: lower case, every run of white space one space, none at the ends."""
     return F.trim(F.regexp_replace(F.lower(tag), _SPACES, " "))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagspark import fixed
+from tagspark.functions.text import let
 from tagspark.operators.keyed import HOT_ROWS, SALTS, lookup
 
 Rules = Mapping[str, Sequence[str]]
@@ -23,6 +24,17 @@ def rule_pattern(keywords: Sequence[str]) -> str:
     return r"(?U)(?<!\w)(?:" + "|".join(_quoted(k) for k in keywords) + ")"
 
 
+def _supports(text: Column, keywords: Sequence[str]) -> Column:
+    """Does the lower-case text hold a keyword at the start of a word?
+
+    Plain containment is far cheaper than the pattern and rules most texts out.
+    """
+    held = F.lit(False)
+    for keyword in keywords:
+        held = held | F.contains(text, F.lit(keyword))
+    return held & text.rlike(rule_pattern(keywords))
+
+
 def _earned(hits: Mapping[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(hit, tag) for tag, hit in hits.items()])).cast("array<string>")
 
@@ -31,8 +43,8 @@ def tags_from_results(results: Column, rules: Rules = fixed.EVIDENCE_RULES) -> C
     """S-9: tags one search answer earns; its texts are read as one."""
     read = F.lower(F.array_join(F.transform(
         results, lambda r: F.concat_ws(" ", r["title"], r["snippet"])), " "))
-    return _earned({tag: F.coalesce(read.rlike(rule_pattern(words)), F.lit(False))
-                    for tag, words in rules.items()})
+    return let(read, lambda text: _earned(
+        {tag: F.coalesce(_supports(text, words), F.lit(False)) for tag, words in rules.items()}))
 
 
 def tags_by_entity(evidence: DataFrame, entity: str = "entity", rules: Rules = fixed.EVIDENCE_RULES) -> DataFrame:
@@ -41,10 +53,10 @@ def tags_by_entity(evidence: DataFrame, entity: str = "entity", rules: Rules = f
     Each row is tested by itself and the outcomes are combined, so texts are
     neither shuffled nor gathered; a phrase split over two rows is not seen.
     """
-    read = F.lower(F.concat_ws(" ", "title", "snippet"))
-    flags = [F.bool_or(read.rlike(rule_pattern(words))).alias(f"_r{i}")
+    read = evidence.select(entity, F.lower(F.concat_ws(" ", "title", "snippet")).alias("_text"))
+    flags = [F.bool_or(_supports(F.col("_text"), words)).alias(f"_r{i}")
              for i, words in enumerate(rules.values())]
-    return (evidence.groupBy(entity).agg(*flags)
+    return (read.groupBy(entity).agg(*flags)
             .select(entity, _earned({tag: F.col(f"_r{i}") for i, tag in enumerate(rules)}).alias("tags")))
 
 
@@ -65,9 +77,11 @@ def find_evidence(queries: DataFrame, corpus: DataFrame, row_id: str = "query",
         F.transform(F.sequence(F.lit(1), size - n + 1),
                     lambda at: F.substring(F.lower("query"), at, n))
     ).otherwise(F.array().cast("array<string>")))))
+    # explode_outer: a plain explode makes Spark filter on the array first, and
+    # that filter would be worked out on every row below the queries.
     probes = (queries.select("query", lengths.alias("_lengths"))
               .select("query", parts.alias("_parts"))
-              .select("query", F.explode("_parts").alias("key")))
+              .select("query", F.explode_outer("_parts").alias("key")))
     best = (lookup(probes, entries, ["key"], F.col(row_id), hot_rows, salts)
             .filter(F.col("_entry").isNotNull())
             .groupBy("query").agg(F.min_by("_entry", F.col("_entry.ord")).alias("_best")))

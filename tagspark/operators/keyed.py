@@ -31,6 +31,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFram
     return _one_per_key(df, keys, order, F.min_by)
 
 
+def key_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key, as `_n`."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: Column,
            hot_rows: int = HOT_ROWS, salts: int = SALTS, heat: DataFrame | None = None) -> DataFrame:
     """Left join to a side that is unique on `keys`, safe for hot keys.
@@ -42,13 +47,13 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: Colum
     and are spread as well. All other keys join as usual, and Spark is free to
     broadcast a `right` it measures as small.
 
-    `heat` is a table to count the keys of `left` on when that is cheaper than
-    computing `left` twice; it decides balance alone, never the result.
+    `heat` gives the rows per key (see key_sizes) when that is known more
+    cheaply than by computing `left` twice; it decides balance alone, never
+    the result.
     """
-    counted = left if heat is None else heat
+    sizes = key_sizes(left, keys) if heat is None else heat
     hot = F.broadcast(
-        counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows).select(*keys, F.lit(salts).cast("bigint").alias("_salts")))
+        sizes.filter(F.col("_n") > hot_rows).select(*keys, F.lit(salts).cast("bigint").alias("_salts")))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()

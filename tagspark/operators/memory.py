@@ -16,12 +16,13 @@ def split_requests(requests: DataFrame, memory: DataFrame, order: str = "ord",
     `source` is `memory` for a key already remembered, `batch` for a repeat of
     an earlier request of this batch, `scorer` for the first of its key. Keys
     are made distinct before they meet the memory, so a request copied over a
-    third of the batch costs one probe.
+    third of the batch costs one probe. `requests` is read more than once: pass
+    it written out when its keys are costly to compute.
     """
-    heads = requests.groupBy("key").agg(F.min(order).alias("_head"))
+    heads = requests.groupBy("key").agg(F.min(order).alias("_head"), F.count(F.lit(1)).alias("_n"))
     known = memory.select("key").distinct().withColumn("_known", F.lit(True))
-    heads = heads.join(known, "key", "left")
-    return (lookup(requests, heads, ["key"], F.col(order), hot_rows, salts)
+    answers = heads.drop("_n").join(known, "key", "left")
+    return (lookup(requests, answers, ["key"], F.col(order), hot_rows, salts, heat=heads.select("key", "_n"))
             .withColumn("source", F.when(F.col("_known"), "memory")
                         .when(F.col(order) == F.col("_head"), "scorer").otherwise("batch"))
             .withColumn("cached", F.col("source") != "scorer")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tagspark.functions.paths import describe, tags_from_name
 from tagspark.functions.text import basename, blank, filled, strict_number, strip
-from tagspark.operators.keyed import HOT_ROWS, SALTS, first_per_key, last_per_key, lookup
+from tagspark.operators.keyed import HOT_ROWS, SALTS, first_per_key, key_sizes, last_per_key, lookup
 from tagspark.operators.order_stats import medians
+from tagspark.session import written
 
 
 def _folded(text: Column) -> Column:
@@ -38,7 +39,7 @@ def join_two_tier(results: DataFrame, metadata: DataFrame, row_id: str = "ord",
         "_name": basename(F.col("path")), "_file": strip(basename(F.col("path"))),
     })
     tier_one = lookup(keyed, by_key, ["_category", "_product", "_file"], F.col(row_id), hot_rows, salts)
-    tier_two = lookup(tier_one, by_name, ["_name"], F.col(row_id), hot_rows, salts, heat=keyed)
+    tier_two = lookup(tier_one, by_name, ["_name"], F.col(row_id), hot_rows, salts, heat=key_sizes(keyed, ["_name"]))
     meta = F.coalesce("_by_key", "_by_name")
     own = [c for c in results.columns if c not in extra]
     return (tier_two.filter(meta.isNotNull())
@@ -67,10 +68,10 @@ def product_medians(metadata: DataFrame, dedupe_by_file: bool = True) -> DataFra
     trimmed, upper-case product.
     """
     sheet = by_file(metadata) if dedupe_by_file else metadata.withColumn("first_ord", F.col("ord"))
-    rows = (sheet.select(
+    rows = written(sheet.select(
         F.upper(strip(blank(F.col("product")))).alias("product_key"), "category", "first_ord",
         strict_number(F.col("price")).alias("price"), strict_number(F.col("views")).alias("views"))
-        .filter(F.col("product_key") != ""))
+        .filter(F.col("product_key") != ""), "products")
     heads = rows.groupBy("product_key").agg(
         F.min_by("category", "first_ord").alias("category"), F.count(F.lit(1)).alias("images"))
     return (heads

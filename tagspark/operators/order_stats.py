@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tagspark.session import written
+
 # Groups with more distinct values than this are cut into RANGES ranges. At
 # most values / LARGE groups are large, which bounds the broadcast of cuts.
 LARGE = 4_000_000
@@ -38,51 +40,68 @@ def nearest_rank(percent: float) -> Rank:
 
 
 def counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows per (group, value); NULL values are left out."""
-    return (df.filter(F.col(value).isNotNull())
-            .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count")))
+    """Rows per (group, value), written out; NULL values are left out."""
+    return written(
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count")), "counts")
 
 
 def values_at_ranks(counts: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank],
                     large: int = LARGE, ranges: int = RANGES) -> DataFrame:
     """One row per group: its size `_n` and the value at every named rank.
 
-    `counts` is what `counted` returns: unique on (group, value), with `_count`.
+    `counts` is what `counted` returns: unique on (group, value), with
+    `_count`. It is read several times, so it should be a written table. Its
+    number of rows (read from the file footers) bounds every group: up to
+    `large` no group needs cutting.
     """
     keys = list(keys)
+    if counts.count() <= large:
+        return _at_ranks(counts, None, keys, value, ranks)
+    placed = _in_ranges(counts, keys, value, large, ranges)
+    sizes = placed.groupBy(*keys, "_range").agg(F.sum("_count").alias("_size"))
+    return _at_ranks(placed, sizes, keys, value, ranks)
+
+
+def _in_ranges(counts: DataFrame, keys: list[str], value: str, large: int, ranges: int) -> DataFrame:
+    """Add `_range`: values of a large group by approximate quantiles, else 0."""
     shares = [i / ranges for i in range(1, ranges)]
     cuts = F.broadcast(
         counts.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_d"), F.percentile_approx(value, shares, 10_000).alias("_cuts"))
         .filter(F.col("_d") > large).select(*keys, "_cuts"))
-    placed = (
-        counts.join(cuts, keys, "left")
-        .withColumn("_range", F.coalesce(
-            F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(0)))
-        .drop("_cuts"))
-
-    # At most `ranges` rows per group from here to `wanted`.
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        placed.groupBy(*keys, "_range").agg(F.sum("_count").alias("_size"))
-        .withColumn("_n", F.sum("_size").over(group))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))))
+    return (counts.join(cuts, keys, "left")
+            .withColumn("_range", F.coalesce(
+                F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(0)))
+            .drop("_cuts"))
+
+
+def _at_ranks(placed: DataFrame, sizes: DataFrame | None, keys: list[str], value: str,
+              ranks: Mapping[str, Rank]) -> DataFrame:
     targets = F.array(*[
         F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("bigint").alias("rank"))
         for name, rank in ranks.items()])
-    wanted = (
-        sizes.withColumn("_targets", F.filter(
-            targets, lambda t: (t["rank"] > F.col("_before")) & (t["rank"] <= F.col("_before") + F.col("_size"))))
-        .filter(F.size("_targets") > 0)
-        .select(*keys, "_range", "_n", "_before", "_targets"))
 
-    upto = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    def between(low: Column, high: Column) -> Column:
+        return F.filter("_targets", lambda t: (t["rank"] > low) & (t["rank"] <= high))
+
+    if sizes is None:
+        wanted = (placed.withColumn("_n", F.sum("_count").over(Window.partitionBy(*keys)))
+                  .withColumns({"_targets": targets, "_before": F.lit(0)}))
+    else:
+        # At most one row per range of a group in these windows.
+        group = Window.partitionBy(*keys)
+        before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        held = (sizes.withColumn("_n", F.sum("_size").over(group))
+                .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+                .withColumn("_targets", targets)
+                .withColumn("_targets", between(F.col("_before"), F.col("_before") + F.col("_size")))
+                .filter(F.size("_targets") > 0).drop("_size"))
+        wanted = placed.join(held, [*keys, "_range"])
+    parts = keys if sizes is None else [*keys, "_range"]
+    upto = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        placed.join(wanted, [*keys, "_range"])
-        .withColumn("_upto", F.col("_before") + F.sum("_count").over(upto))
-        .withColumn("_hits", F.filter(
-            "_targets", lambda t: (t["rank"] <= F.col("_upto")) & (t["rank"] > F.col("_upto") - F.col("_count"))))
+        wanted.withColumn("_upto", F.col("_before") + F.sum("_count").over(upto))
+        .withColumn("_hits", between(F.col("_upto") - F.col("_count"), F.col("_upto")))
         .filter(F.size("_hits") > 0)
         .withColumn("_names", F.transform("_hits", lambda t: t["name"])))
     return found.groupBy(*keys).agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagspark import fixed
 from tagspark.functions.tags import confidence
 from tagspark.functions.text import basename, blank, display_number, filled, strip
-from tagspark.operators.keyed import HOT_ROWS, SALTS, last_per_key, lookup
+from tagspark.operators.keyed import HOT_ROWS, SALTS, key_sizes, last_per_key, lookup
 from tagspark.operators.metadata import product_medians
 
 
@@ -34,7 +34,7 @@ def with_metadata(rows: DataFrame, metadata: DataFrame, row_id: str = "image_pat
              # The product decides only where the file is unknown.
              .withColumn("product_key", F.when(F.col("_by_file").isNull(), product_key)))
     found = lookup(found, products, ["product_key"], F.col(row_id), hot_rows, salts,
-                   heat=rows.select(product_key.alias("product_key")))
+                   heat=key_sizes(rows.select(product_key.alias("product_key")), ["product_key"]))
 
     def extra(name: str):
         return F.when(F.col("_by_file"), F.col(f"_f_{name}")).otherwise(F.col(f"_p_{name}"))

@@ -42,14 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tagspark/{name}-{uuid.uuid4().hex}"
+    run = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/tagspark/{run}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
-    Used where a plan must not be computed twice (an expensive or
-    non-deterministic step) and must survive the loss of an executor.
+    Used where several branches of a plan read one costly table, which Spark
+    would compute once per branch, and where a step must not run twice because
+    it is expensive or not deterministic. The table survives lost executors and
+    ends the lineage. All tables of one application share a folder, which can
+    be deleted when its results have been read.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
