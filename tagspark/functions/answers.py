@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagspark import fixed
-from tagspark.functions.text import SPACE, blank, let, lines, normalise, strip
+from tagspark.functions.text import SPACE, blank, let, lines, normalise, one_of, strip
 
 _GAP = rf"[{SPACE}]"
 _INK = rf"[^{SPACE}]"
@@ -54,7 +54,7 @@ def clean_reason(text: Column) -> Column:
 def clean_detail(text: Column) -> Column:
     """S-22: a detail without emphasis marks; NULL when it says there is none."""
     value = strip(F.trim(strip(text), F.lit("*")))
-    nothing = F.rtrim(F.lower(value), F.lit(".")).isin(fixed.NOTHING_WORDS)
+    nothing = one_of(F.rtrim(F.lower(value), F.lit(".")), fixed.NOTHING_WORDS)
     return F.when(~nothing, F.substring(value, 1, fixed.DETAIL_CHARS))
 
 
@@ -78,12 +78,12 @@ def reasons(text: Column, vocabulary: Sequence[str]) -> Column:
 
     def with_nested(reason: Column) -> Column:
         return let(parts(reason["why"]), lambda inner: F.when(
-            inner["tag"].isin(list(vocabulary)), F.array(reason, inner)).otherwise(F.array(reason)))
+            one_of(inner["tag"], vocabulary), F.array(reason, inner)).otherwise(F.array(reason)))
 
     found = F.filter(
         F.transform(
             F.filter(lines(blank(text)), lambda s: s.rlike(_MAY_REASON)), parts),
-        lambda r: (r["tag"] != "") & ~r["tag"].isin(fixed.DETAIL_LABELS))
+        lambda r: (r["tag"] != "") & ~one_of(r["tag"], fixed.DETAIL_LABELS))
     return let(F.flatten(F.transform(found, with_nested)), _first_per_tag)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagspark import fixed
-from tagspark.functions.text import SPACE, basename, blank, let, normalise, strip
+from tagspark.functions.text import SPACE, basename, blank, let, normalise, one_of, strip
 
 _ONE = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
 _TWO = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
@@ -42,7 +42,7 @@ def category_and_model(path: Column, known: Sequence[str] = tuple(fixed.KNOWN_CA
     """
     def read(folders: Column) -> Column:
         places = F.filter(
-            F.transform(folders, lambda p, i: F.when(F.lower(p).isin(list(known)), i)), lambda i: i.isNotNull())
+            F.transform(folders, lambda p, i: F.when(one_of(F.lower(p), known), i)), lambda i: i.isNotNull())
         return let(F.struct(places.alias("places"), F.size(folders).alias("n")), lambda at: F.struct(
             F.get(folders, F.array_max(at["places"])).alias("category"),
             F.get(folders, F.array_max(F.filter(at["places"], lambda i: i + 1 < at["n"])) + 1).alias("model")))

@@ -8,27 +8,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagspark import fixed
-from tagspark.functions.text import let, normalise
-
-
-def text_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+from tagspark.functions.text import let, normalise, one_of
 
 
 def kept_tags(raw: Column, vocabulary: Sequence[str]) -> Column:
     """PRJ-1: normalised tags inside the vocabulary, each once, in order."""
     return F.array_distinct(
-        F.filter(F.transform(raw, normalise), lambda t: t.isin(list(vocabulary))))
+        F.filter(F.transform(raw, normalise), lambda t: one_of(t, vocabulary)))
 
 
 def dropped_tags(raw: Column, vocabulary: Sequence[str]) -> Column:
     """PRJ-1: tags outside the vocabulary, as spelled, repeats and all."""
-    return F.filter(raw, lambda t: ~normalise(t).isin(list(vocabulary)))
+    return F.filter(raw, lambda t: ~one_of(normalise(t), vocabulary))
 
 
 def highlights(tags: Column, family: Sequence[str]) -> Column:
     """PRJ-2: the tags that belong to one family, as spelled and in order."""
-    return F.filter(tags, lambda t: normalise(t).isin(list(family)))
+    return F.filter(tags, lambda t: one_of(normalise(t), family))
 
 
 def reasons_for(kept: Column, why: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +26,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def text_array(values: Sequence[str]) -> Column:
+    """A constant array of texts, made from one literal and folded by Spark."""
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def one_of(text: Column, values: Sequence[str]) -> Column:
+    """Is the text among `values`?"""
+    return F.array_contains(text_array(values), text)
+
+
 def normalise(tag: Column) -> Column:
     """S-1: lower case, every run of white space one space, none at the ends."""
     return F.trim(F.regexp_replace(F.lower(tag), _SPACES, " "))
