@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tagspark import fixed
 from tagspark.functions.tags import jaccard
 from tagspark.functions.text import basename
-from tagspark.operators.keyed import HOT_ROWS, SALTS, last_per_key, lookup
+from tagspark.operators.keyed import HOT_ROWS, last_per_key, lookup
 
 
 def compare_passes(first: DataFrame, second: DataFrame, row_id: str = "ord",
-                   hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """JN-3, SET-3: both answers per path and their agreement.
 
     A path the second pass answers twice counts with its last answer; a path
@@ -21,7 +21,7 @@ def compare_passes(first: DataFrame, second: DataFrame, row_id: str = "ord",
     other = (last_per_key(second.select("path", "tags", row_id), ["path"], F.col(row_id))
              .select("path", F.col("tags").alias("second")))
     return (lookup(first.select("path", row_id, F.col("tags").alias("first")), other, ["path"],
-                   F.col(row_id), hot_rows, salts)
+                   F.col(row_id), hot_rows)
             .filter(F.col("second").isNotNull())
             .select(row_id, "path", basename(F.col("path")).alias("image"), "first", "second",
                     jaccard(F.col("first"), F.col("second")).alias("agreement")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagspark import fixed
 from tagspark.functions.text import let
-from tagspark.operators.keyed import HOT_ROWS, SALTS, lookup
+from tagspark.operators.keyed import HOT_ROWS, lookup
 
 Rules = Mapping[str, Sequence[str]]
 
@@ -61,7 +61,7 @@ def tags_by_entity(evidence: DataFrame, entity: str = "entity", rules: Rules = f
 
 
 def find_evidence(queries: DataFrame, corpus: DataFrame, row_id: str = "query",
-                  hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """JN-9: the first corpus entry whose key is part of the query, as `results`.
 
     `queries` has one row per distinct `query`, `corpus` has `key`, `ord` and
@@ -82,7 +82,7 @@ def find_evidence(queries: DataFrame, corpus: DataFrame, row_id: str = "query",
     probes = (queries.select("query", lengths.alias("_lengths"))
               .select("query", parts.alias("_parts"))
               .select("query", F.explode_outer("_parts").alias("key")))
-    best = (lookup(probes, entries, ["key"], F.col(row_id), hot_rows, salts)
+    best = (lookup(probes, entries, ["key"], F.col(row_id), hot_rows)
             .filter(F.col("_entry").isNotNull())
             .groupBy("query").agg(F.min_by("_entry", F.col("_entry.ord")).alias("_best")))
     return (queries.join(best, "query", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagspark.functions.images import base64_text, media_type
+
 
 def draw(labelled: DataFrame, limit: int, seed: int | None = None) -> DataFrame:
     """SL-3, SL-4: the first `limit` examples by path, or by a seeded order.
@@ -19,8 +21,8 @@ def draw(labelled: DataFrame, limit: int, seed: int | None = None) -> DataFrame:
 def _pool(labelled: DataFrame, count: int, seed: int | None) -> Column:
     """The first examples in their order, as one array in a one-row subquery."""
     key = F.lit(0) if seed is None else F.xxhash64(F.lit(seed), "path")
-    carried = [F.col("truth").alias("tags")] + [
-        F.col(c) for c in ("content_b64", "media_type") if c in labelled.columns]
+    content = [base64_text(F.col("content")).alias("content_b64"), media_type(F.col("content")).alias("media_type")]
+    carried = [F.col("truth").alias("tags"), *(content if "content" in labelled.columns else [])]
     ordered = F.array_sort(F.collect_list(F.struct(key.alias("k"), "path", *carried)))
     return (draw(labelled, count, seed)
             .agg(F.transform(ordered, lambda e: e.dropFields("k")).alias("pool"))

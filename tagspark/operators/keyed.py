@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is spread over SALTS tasks. At most
-# rows / HOT_ROWS keys can be hot, which bounds the broadcast list of them.
+# A key with more rows than this is split into parts of about this many rows.
+# At most rows / HOT_ROWS keys can be hot, which bounds the broadcast list of
+# them, and their look-up rows are repeated at most rows / HOT_ROWS times in all.
 HOT_ROWS = 1_000_000
-SALTS = 64
+# Rows without a key match nothing; they are spread over this many parts.
+KEYLESS_PARTS = 1 << 20
 
 
 def _one_per_key(df: DataFrame, keys: Sequence[str], order: Column, pick) -> DataFrame:
@@ -37,15 +39,16 @@ def key_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: Column,
-           hot_rows: int = HOT_ROWS, salts: int = SALTS, heat: DataFrame | None = None) -> DataFrame:
+           hot_rows: int = HOT_ROWS, heat: DataFrame | None = None) -> DataFrame:
     """Left join to a side that is unique on `keys`, safe for hot keys.
 
     Rows of a key that `left` repeats more than `hot_rows` times are spread by
     the hash of `row_id` (a column that differs between rows, so that the
-    spread is the same when a task is run again); only for those keys the row
-    of `right` is repeated once per salt. Rows with a NULL key match nothing
-    and are spread as well. All other keys join as usual, and Spark is free to
-    broadcast a `right` it measures as small.
+    spread is the same when a task is run again) over as many parts as they
+    fill; only for those keys the row of `right` is repeated once per part.
+    Rows with a NULL key match nothing and are spread as well. All other keys
+    join as usual, and Spark is free to broadcast a `right` it measures as
+    small.
 
     `heat` gives the rows per key (see key_sizes) when that is known more
     cheaply than by computing `left` twice; it decides balance alone, never
@@ -53,14 +56,15 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: Colum
     """
     sizes = key_sizes(left, keys) if heat is None else heat
     hot = F.broadcast(
-        sizes.filter(F.col("_n") > hot_rows).select(*keys, F.lit(salts).cast("bigint").alias("_salts")))
+        sizes.filter(F.col("_n") > hot_rows)
+        .select(*keys, F.ceil(F.col("_n") / max(hot_rows, 1)).alias("_salts")))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
     spread = (
         left.withColumn("_hash", F.xxhash64(row_id))
         .join(hot, list(keys), "left")
-        .withColumn("_salt", F.pmod("_hash", F.when(no_key, salts).otherwise(F.coalesce("_salts", F.lit(1)))))
+        .withColumn("_salt", F.pmod("_hash", F.when(no_key, KEYLESS_PARTS).otherwise(F.coalesce("_salts", F.lit(1)))))
         .drop("_hash", "_salts"))
     repeated = (
         right.join(hot, list(keys), "left")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagspark.functions.tags import ratio
-from tagspark.operators.keyed import HOT_ROWS, SALTS, lookup
+from tagspark.operators.keyed import HOT_ROWS, lookup
 
 
 def split_requests(requests: DataFrame, memory: DataFrame, order: str = "ord",
-                   hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """JN-2, WN-5: where each request's answer comes from.
 
     `source` is `memory` for a key already remembered, `batch` for a repeat of
@@ -22,7 +22,7 @@ def split_requests(requests: DataFrame, memory: DataFrame, order: str = "ord",
     heads = requests.groupBy("key").agg(F.min(order).alias("_head"), F.count(F.lit(1)).alias("_n"))
     known = memory.select("key").distinct().withColumn("_known", F.lit(True))
     answers = heads.drop("_n").join(known, "key", "left")
-    return (lookup(requests, answers, ["key"], F.col(order), hot_rows, salts, heat=heads.select("key", "_n"))
+    return (lookup(requests, answers, ["key"], F.col(order), hot_rows, heat=heads.select("key", "_n"))
             .withColumn("source", F.when(F.col("_known"), "memory")
                         .when(F.col(order) == F.col("_head"), "scorer").otherwise("batch"))
             .withColumn("cached", F.col("source") != "scorer")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagspark.functions.paths import describe, tags_from_name
 from tagspark.functions.text import basename, blank, filled, strict_number, strip
-from tagspark.operators.keyed import HOT_ROWS, SALTS, first_per_key, key_sizes, last_per_key, lookup
+from tagspark.operators.keyed import HOT_ROWS, first_per_key, key_sizes, last_per_key, lookup
 from tagspark.operators.order_stats import medians
 from tagspark.session import written
 
@@ -17,7 +17,7 @@ def _folded(text: Column) -> Column:
 
 
 def join_two_tier(results: DataFrame, metadata: DataFrame, row_id: str = "ord",
-                  hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """JN-1: match on (category, model, file), else on file name alone.
 
     In the first tier the last sheet row of a key wins, in the second the
@@ -38,8 +38,8 @@ def join_two_tier(results: DataFrame, metadata: DataFrame, row_id: str = "ord",
         "_category": _folded(F.col("category")), "_product": _folded(F.col("model")),
         "_name": basename(F.col("path")), "_file": strip(basename(F.col("path"))),
     })
-    tier_one = lookup(keyed, by_key, ["_category", "_product", "_file"], F.col(row_id), hot_rows, salts)
-    tier_two = lookup(tier_one, by_name, ["_name"], F.col(row_id), hot_rows, salts, heat=key_sizes(keyed, ["_name"]))
+    tier_one = lookup(keyed, by_key, ["_category", "_product", "_file"], F.col(row_id), hot_rows)
+    tier_two = lookup(tier_one, by_name, ["_name"], F.col(row_id), hot_rows, heat=key_sizes(keyed, ["_name"]))
     meta = F.coalesce("_by_key", "_by_name")
     own = [c for c in results.columns if c not in extra]
     return (tier_two.filter(meta.isNotNull())
@@ -81,12 +81,12 @@ def product_medians(metadata: DataFrame, dedupe_by_file: bool = True) -> DataFra
 
 
 def contexts_from_metadata(items: DataFrame, metadata: DataFrame, row_id: str = "ord",
-                           hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                           hot_rows: int = HOT_ROWS) -> DataFrame:
     """JN-8: `context` of each item from the sheet row of its file; last row wins."""
     known = last_per_key(
         metadata.select("file", "ord", "category", "product"), ["file"], F.col("ord")
     ).select("file", F.col("category").alias("_category"), F.col("product").alias("_product"))
     keyed = items.withColumn("file", basename(F.col("path")))
-    return (lookup(keyed, known, ["file"], F.col(row_id), hot_rows, salts)
+    return (lookup(keyed, known, ["file"], F.col(row_id), hot_rows)
             .withColumn("context", describe(filled(F.col("_category")), filled(F.col("_product"))))
             .select(*items.columns, "context"))

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from tagspark import fixed
 from tagspark.functions.tags import confidence
 from tagspark.functions.text import basename, blank, display_number, filled, strip
-from tagspark.operators.keyed import HOT_ROWS, SALTS, key_sizes, last_per_key, lookup
+from tagspark.operators.keyed import HOT_ROWS, key_sizes, last_per_key, lookup
 from tagspark.operators.metadata import product_medians
 
 
 def with_metadata(rows: DataFrame, metadata: DataFrame, row_id: str = "image_path",
-                  hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """JN-7: add what the sheet knows, by file, else by the product's medians.
 
     `from_product` marks rows that found their numbers through the product.
@@ -29,11 +29,11 @@ def with_metadata(rows: DataFrame, metadata: DataFrame, row_id: str = "image_pat
                         *[F.col(c).cast("string").alias(f"_p_{c}") for c in ("category", "price", "views")]))
     product_key = F.upper(strip(filled(F.col("product"))))
     found = (lookup(rows.withColumn("image_name", basename(F.col("image_path"))), files, ["image_name"],
-                    F.col(row_id), hot_rows, salts)
+                    F.col(row_id), hot_rows)
              .withColumn("product", F.coalesce(filled(F.col("product")), F.col("_f_product"), F.lit("")))
              # The product decides only where the file is unknown.
              .withColumn("product_key", F.when(F.col("_by_file").isNull(), product_key)))
-    found = lookup(found, products, ["product_key"], F.col(row_id), hot_rows, salts,
+    found = lookup(found, products, ["product_key"], F.col(row_id), hot_rows,
                    heat=key_sizes(rows.select(product_key.alias("product_key")), ["product_key"]))
 
     def extra(name: str):

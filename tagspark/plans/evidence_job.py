@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagspark import fixed
 from tagspark.functions.paths import lookup_query
 from tagspark.operators.evidence import Rules, find_evidence, tags_from_results
+from tagspark.session import written
 
 
 def proposals(contexts: DataFrame, corpus: DataFrame, rules: Rules = fixed.EVIDENCE_RULES,
@@ -16,8 +17,9 @@ def proposals(contexts: DataFrame, corpus: DataFrame, rules: Rules = fixed.EVIDE
 
     Many items share a product, so each context is looked up once.
     """
-    asked = (contexts.select("context").filter(F.coalesce("context", F.lit("")) != "").distinct()
-             .withColumn("query", lookup_query(F.col("context"), brand)))
+    asked = written(
+        contexts.select("context").filter(F.coalesce("context", F.lit("")) != "").distinct()
+        .withColumn("query", lookup_query(F.col("context"), brand)), "contexts")
     answered = find_evidence(asked.select("query").distinct(), corpus)
     return (asked.join(answered, "query", "left")
             .select("context", F.coalesce(

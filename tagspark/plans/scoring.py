@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 # The scorer and this module travel to the executors with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ANSWER = ("path string, key string, text string, tags array<string>, reasons map<string, string>, "
+ANSWER = ("path string, key string, context string, text string, tags array<string>, reasons map<string, string>, "
           "category string, product string, description string, specs string, "
           "input_tokens bigint, output_tokens bigint, ms double, error string")
 _FIELDS = ("text", "tags", "reasons", "category", "product", "description", "specs",
@@ -36,7 +36,8 @@ def ask(requests: DataFrame, scorer: Callable[[], Any]) -> DataFrame:
     `requests` has path, key, content_b64, media_type, context, examples and
     feedback. `scorer()` is called once per task and gives an object with
     `predict` (image, media type, context, examples, feedback) or the plainer
-    `predict_tags` (without feedback). An answer may be a raw text, a tag list,
+    `predict_tags` (without feedback). Requests carry whole images; Spark bounds
+    an Arrow batch in bytes (`spark.sql.execution.arrow.maxBytesPerBatch`). An answer may be a raw text, a tag list,
     or an object or dict with any of the answer's fields.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,9 +57,9 @@ def ask(requests: DataFrame, scorer: Callable[[], Any]) -> DataFrame:
                     row.update(_as_fields(answer))
                 except Exception as exc:  # one bad item must not end the run
                     row["error"] = f"{type(exc).__name__}: {exc}"
-                row.update(path=r.path, key=r.key, ms=(time.perf_counter() - started) * 1000)
+                row.update(path=r.path, key=r.key, context=r.context, ms=(time.perf_counter() - started) * 1000)
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=["path", "key", *_FIELDS, "ms", "error"]).astype(
+            yield pd.DataFrame(rows, columns=["path", "key", "context", *_FIELDS, "ms", "error"]).astype(
                 {"input_tokens": "Int64", "output_tokens": "Int64"})
 
     return requests.select(

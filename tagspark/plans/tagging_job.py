@@ -108,15 +108,17 @@ def tag_items(items: DataFrame, scorer: Callable[[], Any], *, model_id: str,
         proposals(requests, corpus, rules, brand), "proposals")
 
     def look(todo: DataFrame, attempt: int) -> DataFrame:
-        sent = (source.select("path", "content", "examples").join(todo, "path")
-                .select("path", "key", "context", "examples", "feedback",
-                        base64_text(F.col("content")).alias("content_b64"),
-                        media_type(F.col("content")).alias("media_type")))
+        # Without a memory the first look is at everything: no join, no shuffle
+        # of the images. Otherwise only what is asked about is sent.
+        everything = memory is None and attempt == 1
+        sent = (source.withColumn("key", F.col("path")).withColumn("feedback", F.lit(None).cast("string"))
+                if everything else source.drop("context").join(todo, "path"))
+        sent = sent.select(
+            "path", "key", "context", "examples", "feedback",
+            base64_text(F.col("content")).alias("content_b64"), media_type(F.col("content")).alias("media_type"))
         if tasks:
             sent = sent.repartition(tasks, "path")
-        answers = written(ask(sent, scorer), f"answers-{attempt}")
-        return (answers.join(todo.select("path", "context"), "path")
-                .withColumn("attempts", F.lit(attempt)))
+        return written(ask(sent, scorer), f"answers-{attempt}").withColumn("attempts", F.lit(attempt))
 
     answers = look(work.withColumn("feedback", F.lit(None).cast("string")), 1)
     calls = [answers]

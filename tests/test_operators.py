@@ -12,7 +12,7 @@ from tagspark.operators import (
     tagging)
 from tagspark.sources.vocabulary import allowed_tags
 
-HOT = {"hot_rows": 3, "salts": 4}  # every key met more than three times is hot
+HOT = {"hot_rows": 3}  # every key met more than three times is hot
 
 
 def rows_of(df):
@@ -308,7 +308,7 @@ def test_evidence_by_entity(spark):
     assert got == {"x": ["awards", "benchmark"], "y": []}
 
 
-@pytest.mark.parametrize("hot", [{}, {"hot_rows": 0, "salts": 3}])
+@pytest.mark.parametrize("hot", [{}, {"hot_rows": 0}])
 def test_find_evidence(spark, hot):
     corpus = spark.createDataFrame([("wh-1", 2, "a"), ("xr", 1, "b"), ("wh-10", 0, "c"), ("", 9, "any"), ("X", 0, "never")],
                                    "key string, ord int, url string").select("key", "ord", F.array(F.struct("url")).alias("results"))
