@@ -38,19 +38,24 @@ def _path() -> Column:
     return F.concat(F.lit("catalog/"), "p_type", F.lit("/"), "p_brand", F.lit("/"), "p_name", F.lit(".jpg"))
 
 
-def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-TAG: labelled items with raw answers and predictions."""
-    part = table(spark, sf_dir, "part")
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-TAG without predictions: labelled items with raw answers."""
     words = F.split("p_name", " ")
-    base = part.select(
+    base = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("ord"), _path().alias("path"), F.concat("p_name", F.lit(".jpg")).alias("file"),
         F.col("p_type").alias("category"), F.col("p_brand").alias("product"), words.alias("truth"))
-    total = part.agg(F.count(F.lit(1)).alias("n")).scalar()
-    shifted = part.select(
-        F.pmod(F.col("p_partkey") - 1 + total, total).alias("ord"), words.alias("pred"))
     first, second = F.get("truth", F.lit(0)), F.get("truth", F.lit(1))
     raw = F.array(F.upper(first), F.concat(F.lit("  "), second, F.lit(" ")), first, F.col("category"))
-    return base.withColumn("raw", raw).join(shifted, "ord")
+    return base.withColumn("raw", raw)
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-TAG: items with the truth of the next one as their prediction."""
+    part = table(spark, sf_dir, "part")
+    total = part.agg(F.count(F.lit(1)).alias("n")).scalar()
+    shifted = part.select(
+        F.pmod(F.col("p_partkey") - 1 + total, total).alias("ord"), F.split("p_name", " ").alias("pred"))
+    return items(spark, sf_dir).join(shifted, "ord")
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

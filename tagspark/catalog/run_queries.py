@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tagspark.catalog import adapters as A
@@ -12,7 +14,7 @@ from tagspark.functions.tags import is_transient
 from tagspark.functions.text import run_id
 from tagspark.operators import memory as mem
 from tagspark.operators import results, runs
-from tagspark.plans.reports import run_report
+from tagspark.plans.reports import run_report, score_records
 from tagspark.session import fresh_path, written
 from tagspark.sources import records, stores
 from tagspark.sources.sheet import read_sheet
@@ -238,7 +240,7 @@ WHERE truth[2] IN ('gizmo', 'anvil')""", "tagged"))
 def saved_results(spark, sf_dir):
     """Results written as JSON, read back, written as CSV, and read back again."""
     family = F.filter("truth", lambda t: t.isin(A.FAMILY))
-    rows = A.tagged(spark, sf_dir).select("path", "category", F.col("product").alias("model"), F.col("truth").alias("tags"),
+    rows = A.items(spark, sf_dir).select("path", "category", F.col("product").alias("model"), F.col("truth").alias("tags"),
                                           family.alias("highlights"))
     as_json, as_csv = fresh_path(spark, "results"), fresh_path(spark, "results") + ".csv"
     records.write_results(rows, as_json)
@@ -262,3 +264,24 @@ def media_types(spark, sf_dir):
     text = F.col("text").cast("binary")
     return A.table(spark, sf_dir, "documents").select(
         "doc_id", media_type(F.concat(head, text)).alias("media_type"), base64_text(text).alias("content_b64"))
+
+
+@query(sql("SELECT 'tag' AS command, 5 AS \"limit\", count(*) AS tasks FROM actions", "actions"))
+def run_record(spark, sf_dir):
+    """Records of two commands; the newest of one of them is read back."""
+    folder = fresh_path(spark, "runs")
+    payload = A.actions(spark, sf_dir).agg(F.count(F.lit(1)).alias("tasks"))
+    for day, command in ((1, "tag"), (2, "tag"), (3, "eval")):
+        records.write_run_record(payload, command, {"limit": day + 3, "enrich": False}, folder, dt.datetime(2026, 1, day))
+    return records.newest_record(spark, folder, "tag").select(
+        "command", F.col("settings.limit").cast("int").alias("limit"), "tasks")
+
+
+@query(sql("SELECT ord, path, array_to_string(predicted, '|') AS predicted FROM judged", "judged"))
+def evaluation_report(spark, sf_dir):
+    """A whole evaluation written part by part; its records are read back."""
+    path = fresh_path(spark, "evaluation")
+    report = score_records(A.judged(spark, sf_dir).withColumn("error", F.lit(None).cast("string")))
+    records.write_evaluation(path, report.metrics, report.per_tag, report.baselines, report.verdict, report.records)
+    read = spark.read.schema("ord bigint, path string, predicted array<string>").json(f"{path}/records")
+    return read.select("ord", "path", F.array_join("predicted", "|").alias("predicted"))

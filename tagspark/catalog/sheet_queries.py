@@ -11,6 +11,8 @@ from tagspark.functions.text import display_number, tolerant_number
 from tagspark.functions.tags import highlights, kept_tags
 from tagspark.operators import engagement, metadata as sheet, review
 from tagspark.operators.keyed import first_per_key, last_per_key
+from tagspark.session import fresh_path
+from tagspark.sources.records import write_review
 from tagspark.plans.reports import insights, insights_from_sheet
 
 JOINED = """
@@ -30,7 +32,7 @@ joined AS (
 
 
 def _results(spark, sf_dir):
-    return A.tagged(spark, sf_dir).select(
+    return A.items(spark, sf_dir).select(
         "ord", "path", "category", F.when(F.col("ord") % 3 == 0, "other").otherwise(F.upper("product")).alias("model"),
         F.col("truth").alias("tags"))
 
@@ -130,13 +132,13 @@ def product_medians_all_rows(spark, sf_dir):
 SELECT t.ord, 'Category: ' || c || ', Model: ' || p AS context FROM tagged t JOIN last ON last.file = t.file""",
            "tagged", "metadata"))
 def context_from_metadata(spark, sf_dir):
-    items = A.tagged(spark, sf_dir).select("ord", "path")
+    items = A.items(spark, sf_dir).select("ord", "path")
     return sheet.contexts_from_metadata(items, A.metadata(spark, sf_dir)).select("ord", "context")
 
 
 def _run_rows(spark, sf_dir):
     """F-TAG as one run of the results history; some files are not on the sheet."""
-    rows = A.tagged(spark, sf_dir)
+    rows = A.items(spark, sf_dir)
     kept = kept_tags(F.col("raw"), A.VOCABULARY)
     tags = F.when(F.col("ord") % 17 == 0, F.array().cast("array<string>")).otherwise(kept)
     seen = F.when((F.col("ord") % 2 == 0) & (F.size("tags") > 0),
@@ -233,3 +235,13 @@ def display_numbers(spark, sf_dir):
     written = F.format_number("l_extendedprice", 2)
     return rows.select("l_orderkey", "l_linenumber", tolerant_number(written).alias("number"),
                        display_number(F.col("l_extendedprice")).alias("shown"))
+
+
+@query(sql(RUN + 'SELECT "Image name", "Marketing tags", "Why (signals)", "Price" FROM shown', *RUN_ON))
+def review_export(spark, sf_dir):
+    """The review table written as CSV and read back."""
+    path = fresh_path(spark, "review")
+    write_review(review.review_table(_known(spark, sf_dir)), path)
+    shown = ["Image name", "Marketing tags", "Why (signals)", "Price"]
+    return spark.read.csv(path, header=True, escape='"').select(
+        *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in shown])

@@ -46,7 +46,7 @@ SELECT tag, count(*) AS images, sum(v) / count(*) AS mean, median(v) AS median,
   (sum(v) / count(*)) / (SELECT avg(TRY_CAST(views AS DOUBLE)) FROM metadata) AS lift
 FROM norm GROUP BY tag HAVING count(*) >= 2""", "tagged", "metadata"))
 def tag_engagement(spark, sf_dir):
-    rows = A.tagged(spark, sf_dir).select("ord", F.col("truth").alias("tags")).join(
+    rows = A.items(spark, sf_dir).select("ord", F.col("truth").alias("tags")).join(
         A.metadata(spark, sf_dir).select("ord", "views"), "ord")
     return engagement.tag_engagement(rows)
 
@@ -62,7 +62,7 @@ def overall_metric_coverage(spark, sf_dir):
 SELECT ord, array_to_string(kept, '|') AS kept, array_to_string(dropped, '|') AS dropped,
   len(kept) = 0 OR len(dropped) > len(kept) AS weak FROM checked""", "tagged", "checked"))
 def validate_tags(spark, sf_dir):
-    rows = tagging.validated(A.tagged(spark, sf_dir), A.VOCABULARY)
+    rows = tagging.validated(A.items(spark, sf_dir), A.VOCABULARY)
     return rows.select("ord", F.array_join("kept", "|").alias("kept"), F.array_join("dropped", "|").alias("dropped"),
                        T.looks_weak(F.col("kept"), F.col("dropped")).alias("weak"))
 
@@ -71,7 +71,7 @@ def validate_tags(spark, sf_dir):
 SELECT ord, array_to_string(list_filter(raw, lambda x: list_contains(
   ['widget', 'gear', 'plate', 'bolt', 'ring', 'rod'], lower(trim(x)))), '|') AS highlights FROM tagged""", "tagged"))
 def highlights(spark, sf_dir):
-    return A.tagged(spark, sf_dir).select(
+    return A.items(spark, sf_dir).select(
         "ord", F.array_join(T.highlights(F.col("raw"), A.FAMILY), "|").alias("highlights"))
 
 
@@ -82,7 +82,7 @@ SELECT ord, tag, list_contains(['colour', 'red', 'blue', 'size', 'small', 'large
 FROM tag""", "tagged"))
 def vocabulary_membership(spark, sf_dir):
     terms = spark.createDataFrame([(t,) for t in A.VOCABULARY], "tag string")
-    rows = A.tagged(spark, sf_dir).select("ord", F.explode("raw").alias("tag"))
+    rows = A.items(spark, sf_dir).select("ord", F.explode("raw").alias("tag"))
     return (tagging.in_vocabulary(rows, terms).withColumn("known", F.lit(True))
             .unionByName(tagging.in_vocabulary(rows, terms, keep=False).withColumn("known", F.lit(False))))
 
@@ -92,13 +92,13 @@ SELECT count(*) AS rows, count(*) FILTER (len(dropped) > 0) AS rows_with_drops,
   CAST(sum(len(dropped)) AS BIGINT) AS dropped_tags, CAST(sum(len(raw)) AS BIGINT) AS raw_tags,
   sum(len(dropped)) / sum(len(raw)) AS dropped_share FROM checked""", "tagged", "checked"))
 def oov_rate(spark, sf_dir):
-    return tagging.drift(tagging.validated(A.tagged(spark, sf_dir), A.VOCABULARY))
+    return tagging.drift(tagging.validated(A.items(spark, sf_dir), A.VOCABULARY))
 
 
 @query(sql("SELECT tag, count(*) AS n FROM (SELECT unnest(dropped) AS tag FROM checked) GROUP BY tag",
            "tagged", "checked"))
 def oov_tags(spark, sf_dir):
-    return tagging.dropped_counts(tagging.validated(A.tagged(spark, sf_dir), A.VOCABULARY)).select("tag", "n")
+    return tagging.dropped_counts(tagging.validated(A.items(spark, sf_dir), A.VOCABULARY)).select("tag", "n")
 
 
 COUNTED = """
@@ -108,13 +108,13 @@ counts AS (SELECT tag, count(*) AS n, min(ord * 1000 + pos) AS first_place FROM
 
 @query(sql(COUNTED + " SELECT tag, n, first_place FROM counts", "tagged"))
 def tag_counts(spark, sf_dir):
-    counts = tagging.ranked(tagging.tag_counts(A.tagged(spark, sf_dir), "truth"))
+    counts = tagging.ranked(tagging.tag_counts(A.items(spark, sf_dir), "truth"))
     return counts.select("tag", "n", (F.col("first_seen.ord") * 1000 + F.col("first_seen._pos")).alias("first_place"))
 
 
 @query(sql(COUNTED + " SELECT tag, n FROM counts ORDER BY n DESC, first_place LIMIT 5", "tagged"))
 def top_k_tags(spark, sf_dir):
-    return tagging.top_tags(A.tagged(spark, sf_dir), 5, "truth").select("tag", "n")
+    return tagging.top_tags(A.items(spark, sf_dir), 5, "truth").select("tag", "n")
 
 
 @query(sql("""
@@ -280,7 +280,7 @@ def set_algebra(spark, sf_dir):
 @query(sql("SELECT ord, array_to_string(list_transform(raw, lambda x: lower(trim(x))), '|') AS tags FROM tagged",
            "tagged"))
 def normalised_tags(spark, sf_dir):
-    return A.tagged(spark, sf_dir).select(
+    return A.items(spark, sf_dir).select(
         "ord", F.array_join(F.transform("raw", normalise), "|").alias("tags"))
 
 

@@ -117,19 +117,19 @@ def evidence_proposals(spark, sf_dir):
 
 
 def _contexts(spark, sf_dir):
-    return A.tagged(spark, sf_dir).select(
+    return A.items(spark, sf_dir).select(
         paths.context_from_path(F.col("path"), A.CATEGORIES).alias("context")).distinct()
 
 
 @query(sql("SELECT ord, 'Category: ' || category || ', Model: ' || product AS context FROM tagged", "tagged"))
 def context_from_path(spark, sf_dir):
-    return A.tagged(spark, sf_dir).select("ord", paths.context_from_path(F.col("path"), A.CATEGORIES).alias("context"))
+    return A.items(spark, sf_dir).select("ord", paths.context_from_path(F.col("path"), A.CATEGORIES).alias("context"))
 
 
 @query(sql("SELECT ord, category, product AS model FROM tagged", "tagged"))
 def split_context(spark, sf_dir):
     written_out = F.concat(F.lit("Category: old, category:  "), "category", F.lit(" , MODEL: "), "product")
-    return A.tagged(spark, sf_dir).select("ord", paths.split_context(written_out).alias("c")).select(
+    return A.items(spark, sf_dir).select("ord", paths.split_context(written_out).alias("c")).select(
         "ord", "c.category", "c.model")
 
 
@@ -138,7 +138,7 @@ SELECT ord, category || '   ' || product || ': has it won any awards, what do be
   || 'and what is its energy rating?' AS query FROM tagged""", "tagged"))
 def lookup_queries(spark, sf_dir):
     context = paths.context_from_path(F.col("path"), A.CATEGORIES)
-    return A.tagged(spark, sf_dir).select("ord", paths.lookup_query(context).alias("query"))
+    return A.items(spark, sf_dir).select("ord", paths.lookup_query(context).alias("query"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE p_size END AS position FROM part")
@@ -158,7 +158,7 @@ SELECT ord, CASE WHEN len(dropped) = 0
       THEN 'Valid tags kept: ' || CAST(len(kept) AS VARCHAR) || '.' ELSE 'No valid tag was left.' END
     || ' Answer again with vocabulary tags only, spelled as listed.' END AS feedback FROM checked""", "tagged", "checked"))
 def feedback_text(spark, sf_dir):
-    rows = validated(A.tagged(spark, sf_dir), A.VOCABULARY)
+    rows = validated(A.items(spark, sf_dir), A.VOCABULARY)
     return rows.select("ord", feedback(F.col("dropped"), F.col("kept")).alias("feedback"))
 
 
@@ -169,7 +169,7 @@ SELECT ord, 'Tag it.' || chr(10) || 'Product context: Category: ' || category ||
 def prompt_text(spark, sf_dir):
     context = paths.context_from_path(F.col("path"), A.CATEGORIES)
     again = F.when(F.col("ord") % 2 == 0, "again").otherwise("")
-    return A.tagged(spark, sf_dir).select("ord", prompt(
+    return A.items(spark, sf_dir).select("ord", prompt(
         context, again, wording=Wording("Tag it.", "As JSON.", ""), vocabulary="- colour: red, blue").alias("prompt"))
 
 
@@ -215,7 +215,7 @@ def _shown(rows):
 
 
 OPTIONS = {"model_id": "alpha-mini-1", "vocabulary": A.VOCABULARY, "highlight_family": A.FAMILY,
-           "known_folders": A.CATEGORIES}
+           "known_folders": A.CATEGORIES, "tasks": 8}
 
 
 @query(ITEMS + f"""

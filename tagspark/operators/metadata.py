@@ -74,9 +74,14 @@ def product_medians(metadata: DataFrame, dedupe_by_file: bool = True) -> DataFra
         .filter(F.col("product_key") != ""), "products")
     heads = rows.groupBy("product_key").agg(
         F.min_by("category", "first_ord").alias("category"), F.count(F.lit(1)).alias("images"))
-    return (heads
-            .join(medians(rows, ["product_key"], "price", "price"), "product_key", "left")
-            .join(medians(rows, ["product_key"], "views", "views"), "product_key", "left")
+    # Both figures in one pass: one value per row and figure.
+    values = rows.select("product_key", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("figure"), F.col(c).alias("value")) for c in ("price", "views")])).alias("v")
+    ).select("product_key", "v.figure", "v.value")
+    middles = (medians(values, ["product_key", "figure"], "value", "middle")
+               .groupBy("product_key")
+               .agg(*[F.max(F.when(F.col("figure") == c, F.col("middle"))).alias(c) for c in ("price", "views")]))
+    return (heads.join(middles, "product_key", "left")
             .select("product_key", "category", "price", "views", "images"))
 
 
