@@ -27,6 +27,10 @@ def get_session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+# Folders of local sessions that name none, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one `spark.checkpoint.dir` names.
 
@@ -38,9 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    run = spark.sparkContext.applicationId
+    if run not in _LOCAL_DIRS:
+        _LOCAL_DIRS[run] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_DIRS[run]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

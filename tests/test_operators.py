@@ -312,9 +312,9 @@ def test_evidence_by_entity(spark):
 def test_find_evidence(spark, hot):
     corpus = spark.createDataFrame([("wh-1", 2, "a"), ("xr", 1, "b"), ("wh-10", 0, "c"), ("", 9, "any"), ("X", 0, "never")],
                                    "key string, ord int, url string").select("key", "ord", F.array(F.struct("url")).alias("results"))
-    queries = spark.createDataFrame([("Sony WH-10 xr",), ("the XR",), ("nothing",), ("wh-1",)], "query string")
+    queries = spark.createDataFrame([("Acme WH-10 xr",), ("the XR",), ("nothing",), ("wh-1",)], "query string")
     got = {r["query"]: r["results"][0]["url"] for r in evidence.find_evidence(queries, corpus, **hot).collect()}
-    assert got == {"Sony WH-10 xr": "c", "the XR": "b", "nothing": "any", "wh-1": "a"}
+    assert got == {"Acme WH-10 xr": "c", "the XR": "b", "nothing": "any", "wh-1": "a"}
     some = evidence.find_evidence(queries, corpus.filter("key <> ''"), **hot)
     assert [r["query"] for r in some.filter("results is null").collect()] == ["nothing"]
 
