@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagspark import fixed
 from tagspark.functions.tags import f1, ratio, same_set
 from tagspark.operators.tagging import median_label_size, ranked, tag_counts
+from tagspark.session import written
 
 
 def matches(truth: DataFrame, predicted: DataFrame, item: str = "path", tags: str = "tags") -> DataFrame:
@@ -90,10 +91,10 @@ def baseline_tags(df: DataFrame, truth: str = "truth", order: str = "ord") -> li
     """JN-10: the constant answers to compare with, as one struct each.
 
     The only thing read here is one number, the median label size; the tags
-    themselves stay in one-row subqueries.
+    themselves stay in one-row subqueries over the written tag counts.
     """
     size = median_label_size(df, truth).first()["median_size"]
-    counts = tag_counts(df, truth, order)
+    counts = written(tag_counts(df, truth, order), "tag-counts")
 
     def best(k: int) -> Column:
         return (ranked(counts).limit(k)
