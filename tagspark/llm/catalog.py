@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagspark.llm import exact, pieces
+from tagspark.llm import decontaminate, exact, hilbert, language, pieces, toxicity
+from tagspark.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +41,36 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; fitted on labelled rows whose checksum is not 2 modulo 4."""
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
+    scored = toxicity.score(docs.select("doc_id", "text"), machine)
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards along the curve through language, source and size."""
+    return hilbert.shard_documents(table(spark, sf_dir, "documents"), 24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@query()
+def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; learned from rows whose checksum is not 0 modulo 5."""
+    docs = table(spark, sf_dir, "documents")
+    names, vectors = language.prototypes(language.learn(docs, ~held_out("doc_id", 5, 0)))
+    return language.predict(docs.select("doc_id", "text"), names, vectors).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -19,13 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import arrow_pass, batch, row_key, shards_for
+from tagspark.llm.common import arrow_pass, batch, maybe_in, row_key, shards_for, slot_filter
 from tagspark.session import written
 
 BLOCK_ROWS = 100_000
 OWNER_ROWS = 500_000
-# The filter has 2**SLOT_BITS bits in words of 64: 8 MiB, whatever the input.
-SLOT_BITS = 26
 
 
 def golomb_encode(values: np.ndarray, bits: int) -> bytes:
@@ -113,36 +111,27 @@ def answers(sent: DataFrame) -> DataFrame:
     return sent.groupBy("owner").applyInPandas(merge, "block bigint, owner int, copies binary")
 
 
-def suspect_words(sent: DataFrame, answered: DataFrame, owners: int, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """The words of the filter that have a bit set: word, mask. Slots are the top bits of a fingerprint."""
+def suspect_hashes(sent: DataFrame, answered: DataFrame, owners: int) -> DataFrame:
+    """The fingerprints that the answers mark: hash."""
     low = np.uint64(64 - owners.bit_length() + 1)
 
     def step(batches):
         for rows in batches:
-            words, masks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for owner, n, bits, code, copies in zip(*(rows.column(i).to_pylist() for i in range(5))):
                 flags = np.unpackbits(np.frombuffer(copies, np.uint8))[:n] == 1
                 values = golomb_decode(code, n, bits)[flags] + (np.uint64(owner) << low)
-                slots = values >> np.uint64(64 - slot_bits)
-                words.append((slots >> np.uint64(6)).astype(np.int64))
-                masks.append((np.uint64(1) << (slots & np.uint64(63))).view(np.int64))
-            yield batch(word=pa.array(np.concatenate(words)), mask=pa.array(np.concatenate(masks)))
+                yield batch(hash=pa.array(values.view(np.int64)))
 
     suspects = sent.join(answered, ["block", "owner"]).select("owner", "n", "bits", "code", "copies")
-    return arrow_pass(suspects, step, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    return arrow_pass(suspects, step, "hash bigint")
 
 
 def _suspects(keyed: DataFrame) -> DataFrame:
     """`keyed` with a column `maybe`: false only where no other row can have the same text."""
     owners = shards_for(keyed.count(), OWNER_ROWS, 16)
     sent = written(fingerprints(keyed, "text", owners), "fingerprints")
-    words = suspect_words(sent, answers(sent), owners).withColumnRenamed("word", "_word")
-    slot = F.shiftrightunsigned(F.xxhash64("text"), 64 - SLOT_BITS)
-    # The filter has at most 2**(SLOT_BITS - 6) rows of 16 bytes: no input can exceed that.
-    return (keyed.withColumn("_slot", slot).withColumn("_word", F.shiftrightunsigned("_slot", 6))
-            .join(F.broadcast(words), "_word", "left")
-            .withColumn("maybe", F.expr("mask IS NOT NULL AND (shiftrightunsigned(mask, cast(_slot & 63 AS int)) & 1) = 1"))
-            .drop("_slot", "_word", "mask"))
+    words = slot_filter(suspect_hashes(sent, answers(sent), owners), F.col("hash"))
+    return maybe_in(keyed, F.xxhash64("text"), words)
 
 
 def _pick(unique: bool, keep_largest: bool):

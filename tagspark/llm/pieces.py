@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as model_pb
 
-from tagspark.llm.common import arrow_pass, batch
+from tagspark.llm.common import add_columns, arrow_pass, batch
 
 MARK = "▁"
 TABLE_ENTRIES = 200_000
@@ -113,37 +113,31 @@ def encode_texts(docs: DataFrame, model: str, text: str = "text", ids: str = "id
 
     Other columns, whatever their names, pass through; one named as `ids` is replaced.
     """
-    kept = docs.drop(ids)
-    at = kept.columns.index(text)
 
-    def step(batches):
+    def start():
         chunks = table(model)
-        for rows in batches:
+
+        def work(values):
             out = []
-            for part in slices(rows.column(at).to_pylist()):
+            for part in slices(values):
                 split = [chunks.split(t) for t in part]
                 chunks.meet(split)
                 out += [np.fromiter((i for c in s for i in chunks.ids[c]), np.int32) for s in split]
-            yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(out, pa.list_(pa.int32()))], [*kept.columns, ids])
+            return [pa.array(out, pa.list_(pa.int32()))]
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
-    return arrow_pass(kept, step, f"{schema}, `{ids}` array<int>")
+        return work
+
+    return add_columns(docs, text, start, {ids: "array<int>"})
 
 
 def decode_ids(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """`docs` with a column `text`, the library's decoding of `ids`; a null list decodes to the empty text."""
-    kept = docs.drop(text)
-    at = kept.columns.index(ids)
 
-    def step(batches):
+    def start():
         library = table(model).library
-        for rows in batches:
-            out = [library.decode(x) if x else "" for x in rows.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.string())], [*kept.columns, text])
+        return lambda values: [pa.array([library.decode(x) if x else "" for x in values], pa.string())]
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
-    return arrow_pass(kept, step, f"{schema}, `{text}` string")
+    return add_columns(docs, ids, start, {text: "string"})
 
 
 def round_trip(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
