@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagspark.llm import decontaminate, exact, hilbert, language, pieces, toxicity
+from tagspark.llm import decontaminate, exact, hilbert, language, minhash, pieces, toxicity
 from tagspark.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query()
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies; tested against all pairs of a small table."""
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the distinct-chunk table, and their decoding; tested against the library itself."""
