@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagspark.llm import decontaminate, exact, hilbert, language, minhash, pieces, toxicity
+from tagspark.llm import decontaminate, exact, hilbert, language, licences, minhash, pieces, toxicity
 from tagspark.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,47 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _licence_sql() -> str:
+    """Every block of every text against every template, without any filter."""
+    half = max(len(t.split()) for t in licences.TEMPLATES)
+    vocabulary = sorted({w for t in licences.TEMPLATES for w in t.split()})
+    templates = ", ".join(f"({_sql_list(sorted(set(t.split())))}, '{label}')" for t, label in licences.TEMPLATES.items())
+    places = " || ".join(
+        f"[{{'first': i, 'label': '{label}'}} for i in range(len(w) - {len(phrase.split()) - 1}) if "
+        + " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split())) + "]"
+        for phrase, label in licences.PHRASES.items())
+    return f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+places AS (SELECT doc_id, len(w) AS n_words, {places} AS p FROM words),
+templates(tokens, label) AS (VALUES {templates}),
+blocks AS (
+  SELECT doc_id, list_distinct(list_filter(w[b * {half} + 1:(b + 2) * {half}], lambda x: list_contains({_sql_list(vocabulary)}, x))) AS tokens
+  FROM (SELECT doc_id, w, unnest(range(CAST(ceil(len(w) / {half}) AS BIGINT))) AS b FROM words)),
+met AS (
+  SELECT doc_id, label, len(list_intersect(blocks.tokens, templates.tokens)) / len(templates.tokens) AS containment
+  FROM blocks JOIN templates ON len(list_intersect(blocks.tokens, templates.tokens)) >= {licences.THRESHOLD} * len(templates.tokens)),
+scored AS (SELECT doc_id, list(label) AS labels, max(containment) AS best, count(*) AS n FROM met GROUP BY doc_id)
+SELECT doc_id, n_words, CAST(len(p) AS BIGINT) AS n_base,
+  CAST(list_min(list_transform(p, lambda x: x.first)) AS BIGINT) AS first_word,
+  CAST(list_max(list_transform(p, lambda x: x.first)) AS BIGINT) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label) || coalesce(labels, []))), ',') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score, coalesce(n, 0) AS n_blocks
+FROM places LEFT JOIN scored USING (doc_id)"""
+
+
+@query(_licence_sql())
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases, and the text blocks that meet a template."""
+    return licences.scan(table(spark, sf_dir, "documents")).withColumn("n_blocks", F.size("blocks").cast("bigint")).drop("blocks")
+
+
 @query()
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the distinct-chunk table, and their decoding; tested against the library itself."""
