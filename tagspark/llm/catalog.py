@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagspark.llm import decontaminate, exact, hilbert, language, licences, minhash, pieces, toxicity
+from tagspark.llm import decontaminate, exact, hilbert, language, licences, minhash, pieces, pii, toxicity
 from tagspark.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,11 @@ def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text; tested against the base rules and a graph worked out by hand."""
+    return pii.find(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[pii.counted(k).alias(f"n_{k}") for k in pii.PATTERNS],
+        F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
