@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagspark.llm import decontaminate, exact, hilbert, language, licences, minhash, pieces, pii, toxicity
+from tagspark.llm import decontaminate, exact, hilbert, language, licences, lm, minhash, pieces, pii, toxicity
 from tagspark.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).select(
         "doc_id", *[pii.counted(k).alias(f"n_{k}") for k in pii.PATTERNS],
         F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+@query()
+def op7_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram scores of every text; learned from rows whose checksum is not 1 modulo 5; tested against plain counting."""
+    return lm.score(table(spark, sf_dir, "documents"), held_out("doc_id", 5, 1))
