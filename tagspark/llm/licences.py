@@ -54,9 +54,9 @@ def words(text: Column) -> Column:
 
     One character beyond ASCII, the Kelvin sign, would become an ASCII letter by lower-casing and is replaced before.
     """
-    bare = F.btrim(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b"))), F.lit(DELIMITERS))
-    return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-        F.split(bare, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"))
+    plain = F.btrim(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b"))), F.lit(DELIMITERS))
+    split = F.split(plain, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+    return F.coalesce(F.array_remove(split, ""), F.array().cast("array<string>"))
 
 
 def phrase_places(name: str, phrases: dict[str, str]) -> Column:
@@ -94,7 +94,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     half = max(len(t.split()) for t in templates)
 
     # One pass over all words; as many rows come back as the templates have tokens.
-    seen = keyed.select(F.explode(words(F.col("text"))).alias("word")).filter(F.col("word").isin(*vocabulary))
+    # The outer form, as for the inner one Spark adds a filter that splits every text a second time.
+    seen = keyed.select(F.explode_outer(words(F.col("text"))).alias("word")).filter(F.col("word").isin(*vocabulary))
     counted = {r.word: r.n for r in seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
     ranked = {t: sorted(s, key=order.get) for t, s in sets.items()}
