@@ -46,7 +46,7 @@ def _found(kind: str) -> Column:
 
 def _valid() -> Column:
     digits = F.regexp_replace("match", "[^0-9]", "")
-    part = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+    part = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
     return (F.when(F.col("kind") == "email", True)
             .when(F.col("kind") == "ip", F.col("match").rlike(rf"^{part}(?:\.{part}){{3}}$"))
             .when(F.col("kind") == "card", F.length(digits).between(14, 19) & F.call_function("luhn_check", digits))
