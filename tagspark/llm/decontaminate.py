@@ -35,9 +35,8 @@ DELIMITERS = "".join(c for c in map(chr, range(0x80)) if not ("0" <= c <= "9" or
 
 def words(text: Column) -> Column:
     """Lower-cased words: runs of ASCII letters and digits and of all other characters; none for a null text."""
-    bare = F.btrim(F.lower(text), F.lit(DELIMITERS))
-    return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-        F.split(bare, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"))
+    split = F.split(F.btrim(F.lower(text), F.lit(DELIMITERS)), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+    return F.coalesce(F.array_remove(split, ""), F.array().cast("array<string>"))
 
 
 def _hashes(name: str) -> Column:
@@ -97,8 +96,11 @@ def _windows(keyed: DataFrame, items: DataFrame) -> DataFrame:
     places = written(places, "benchmark-shingles")
     if places.count() <= BROADCAST_SHINGLES:
         places = F.broadcast(places)
+    # Count and hashes are worked out before the rows are multiplied, so that no row carries its text's words; the outer
+    # form, as for the inner one Spark adds a filter that works out the hashes a second time.
     spots = (keyed.select("_row", words(F.col("text")).alias("words"))
-             .select("_row", F.size("words").alias("n"), F.posexplode(_hashes("words")).alias("at", "hash")))
+             .select("_row", F.size("words").alias("n"), _hashes("words").alias("hashes"))
+             .select("_row", "n", F.posexplode_outer("hashes").alias("at", "hash")))
     start = F.least(F.greatest(F.col("at") - F.col("offset"), F.lit(0)), F.greatest(F.col("n") - F.col("size"), F.lit(0)))
     return spots.join(places, "hash").select("_row", start.alias("start"), F.least("n", "size").alias("length"), "size").distinct()
 
@@ -107,8 +109,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
           similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Pairs of a document and an item it holds: doc_id, item_id, similarity, start, n_words, hamming, n_windows.
 
-    One row per pair: the most similar window (the first of equals), how far its
-    fingerprint is from the item's, and how many windows of the document match.
+    One row per pair: the most similar of the windows that put a shared shingle at
+    its offset in the item (the first of equals), how far its fingerprint is from the item's, and how many windows of the document match.
     Items of fewer than five words have no shingle and match nothing, as do null
     and empty texts. A document shorter than an item is one window as a whole.
     Repeated rows, and rows with a null id, are documents of their own. Empty tables give no rows; other columns are not read.
@@ -132,13 +134,13 @@ def _leaks(keyed: DataFrame, benchmark: DataFrame, similarity: float, radius: in
               .withColumn("window_words", F.split("content", " ")).withColumn("hashes", _hashes("window_words"))
               .withColumn("window_print", simhash("hashes")).drop("hashes"))
     asked = prints.select("content", "size", "window_print", F.inline(_blocks(F.col("window_print"))))
-    known = items.select("item_id", "item_words", "size", "item_print",
+    known = items.select("item_id", "size", "item_print",
                          F.inline(_near_blocks(F.col("item_print"), radius // len(BLOCKS))))
     close = (asked.join(known, ["size", "block", "value"])
              .withColumn("hamming", F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print"))))
              .filter(F.col("hamming") <= radius)
-             .select("content", "size", "item_id", "item_words", "hamming").distinct())
-    verified = (close.withColumn("window_words", F.split("content", " "))
+             .select("content", "size", "item_id", "item_print", "hamming").distinct())
+    verified = (close.join(items, ["item_id", "size", "item_print"]).withColumn("window_words", F.split("content", " "))
                 .withColumn("a", _shingles("window_words")).withColumn("b", _shingles("item_words"))
                 .withColumn("similarity", weighted_jaccard("a", "b")).filter(F.col("similarity") >= similarity)
                 .select("content", "size", "item_id", "hamming", "similarity"))
