@@ -150,10 +150,13 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     array = F.concat(F.lit('["'), first, F.lit('", "'), second, F.lit('"'),
                      F.when(F.col("p_partkey") % 7 == 0, "").otherwise("]"))
     fenced = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit("```json\n"), array, F.lit("\n```"))).otherwise(array)
+    long = F.col("p_partkey") % 5 == 0
     built = table(spark, sf_dir, "part").select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("item_id"),
-        F.concat(F.lit("- "), first, F.lit(" - because "), first, F.lit("\n"), second, F.lit(": seen\nCategory: "),
-                 F.col("p_type"), F.lit("\n**Model:** "), F.col("p_brand"), F.lit("\nSpecs: none\n"), fenced).alias("text"))
+        F.concat(F.lit("- "), first, F.lit(" - because "), first, F.when(long, F.repeat(F.lit(" and so on"), 30)).otherwise(""),
+                 F.lit("\n"), second, F.lit(": seen\nCategory: "), F.col("p_type"), F.lit("\n**Model:** "), F.col("p_brand"),
+                 F.lit("\nSpecs: "), F.when(long, F.repeat(F.lit("very "), 90)).otherwise(""), F.when(long, "long").otherwise("none"),
+                 F.lit("\n"), fenced).alias("text"))
     turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("item_id"),
         "text")
@@ -229,8 +232,10 @@ corpus AS (
     "answers": """
 answers AS (
   SELECT 'p' || CAST(p_partkey AS VARCHAR) AS item_id,
-    '- ' || w[1] || ' - because ' || w[1] || chr(10) || w[2] || ': seen' || chr(10) || 'Category: ' || p_type || chr(10)
-    || '**Model:** ' || p_brand || chr(10) || 'Specs: none' || chr(10)
+    '- ' || w[1] || ' - because ' || w[1] || CASE WHEN p_partkey % 5 = 0 THEN repeat(' and so on', 30) ELSE '' END || chr(10)
+    || w[2] || ': seen' || chr(10) || 'Category: ' || p_type || chr(10)
+    || '**Model:** ' || p_brand || chr(10)
+    || CASE WHEN p_partkey % 5 = 0 THEN 'Specs: ' || repeat('very ', 90) || 'long' ELSE 'Specs: none' END || chr(10)
     || CASE WHEN p_partkey % 2 = 1 THEN '```json' || chr(10) ELSE '' END
     || '["' || w[1] || '", "' || w[2] || '"' || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE ']' END
     || CASE WHEN p_partkey % 2 = 1 THEN chr(10) || '```' ELSE '' END AS text

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagspark.catalog import adapters as A
@@ -233,20 +235,22 @@ def sheet_scan(spark, sf_dir):
 
 
 @query(sql("""
-SELECT path, category, product AS model, array_to_string(truth, '; ') AS tags, truth[2] AS highlights FROM tagged
-WHERE truth[2] NOT IN ('gizmo', 'anvil')
-UNION ALL SELECT path, category, product, array_to_string(truth, '; '), '' FROM tagged
-WHERE truth[2] IN ('gizmo', 'anvil')""", "tagged"))
+, saved AS (SELECT ord, path, category, product AS model, array_to_string(truth, '; ') AS tags,
+    CASE WHEN truth[2] IN ('gizmo', 'anvil') THEN '' ELSE truth[2] END AS highlights FROM tagged)
+SELECT * FROM saved UNION ALL SELECT * REPLACE (NULL AS ord) FROM saved""", "tagged"))
 def saved_results(spark, sf_dir):
-    """Results written as JSON, read back, written as CSV, and read back again."""
+    """Results written as JSON lines and read back with their ordinals; those written as CSV and read back without."""
     family = F.filter("truth", lambda t: t.isin(A.FAMILY))
     rows = A.items(spark, sf_dir).select("path", "category", F.col("product").alias("model"), F.col("truth").alias("tags"),
-                                          family.alias("highlights"))
+                                          family.alias("highlights"), F.col("ord").cast("bigint").alias("ord"))
     as_json, as_csv = fresh_path(spark, "results"), fresh_path(spark, "results") + ".csv"
     records.write_results(rows, as_json)
-    records.write_results(spark.read.schema(records.RESULTS).json(as_json), as_csv)
-    return spark.read.csv(as_csv, header=True, escape='"').select(
+    read = records.read_results(spark, as_json)
+    records.write_results(read, as_csv)
+    back = spark.read.csv(as_csv, header=True, escape='"').select(
         "path", "category", "model", "tags", F.coalesce("highlights", F.lit("")).alias("highlights"))
+    lines = read.withColumns({c: F.array_join(c, "; ") for c in ("tags", "highlights")})
+    return lines.unionByName(back.withColumn("ord", F.lit(None).cast("bigint")))
 
 
 @query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS run_id FROM events")
@@ -266,22 +270,53 @@ def media_types(spark, sf_dir):
         "doc_id", media_type(F.concat(head, text)).alias("media_type"), base64_text(text).alias("content_b64"))
 
 
-@query(sql("SELECT 'tag' AS command, 5 AS \"limit\", count(*) AS tasks FROM actions", "actions"))
+@query(sql("SELECT 'tag' AS command, 5 AS \"limit\", count(*) AS tasks, 'limit' AS settings FROM actions", "actions"))
 def run_record(spark, sf_dir):
     """Records of two commands; the newest of one of them is read back."""
     folder = fresh_path(spark, "runs")
     payload = A.actions(spark, sf_dir).agg(F.count(F.lit(1)).alias("tasks"))
     for day, command in ((1, "tag"), (2, "tag"), (3, "eval")):
-        records.write_run_record(payload, command, {"limit": day + 3, "enrich": False}, folder, dt.datetime(2026, 1, day))
-    return records.newest_record(spark, folder, "tag").select(
-        "command", F.col("settings.limit").cast("int").alias("limit"), "tasks")
-
-
-@query(sql("SELECT ord, path, array_to_string(predicted, '|') AS predicted FROM judged", "judged"))
+        records.write_run_record(payload, command, {"limit": day + 3, "enrich": False, "few_shot": 0}, folder,
+                                 dt.datetime(2026, 1, day))
+    newest = records.newest_record(spark, folder, "tag")
+    return newest.select("command", F.col("settings.limit").cast("int").alias("limit"), "tasks",
+                         F.lit(",".join(newest.schema["settings"].dataType.names)).alias("settings"))
+
+
+REPORT = """
+, pairs AS (SELECT unnest(truth) AS tag, predicted, true AS own FROM judged),
+given AS (SELECT unnest(predicted) AS tag, truth FROM judged),
+names AS (SELECT tag FROM pairs UNION SELECT tag FROM given),
+hits AS (SELECT (SELECT count(*) FROM pairs p WHERE p.tag = n.tag AND list_contains(p.predicted, n.tag)) AS tp,
+    (SELECT count(*) FROM pairs p WHERE p.tag = n.tag) AS support, n.tag FROM names n),
+totals AS (SELECT sum(len(list_intersect(truth, predicted))) AS tp, sum(len(truth)) AS t, sum(len(predicted)) AS p FROM judged)
+SELECT 'records' AS part, path AS name, array_to_string(predicted, '|') AS said, CAST(NULL AS DOUBLE) AS number FROM judged
+UNION ALL SELECT 'metrics', 'micro_f1', '', 2 * tp / (t + p) FROM totals
+UNION ALL SELECT 'per_tag', tag, '', CAST(support AS DOUBLE) FROM hits
+UNION ALL SELECT 'workflow', 'run', '', CAST(count(*) AS DOUBLE) FROM judged
+UNION ALL SELECT 'baselines', 'parts', '', 1
+UNION ALL SELECT 'verdict', 'parts', '', 1"""
+
+
+@query(sql(REPORT, "judged"))
 def evaluation_report(spark, sf_dir):
-    """A whole evaluation written part by part; its records are read back."""
+    """A whole evaluation written part by part, and every part read back."""
     path = fresh_path(spark, "evaluation")
-    report = score_records(A.judged(spark, sf_dir).withColumn("error", F.lit(None).cast("string")))
-    records.write_evaluation(path, report.metrics, report.per_tag, report.baselines, report.verdict, report.records)
-    read = spark.read.schema("ord bigint, path string, predicted array<string>").json(f"{path}/records")
-    return read.select("ord", "path", F.array_join("predicted", "|").alias("predicted"))
+    judged = A.judged(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
+    counters = judged.agg(F.lit("run").alias("run_id"), F.count(F.lit(1)).alias("tasks"))
+    report = score_records(judged, counters)
+    records.write_evaluation(path, metrics=report.metrics, per_tag=report.per_tag, baselines=report.baselines,
+                             verdict=report.verdict, workflow=report.workflow, records=report.records)
+
+    def part(name, key, said, number):
+        read = spark.read.json(f"{path}/{name}")
+        return read.select(F.lit(name).alias("part"), key.alias("name"), said.alias("said"), number.cast("double").alias("number"))
+
+    none, blank = F.lit(None).cast("double"), F.lit("")
+    parts = [part("records", F.col("path"), F.array_join("predicted", "|"), none),
+             part("metrics", F.lit("micro_f1"), blank, F.col("micro_f1")),
+             part("per_tag", F.col("tag"), blank, F.col("support")),
+             part("workflow", F.col("run_id"), blank, F.col("tasks"))]
+    # Two more parts, whose figures other queries check: that they were written and hold rows.
+    parts += [part(name, F.lit("parts"), blank, F.lit(1)).distinct() for name in ("baselines", "verdict")]
+    return reduce(DataFrame.unionByName, parts)

@@ -38,11 +38,11 @@ LINES = """
   FROM answers)"""
 REASONS_SQL = LINES + rf"""
 , hits AS (SELECT item_id, i, lower(trim(regexp_replace(regexp_extract(line, {REASON}, 1), '\s+', ' ', 'g'))) AS tag,
-    left(rtrim(trim(regexp_extract(line, {REASON}, 2)), '.'), 200) AS why
+    rtrim(trim(regexp_extract(line, {REASON}, 2)), '.') AS why
   FROM split WHERE NOT starts_with(ltrim(line), '[')),
 own AS (SELECT item_id, i, tag, why FROM hits WHERE tag <> '' AND tag NOT IN ('category', 'model', 'description', 'specs')),
 nested AS (SELECT item_id, i + 0.5 AS i, lower(trim(regexp_extract(why, {REASON}, 1))) AS tag,
-    left(rtrim(trim(regexp_extract(why, {REASON}, 2)), '.'), 200) AS why FROM own),
+    rtrim(trim(regexp_extract(why, {REASON}, 2)), '.') AS why FROM own),
 every AS (SELECT * FROM own UNION ALL SELECT * FROM nested WHERE tag IN ('colour', 'red', 'blue', 'size', 'small', 'large',
   'temperature', 'hot', 'cold', 'age', 'old', 'new', 'object', 'widget', 'gear', 'plate', 'bolt', 'ring', 'rod')),
 firsts AS (SELECT item_id, tag, arg_min(why, i) AS why FROM every GROUP BY item_id, tag)"""
@@ -66,7 +66,7 @@ def parse_reasons(spark, sf_dir):
 @query(sql(LINES + rf"""
 , hits AS (SELECT item_id, i, lower(regexp_extract(line, {DETAIL}, 1, 'i')) AS label,
     trim(trim(trim(regexp_extract(line, {DETAIL}, 2, 'i')), '*')) AS value FROM split),
-facts AS (SELECT item_id, label, arg_min(left(value, 300), i) AS value FROM hits WHERE label <> ''
+facts AS (SELECT item_id, label, arg_min(value, i) AS value FROM hits WHERE label <> ''
   AND rtrim(lower(value), '.') NOT IN ('unknown', 'none', 'n/a', 'na', 'not shown', 'not visible', '-')
   GROUP BY item_id, label)
 SELECT a.item_id, max(value) FILTER (label = 'category') AS category, max(value) FILTER (label = 'model') AS model,
@@ -153,7 +153,7 @@ def carousel_position(spark, sf_dir):
 @query(sql("""
 SELECT ord, CASE WHEN len(dropped) = 0
   THEN 'The last answer held no usable tag. Look once more and name at least one vocabulary tag.'
-  ELSE 'The last answer named ' || array_to_string(list_transform(dropped[1:8], lambda x: '''' || x || ''''), ', ')
+  ELSE 'The last answer named ' || array_to_string(list_transform(dropped, lambda x: '''' || x || ''''), ', ')
     || ', which the vocabulary does not hold. ' || CASE WHEN len(kept) > 0
       THEN 'Valid tags kept: ' || CAST(len(kept) AS VARCHAR) || '.' ELSE 'No valid tag was left.' END
     || ' Answer again with vocabulary tags only, spelled as listed.' END AS feedback FROM checked""", "tagged", "checked"))
@@ -215,7 +215,7 @@ def _shown(rows):
 
 
 OPTIONS = {"model_id": "alpha-mini-1", "vocabulary": A.VOCABULARY, "highlight_family": A.FAMILY,
-           "known_folders": A.CATEGORIES, "tasks": 8}
+           "known_folders": A.CATEGORIES}
 
 
 @query(ITEMS + f"""

@@ -46,16 +46,20 @@ def tag_array(text: Column) -> Column:
     return let(F.regexp_extract(bare, r"(?s)\[.*?\]", 0), read)
 
 
-def clean_reason(text: Column) -> Column:
-    """S-22: a reason without closing dots, cut to its length."""
-    return F.substring(F.rtrim(strip(text), F.lit(".")), 1, fixed.REASON_CHARS)
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
 
 
-def clean_detail(text: Column) -> Column:
-    """S-22: a detail without emphasis marks; NULL when it says there is none."""
+def clean_reason(text: Column, chars: int | None = None) -> Column:
+    """S-22: a reason without closing dots, whole or cut to `chars`."""
+    return _cut(F.rtrim(strip(text), F.lit(".")), chars)
+
+
+def clean_detail(text: Column, chars: int | None = None) -> Column:
+    """S-22: a detail without emphasis marks, whole or cut to `chars`; NULL when it says there is none."""
     value = strip(F.trim(strip(text), F.lit("*")))
     nothing = one_of(F.rtrim(F.lower(value), F.lit(".")), fixed.NOTHING_WORDS)
-    return F.when(~nothing, F.substring(value, 1, fixed.DETAIL_CHARS))
+    return F.when(~nothing, _cut(value, chars))
 
 
 def _first_per_tag(entries: Column) -> Column:
@@ -65,7 +69,7 @@ def _first_per_tag(entries: Column) -> Column:
             n.alias("key"), F.get(entries, F.array_position(names, n).cast("int") - 1)["why"].alias("value")))))
 
 
-def reasons(text: Column, vocabulary: Sequence[str]) -> Column:
+def reasons(text: Column, vocabulary: Sequence[str], chars: int | None = None) -> Column:
     """S-7: map of tag -> why from the answer's reason lines; first line wins.
 
     A second tag nested in the reason (`general: specific - why`) counts only
@@ -74,7 +78,7 @@ def reasons(text: Column, vocabulary: Sequence[str]) -> Column:
     def parts(line: Column) -> Column:
         return F.struct(
             normalise(F.regexp_extract(line, _REASON, 1)).alias("tag"),
-            clean_reason(F.regexp_extract(line, _REASON, 2)).alias("why"))
+            clean_reason(F.regexp_extract(line, _REASON, 2), chars).alias("why"))
 
     def with_nested(reason: Column) -> Column:
         return let(parts(reason["why"]), lambda inner: F.when(
@@ -87,14 +91,14 @@ def reasons(text: Column, vocabulary: Sequence[str]) -> Column:
     return let(F.flatten(F.transform(found, with_nested)), _first_per_tag)
 
 
-def details(text: Column) -> Column:
+def details(text: Column, chars: int | None = None) -> Column:
     """S-8: struct of the labelled facts, NULL where the answer states none."""
     found = F.filter(
         F.transform(
             F.filter(lines(blank(text)), lambda s: s.rlike(_DETAIL)),
             lambda s: F.struct(
                 F.lower(F.regexp_extract(s, _DETAIL, 1)).alias("label"),
-                clean_detail(F.regexp_extract(s, _DETAIL, 2)).alias("value"))),
+                clean_detail(F.regexp_extract(s, _DETAIL, 2), chars).alias("value"))),
         lambda d: d["value"].isNotNull())
 
     def first(stated: Column, label: str) -> Column:

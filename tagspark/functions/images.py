@@ -44,12 +44,22 @@ def examples_part(examples: Sequence[tuple[str, Sequence[str]]] = ()) -> bytes:
 
 
 def examples_key(examples: Column) -> Column:
-    """As examples_part, for examples that differ from row to row.
+    """As examples_part, for examples that differ from row to row; the two give the same bytes."""
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def escaped(char: Column) -> Column:
+        code, above = F.ascii(char), F.ascii(char) - 0x10000
+        short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+        out = F
+        for plain, written in short.items():
+            out = out.when(char == F.lit(plain), F.lit(written))
+        return (out.when(code.between(32, 126), char)
+                .when(code < 0x10000, unit(code))
+                .otherwise(F.concat(unit(F.shiftright(above, 10) + 0xD800), unit(above.bitwiseAND(F.lit(0x3FF)) + 0xDC00))))
 
-    The two give the same bytes for tags in plain ASCII.
-    """
     def quoted(tag: Column) -> Column:
-        return F.concat(F.lit('"'), F.regexp_replace(tag, r'(["\\])', r"\\$1"), F.lit('"'))
+        return F.concat(F.lit('"'), F.array_join(F.transform(F.split(tag, ""), escaped), ""), F.lit('"'))
 
     def part(e: Column) -> Column:
         listed = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(e["tags"]), quoted), ", "), F.lit("]"))

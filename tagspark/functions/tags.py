@@ -59,10 +59,10 @@ def f1(precision: Column, recall: Column) -> Column:
         2 * precision * recall / (precision + recall))
 
 
-def feedback(dropped: Column, kept: Column) -> Column:
-    """S-10: what to tell the scorer about its last answer."""
+def feedback(dropped: Column, kept: Column, most: int | None = None) -> Column:
+    """S-10: what to tell the scorer about its last answer; all dropped tags are named, or the first `most`."""
     named = F.array_join(
-        F.transform(F.slice(dropped, 1, fixed.FEEDBACK_TAGS),
+        F.transform(dropped if most is None else F.slice(dropped, 1, most),
                     lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", ")
     tail = F.when(F.size(kept) > 0, F.concat(F.lit("Valid tags kept: "), F.size(kept).cast("string"), F.lit(".")))
     tail = tail.otherwise("No valid tag was left.")

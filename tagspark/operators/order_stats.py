@@ -1,15 +1,17 @@
 """Exact order statistics per group, without gathering a group in one task.
 
 `percentile` keeps every distinct value of a group in one task's memory. Here
-the values are counted first (a combinable aggregate on group and value), a
-large group is cut into ranges by an approximate sketch, and only the one range
-that holds a wanted rank is sorted. The cut points decide balance alone; the
-answer is exact whatever they are.
+the values are counted first (a combinable aggregate on group and value) and
+sorted by group and value into ranges of about equal size, so that a group has
+as many ranges as it needs. Sizes of ranges tell which one holds a wanted rank,
+and only that one is counted through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
@@ -17,11 +19,6 @@ from pyspark.sql import functions as F
 
 from tagspark.session import written
 
-# Groups with more distinct values than this are cut into RANGES ranges. At
-# most values / LARGE groups are large, which bounds the broadcast of cuts.
-LARGE = 4_000_000
-RANGES = 256
-
 Rank = Callable[[Column], Column]
 
 
@@ -40,43 +37,18 @@ def nearest_rank(percent: float) -> Rank:
 
 
 def counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows per (group, value), written out; NULL values are left out."""
-    return written(
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count")), "counts")
+    """Rows per (group, value); NULL values are left out."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
 
 
-def values_at_ranks(counts: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank],
-                    large: int = LARGE, ranges: int = RANGES) -> DataFrame:
+def values_at_ranks(counts: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank]) -> DataFrame:
     """One row per group: its size `_n` and the value at every named rank.
 
-    `counts` is what `counted` returns: unique on (group, value), with
-    `_count`. It is read several times, so it should be a written table. Its
-    number of rows (read from the file footers) bounds every group: up to
-    `large` no group needs cutting.
+    `counts` is what `counted` returns: unique on (group, value), with `_count`.
+    The sorted ranges are written once, as two branches must see the same.
     """
     keys = list(keys)
-    if counts.count() <= large:
-        return _at_ranks(counts, None, keys, value, ranks)
-    placed = _in_ranges(counts, keys, value, large, ranges)
-    sizes = placed.groupBy(*keys, "_range").agg(F.sum("_count").alias("_size"))
-    return _at_ranks(placed, sizes, keys, value, ranks)
-
-
-def _in_ranges(counts: DataFrame, keys: list[str], value: str, large: int, ranges: int) -> DataFrame:
-    """Add `_range`: values of a large group by approximate quantiles, else 0."""
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = F.broadcast(
-        counts.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_d"), F.percentile_approx(value, shares, 10_000).alias("_cuts"))
-        .filter(F.col("_d") > large).select(*keys, "_cuts"))
-    return (counts.join(cuts, keys, "left")
-            .withColumn("_range", F.coalesce(
-                F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(0)))
-            .drop("_cuts"))
-
-
-def _at_ranks(placed: DataFrame, sizes: DataFrame | None, keys: list[str], value: str,
-              ranks: Mapping[str, Rank]) -> DataFrame:
+    placed = written(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()), "ranges")
     targets = F.array(*[
         F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("bigint").alias("rank"))
         for name, rank in ranks.items()])
@@ -84,21 +56,19 @@ def _at_ranks(placed: DataFrame, sizes: DataFrame | None, keys: list[str], value
     def between(low: Column, high: Column) -> Column:
         return F.filter("_targets", lambda t: (t["rank"] > low) & (t["rank"] <= high))
 
-    if sizes is None:
-        wanted = (placed.withColumn("_n", F.sum("_count").over(Window.partitionBy(*keys)))
-                  .withColumns({"_targets": targets, "_before": F.lit(0)}))
-    else:
-        # At most one row per range of a group in these windows.
-        group = Window.partitionBy(*keys)
-        before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        held = (sizes.withColumn("_n", F.sum("_size").over(group))
-                .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-                .withColumn("_targets", targets)
-                .withColumn("_targets", between(F.col("_before"), F.col("_before") + F.col("_size")))
-                .filter(F.size("_targets") > 0).drop("_size"))
-        wanted = placed.join(held, [*keys, "_range"])
-    parts = keys if sizes is None else [*keys, "_range"]
-    upto = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    # At most one row per range of a group in these windows.
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*keys, "_range").agg(F.sum("_count").alias("_size"))
+    held = (sizes.withColumn("_n", F.sum("_size").over(group))
+            .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+            .withColumn("_targets", targets)
+            .withColumn("_targets", between(F.col("_before"), F.col("_before") + F.col("_size")))
+            .filter(F.size("_targets") > 0).drop("_size"))
+    held = held.withColumnsRenamed({k: f"_held_{k}" for k in (*keys, "_range")})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_held_{k}")) for k in (*keys, "_range")])
+    wanted = placed.join(held, same).select(*keys, "_range", value, "_count", "_n", "_before", "_targets")
+    upto = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     found = (
         wanted.withColumn("_upto", F.col("_before") + F.sum("_count").over(upto))
         .withColumn("_hits", between(F.col("_upto") - F.col("_count"), F.col("_upto")))
@@ -109,12 +79,11 @@ def _at_ranks(placed: DataFrame, sizes: DataFrame | None, keys: list[str], value
         *[F.max(F.when(F.array_contains("_names", name), F.col(value))).alias(name) for name in ranks])
 
 
-def medians(df: DataFrame, keys: Sequence[str], value: str, name: str, **limits: int) -> DataFrame:
+def medians(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """The interpolated median of `value` per group, from the two middle values."""
-    return medians_of_counts(counted(df, keys, value), keys, value, name, **limits)
+    return medians_of_counts(counted(df, keys, value), keys, value, name)
 
 
-def medians_of_counts(counts: DataFrame, keys: Sequence[str], value: str, name: str,
-                      **limits: int) -> DataFrame:
-    middle = values_at_ranks(counts, keys, value, {"_low": lower_middle, "_high": upper_middle}, **limits)
+def medians_of_counts(counts: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    middle = values_at_ranks(counts, keys, value, {"_low": lower_middle, "_high": upper_middle})
     return middle.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias(name))

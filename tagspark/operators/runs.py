@@ -63,11 +63,11 @@ def costs(tasks: DataFrame, prices: DataFrame, *by: str, model: str = "model_id"
             .select(*by, model, "tasks", "input_tokens", "output_tokens", "cost_usd", "cost_per_task_usd"))
 
 
-def latency_per_action(actions: DataFrame, *by: str, ms: str = "ms", **limits: int) -> DataFrame:
+def latency_per_action(actions: DataFrame, *by: str, ms: str = "ms") -> DataFrame:
     """AG-17, WN-3: calls and nearest-rank p50 and p95 of each action seen."""
     keys = [*by, "action"]
     return (values_at_ranks(counted(actions, keys, ms), keys, ms,
-                            {"p50": nearest_rank(50), "p95": nearest_rank(95)}, **limits)
+                            {"p50": nearest_rank(50), "p95": nearest_rank(95)})
             .select(*keys, F.col("_n").alias("calls"), "p50", "p95"))
 
 

@@ -19,10 +19,13 @@ def _is_image(path: Column) -> Column:
 def image_content(spark: SparkSession, root: str) -> DataFrame:
     """SRC-2: path and bytes of every image under `root`.
 
-    The ending is compared without regard to case. Bytes are only read when a
-    later step asks for them.
+    The ending is compared without regard to case, and before a file is
+    opened, so that large files of other kinds do no harm. Bytes are only read
+    when a later step asks for them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    letters = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", "*.{" + ",".join(map(letters, fixed.IMAGE_EXTENSIONS)) + "}").load(root))
     return (files.select(F.regexp_replace("path", r"\Afile:(//)?", "").alias("path"), "content")
             .filter(_is_image(F.col("path"))))
 

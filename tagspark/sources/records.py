@@ -16,26 +16,30 @@ RESULTS = "path string, category string, model string, tags array<string>, highl
 LOG = "ts string, level string, logger string, event string, image string, ms double, error_type string"
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-5: results saved as one JSON array or as JSON lines."""
-    return (spark.read.schema(RESULTS).json(path, multiLine=True)
-            .withColumn("ord", F.monotonically_increasing_id()))
+def read_results(spark: SparkSession, path: str, as_array: bool = False) -> DataFrame:
+    """SRC-5: results saved as JSON lines, or with `as_array` as one JSON array per file.
+
+    `ord` is the ordinal the rows were saved with; rows without one get a
+    number that tells them apart.
+    """
+    return (spark.read.schema(f"{RESULTS}, ord bigint").json(path, multiLine=as_array)
+            .withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id())))
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """SNK-1: CSV when the path ends so, JSON lines otherwise."""
+    """SNK-1: CSV when the path ends so, JSON lines otherwise, with `ord` where the rows have one."""
     if path.endswith(".csv"):
         joined = {c: F.array_join(c, "; ") for c in ("highlights", "tags")}
         (results.select("path", "category", "model", "highlights", "tags").withColumns(joined)
          .write.csv(path, header=True, escape='"'))
     else:
-        results.select("path", "category", "model", "tags", "highlights").write.json(path)
+        ordinal = ["ord"] if "ord" in results.columns else []
+        results.select("path", "category", "model", "tags", "highlights", *ordinal).write.json(path)
 
 
 def recorded_settings(arguments: Mapping[str, object]) -> dict[str, object]:
-    """The arguments that change what a run produces and were given."""
-    kept = {name: arguments[name] for name in fixed.RECORDED_SETTINGS
-            if arguments.get(name) is not None and arguments.get(name) is not False}
+    """The arguments that change what a run produces and were given; 0 counts as not given, as False does."""
+    kept = {name: arguments[name] for name in fixed.RECORDED_SETTINGS if arguments.get(name) not in (None, False)}
     if kept.get("from_sheet"):
         kept = {k: v for k, v in kept.items() if k not in fixed.SETTINGS_UNUSED_FROM_SHEET}
     return kept
@@ -79,7 +83,7 @@ def write_review(table: DataFrame, path: str) -> None:
     table.write.csv(path, header=True, escape='"')
 
 
-def write_evaluation(path: str, metrics: DataFrame, per_tag: DataFrame, baselines: DataFrame,
+def write_evaluation(path: str, *, metrics: DataFrame, per_tag: DataFrame, baselines: DataFrame, verdict: DataFrame,
                      workflow: DataFrame, records: DataFrame) -> None:
     """SNK-7: one JSON folder per part of the report.
 
@@ -87,5 +91,5 @@ def write_evaluation(path: str, metrics: DataFrame, per_tag: DataFrame, baseline
     than put together in one document.
     """
     for name, part in {"metrics": metrics, "per_tag": per_tag, "baselines": baselines,
-                       "workflow": workflow, "records": records}.items():
+                       "verdict": verdict, "workflow": workflow, "records": records}.items():
         part.write.json(f"{path.rstrip('/')}/{name}")

@@ -35,6 +35,16 @@ def test_images(spark, folder):
     assert kinds["x.jpeg"] == "image/png" and kinds["c.png"] == "image/jpeg"
 
 
+def test_large_files_of_other_kinds_are_not_read(spark, folder):
+    put(folder, "a.JPG", JPEG)
+    put(folder, "clip.mp4", b"x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert [r["media_type"] for r in images.encoded_images(spark, folder).collect()] == ["image/jpeg"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_listing_reads_no_bytes(spark, folder):
     put(folder, "a.jpg")
     plan = images.list_images(spark, folder)._jdf.queryExecution().executedPlan().toString()
@@ -79,12 +89,21 @@ def test_results_round_trip(spark, folder):
         "path": "/x/a.jpg", "category": "TV", "model": "M", "highlights": "a", "tags": 'a; b "q"'}
     with open(f"{folder}/one.json", "w") as f:
         json.dump([{"path": "p1", "tags": ["a"]}, {"path": "p2", "tags": [], "highlights": []}], f, indent=2)
-    assert [r["path"] for r in records.read_results(spark, f"{folder}/one.json").orderBy("ord").collect()] == ["p1", "p2"]
+    assert [r["path"] for r in records.read_results(spark, f"{folder}/one.json", as_array=True).orderBy("ord").collect()] == ["p1", "p2"]
+
+
+def test_results_keep_rows_and_order(spark, folder):
+    rows = spark.createDataFrame([(f"p{i}", None, None, [str(i)], [], 99 - i) for i in range(100)], f"{records.RESULTS}, ord bigint")
+    records.write_results(rows.repartition(3), f"{folder}/lines")
+    got = records.read_results(spark, f"{folder}/lines").orderBy("ord").collect()
+    assert [r["path"] for r in got] == [f"p{99 - i}" for i in range(100)]
+    records.write_results(rows.drop("ord").coalesce(1), f"{folder}/unnumbered")
+    assert records.read_results(spark, f"{folder}/unnumbered").select("ord").distinct().count() == 100
 
 
 def test_run_records(spark, folder):
-    assert records.recorded_settings({"provider": "p", "limit": None, "enrich": False, "few_shot": 0, "verbose": True}) == {
-        "provider": "p", "few_shot": 0}
+    assert records.recorded_settings({"provider": "p", "limit": None, "enrich": False, "few_shot": 0, "sample": 0.0, "verbose": True}) == {
+        "provider": "p"}
     assert records.recorded_settings({"provider": "p", "workers": 1, "from_sheet": True, "metric": "views"}) == {
         "from_sheet": True, "metric": "views"}
     payload = spark.createDataFrame([(3,)], "images int")
@@ -156,5 +175,7 @@ def test_log_and_exports(spark, folder):
     one = spark.createDataFrame([("a, b", 'say "x"')], "`Image name` string, Why string")
     records.write_review(one, f"{folder}/review")
     assert tuple(spark.read.csv(f"{folder}/review", header=True, escape='"').first()) == ("a, b", 'say "x"')
-    records.write_evaluation(f"{folder}/eval", one, one, one, one, one)
-    assert sorted(os.listdir(f"{folder}/eval")) == ["baselines", "metrics", "per_tag", "records", "workflow"]
+    parts = ["baselines", "metrics", "per_tag", "records", "verdict", "workflow"]
+    records.write_evaluation(f"{folder}/eval", **{p: one.withColumn("part", F.lit(p)) for p in parts})
+    assert sorted(os.listdir(f"{folder}/eval")) == parts
+    assert all(spark.read.json(f"{folder}/eval/{p}").first()["part"] == p for p in parts)
