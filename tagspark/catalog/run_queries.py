@@ -167,15 +167,14 @@ def latest_results(spark, sf_dir):
 
 @query(sql("SELECT run_id, count(*) AS images, max(created) AS created FROM latest GROUP BY run_id", "history"))
 def runs_summary(spark, sf_dir):
-    return results.runs_summary(results.latest_results(A.history(spark, sf_dir)))
+    return results.runs_summary(A.history(spark, sf_dir))
 
 
 @query(sql("""
 SELECT run_id, image_path AS image_name, value FROM latest WHERE run_id = (
   SELECT run_id FROM latest GROUP BY run_id ORDER BY max(created) DESC, run_id LIMIT 1)""", "history"))
 def newest_run_rows(spark, sf_dir):
-    latest = results.latest_results(A.history(spark, sf_dir))
-    return results.run_rows(latest).select("run_id", "image_name", "value")
+    return results.run_rows(A.history(spark, sf_dir)).select("run_id", "image_name", "value")
 
 
 def _history_rows(spark, sf_dir):

@@ -109,7 +109,8 @@ counts AS (SELECT tag, count(*) AS n, min(ord * 1000 + pos) AS first_place FROM
 @query(sql(COUNTED + " SELECT tag, n, first_place FROM counts", "tagged"))
 def tag_counts(spark, sf_dir):
     counts = tagging.ranked(tagging.tag_counts(A.items(spark, sf_dir), "truth"))
-    return counts.select("tag", "n", (F.col("first_seen.ord") * 1000 + F.col("first_seen._pos")).alias("first_place"))
+    ordinal, position = tagging.place_parts(F.col("first_seen"))
+    return counts.select("tag", "n", (ordinal * 1000 + position).alias("first_place"))
 
 
 @query(sql(COUNTED + " SELECT tag, n FROM counts ORDER BY n DESC, first_place LIMIT 5", "tagged"))
@@ -158,10 +159,8 @@ def exact_match(spark, sf_dir):
 
 
 @query(sql("""
-, t AS (SELECT ord, unnest(list_distinct(truth)) AS tag FROM tagged),
-p AS (SELECT ord, unnest(list_distinct(pred)) AS tag FROM tagged)
-SELECT coalesce(t.ord, p.ord) AS ord, coalesce(t.tag, p.tag) AS tag, t.ord IS NOT NULL AS in_truth,
-  p.ord IS NOT NULL AS in_predicted FROM t FULL JOIN p ON t.ord = p.ord AND t.tag = p.tag""", "tagged"))
+, named AS (SELECT ord, truth, pred, unnest(list_distinct(truth || pred)) AS tag FROM tagged)
+SELECT ord, tag, list_contains(truth, tag) AS in_truth, list_contains(pred, tag) AS in_predicted FROM named""", "tagged"))
 def tag_matches(spark, sf_dir):
     rows = A.tagged(spark, sf_dir)
     return quality.matches(rows.select("ord", F.col("truth").alias("tags")),
@@ -306,7 +305,9 @@ def first_examples(spark, sf_dir):
         "path", F.array_join("truth", "+").alias("tags"))
 
 
-@query()
+@query(sql("""
+SELECT path, array_to_string(truth, '+') AS tags FROM judged WHERE len(truth) > 0
+ORDER BY sha256(encode('17') || '\\x00'::BLOB || encode(path)), path LIMIT 8""", "judged"))
 def seeded_draw(spark, sf_dir):
     return examples.draw(A.judged(spark, sf_dir).filter(F.size("truth") > 0), 8, seed=17).select(
         "path", F.array_join("truth", "+").alias("tags"))

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from tagspark.catalog import adapters as A
 from tagspark.catalog.adapters import sql
 from tagspark.catalog.registry import query
-from tagspark.catalog.replay import BREAK, ReplayScorer
+from tagspark.catalog.replay import BREAK, FollowingScorer, ReplayScorer
 from tagspark.functions import answers, paths
 from tagspark.functions.tags import feedback
 from tagspark.operators import evidence, runs
+from tagspark.operators.consistency import summary
+from tagspark.operators.examples import draw_pool
 from tagspark.operators.tagging import validated
 from tagspark.plans.answer_job import parse_answers as parse_all
 from tagspark.plans.evidence_job import proposals
@@ -272,10 +274,49 @@ def evaluation_job(spark, sf_dir):
     return report.metrics
 
 
-@query(ITEMS + "SELECT count(*) AS images, 1.0::DOUBLE AS mean_agreement, 0::BIGINT AS unstable FROM final")
-def stability_job(spark, sf_dir):
-    from tagspark.operators.consistency import summary
+def _followed(spark, sf_dir):
+    path = F.concat(F.lit("catalog/"), "p_type", F.lit("/"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit(".jpg"))
+    return A.table(spark, sf_dir, "part").select(
+        path.alias("path"), F.col("p_name").cast("binary").alias("content"), F.split("p_name", " ").alias("truth"))
+
 
-    items = _items(spark, sf_dir).drop("truth")
-    first = tag_items(items, ReplayScorer, **OPTIONS)
-    return summary(stability(first, items, ReplayScorer, **OPTIONS))
+FOLLOWED = f"""
+WITH items AS (
+  SELECT 'catalog/' || p_type || '/' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.jpg' AS path, string_split(p_name, ' ') AS w
+  FROM part),
+one AS (SELECT list(path ORDER BY path) AS paths, list(w[-1] ORDER BY path) AS tags
+  FROM (SELECT * FROM items ORDER BY path LIMIT 3)),
+two AS (SELECT list(path ORDER BY k, path) AS paths, list(w[-1] ORDER BY k, path) AS tags
+  FROM (SELECT *, sha256(encode('17') || '\\x00'::BLOB || encode(path)) AS k FROM items ORDER BY k, path LIMIT 3)),
+answers AS (
+  SELECT i.path, len(w) AS words,
+    list_distinct([x FOR x IN [w[1], CASE WHEN one.paths[1] = i.path THEN one.tags[2] ELSE one.tags[1] END]
+      IF list_contains({A.VOCABULARY}, x)]) AS a,
+    list_distinct([x FOR x IN [w[1], CASE WHEN two.paths[1] = i.path THEN two.tags[2] ELSE two.tags[1] END]
+      IF list_contains({A.VOCABULARY}, x)]) AS b
+  FROM items i, one, two),
+agreed AS (SELECT *, CASE WHEN len(a) + len(b) = 0 THEN 1.0
+    ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END AS agreement FROM answers)"""
+
+
+@query(FOLLOWED + """
+SELECT count(*) AS images, avg(agreement) AS mean_agreement, count(*) FILTER (agreement < 0.7) AS unstable FROM agreed""")
+def stability_job(spark, sf_dir):
+    """Two runs whose examples are drawn differently, by a scorer whose answers depend on them."""
+    labelled = _followed(spark, sf_dir)
+    items = labelled.drop("truth")
+    first = tag_items(items, FollowingScorer, pool=draw_pool(labelled, 2), **OPTIONS)
+    return summary(stability(first, items, FollowingScorer, labelled=labelled, few_shot=2, **OPTIONS))
+
+
+@query(FOLLOWED + """
+SELECT path, array_to_string(list_sort(a), '|') AS tags, CAST(words AS BIGINT) AS retries FROM agreed""")
+def tagging_with_examples(spark, sf_dir):
+    """Tags of a run with examples, fingerprinted with them, and the retries its scorer reports."""
+    labelled = _followed(spark, sf_dir)
+    empty = spark.createDataFrame([], "key string, tags array<string>, rationale map<string,string>, "
+                                  "details struct<category:string,product:string,description:string,specs:string>")
+    run = tag_items(labelled.drop("truth"), FollowingScorer, pool=draw_pool(labelled, 2), memory=empty, passes=1, **OPTIONS)
+    # Copies share one request, and so the retries of the one that was asked.
+    asked = run.rows.join(run.calls.select("path", "retries"), "path", "left").groupBy("key").agg(F.max("retries").alias("retries"))
+    return run.rows.join(asked, "key").select("path", F.array_join(F.array_sort("tags"), "|").alias("tags"), "retries")

@@ -9,6 +9,7 @@ from tagspark import fixed
 from tagspark.functions.tags import ratio
 from tagspark.functions.text import tolerant_number
 from tagspark.operators.order_stats import medians_of_counts
+from tagspark.operators.tagging import place
 from tagspark.session import written
 
 
@@ -28,10 +29,10 @@ def tag_engagement(df: DataFrame, metric: str = "views", min_support: int = fixe
     # One shuffle on (tag, value) feeds the counts, the means and the medians.
     # Untagged rows stay in it without a tag, and every row is counted once in
     # `_rows`, so that the overall mean comes from the same shuffle.
+    rows = measured(df, metric).select(order, "value", F.posexplode_outer(tags).alias("_pos", "tag"))
     every = written(
-        measured(df, metric).select(order, "value", F.posexplode_outer(tags).alias("_pos", "tag"))
-        .groupBy("tag", "value")
-        .agg(F.count(F.lit(1)).alias("_count"), F.min(F.struct(F.col(order), "_pos")).alias("_first"),
+        rows.groupBy("tag", "value")
+        .agg(F.count(F.lit(1)).alias("_count"), F.min(place(rows, order, "_pos")).alias("_first"),
              F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("_rows")), "engagement")
     counts = every.filter(F.col("tag").isNotNull())
     overall = every.agg((F.sum(F.col("value") * F.col("_rows")) / F.sum("_rows")).alias("overall")).scalar()

@@ -14,22 +14,26 @@ def latest_results(rows: DataFrame, order: str = "write_ord") -> DataFrame:
     return last_per_key(rows, ["run_id", "image_path"], F.struct("created", order))
 
 
-def runs_summary(latest: DataFrame) -> DataFrame:
-    """AG-13, SL-7: images and last write of each run, newest first."""
-    return (latest.groupBy("run_id")
-            .agg(F.count(F.lit(1)).alias("images"), F.max("created").alias("created"))
+def runs_summary(history: DataFrame) -> DataFrame:
+    """AG-13, SL-7: images and last write of each run, newest first; reads three columns of all writes."""
+    return (history.groupBy("run_id")
+            .agg(F.count_distinct("image_path").alias("images"), F.max("created").alias("created"))
             .orderBy(F.desc("created"), "run_id"))
 
 
-def newest_run(latest: DataFrame) -> DataFrame:
+def newest_run(history: DataFrame) -> DataFrame:
     """AG-13: one row, the id of the newest run."""
-    return runs_summary(latest).limit(1).select("run_id")
+    newest = history.groupBy("run_id").agg(F.max("created").alias("created"))
+    return newest.orderBy(F.desc("created"), "run_id").limit(1).select("run_id")
 
 
-def run_rows(latest: DataFrame, run_id: str | None = None, limit: int | None = None) -> DataFrame:
-    """SRC-8, SL-7: the rows of one run, the newest by default, by image name."""
-    wanted = F.lit(run_id) if run_id else newest_run(latest).scalar()
-    rows = (latest.filter(F.col("run_id") == wanted)
+def run_rows(history: DataFrame, run_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """SRC-8, SL-7: the latest rows of one run, the newest by default, by image name.
+
+    `history` holds all writes; the run is picked before its rows are reduced.
+    """
+    wanted = F.lit(run_id) if run_id else newest_run(history).scalar()
+    rows = (latest_results(history.filter(F.col("run_id") == wanted))
             .withColumn("image_name", basename(F.col("image_path")))
             .orderBy("image_name", "image_path"))
     return rows.limit(limit) if limit else rows

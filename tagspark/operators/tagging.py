@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagspark.functions import tags as T
@@ -27,12 +27,31 @@ def in_vocabulary(df: DataFrame, vocabulary: DataFrame, tag: str = "tag", keep:
     return rows.join(terms, F.col("_norm") == F.col("_term"), how).drop("_norm")
 
 
+# A place packs an ordinal and a position below 2**31.
+_POSITIONS = 1 << 31
+
+
+def place(df: DataFrame, order: str, position: str) -> Column:
+    """Where a row's tag stands, in order of `order` and then position.
+
+    One number where `order` is a whole number, so that the first place is
+    found by hash aggregation; a struct, which Spark sorts for, otherwise.
+    """
+    if dict(df.dtypes)[order] in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(order).cast("decimal(20,0)") * F.lit(_POSITIONS) + F.col(position)
+    return F.struct(F.col(order), F.col(position))
+
+
+def place_parts(first: Column) -> tuple[Column, Column]:
+    """Ordinal and position of a packed place."""
+    ordinal = F.floor(first / F.lit(_POSITIONS)).cast("bigint")
+    return ordinal, (first - ordinal.cast("decimal(20,0)") * F.lit(_POSITIONS)).cast("int")
+
+
 def tag_counts(df: DataFrame, tags: str = "tags", order: str = "ord") -> DataFrame:
     """AG-1: how often each tag occurs, with where it occurred first."""
-    return (
-        df.select(order, F.posexplode(tags).alias("_pos", "tag"))
-        .groupBy("tag")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(order), "_pos")).alias("first_seen")))
+    rows = df.select(order, F.posexplode(tags).alias("_pos", "tag"))
+    return rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min(place(rows, order, "_pos")).alias("first_seen"))
 
 
 def ranked(counts: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagspark import fixed
 from tagspark.operators import consistency, engagement, metadata as sheet, quality, review, runs
-from tagspark.operators.examples import leave_one_out
+from tagspark.operators.examples import draw_pool
 from tagspark.plans.tagging_job import TaggingRun, tag_items, to_tasks
 from tagspark.session import written
 
@@ -47,10 +47,8 @@ def evaluate(labelled: DataFrame, scorer, *, model_id: str, few_shot: int = 0, *
     `labelled` has path, content and truth. Labels are not part of what the
     scorer is sent.
     """
-    items = labelled.select("path", "content")
-    if few_shot:
-        items = leave_one_out(items, labelled, few_shot)
-    run = tag_items(items, scorer, model_id=model_id, **options)
+    pool = draw_pool(labelled, few_shot) if few_shot else None
+    run = tag_items(labelled.select("path", "content"), scorer, model_id=model_id, pool=pool, **options)
     records = written(
         labelled.select("path", "truth").join(
             run.rows.select("path", F.col("tags").alias("predicted"), "error"), "path"), "records")
@@ -70,9 +68,11 @@ def insights(results: DataFrame, metadata: DataFrame, metric: str = "views",
         sheet.join_two_tier(results, metadata, row_id), metric, min_support, order=row_id)
 
 
-def stability(first: TaggingRun, items: DataFrame, scorer, *, model_id: str, **options) -> DataFrame:
-    """JOB-4: ask everything once more, without memory, and compare by path."""
-    second = tag_items(items, scorer, model_id=model_id, memory=None, **options)
+def stability(first: TaggingRun, items: DataFrame, scorer, *, model_id: str, labelled: DataFrame | None = None,
+              few_shot: int = 0, seed: int = fixed.SECOND_DRAW_SEED, **options) -> DataFrame:
+    """JOB-4: ask everything once more, without memory and with another draw of examples, and compare by path."""
+    pool = draw_pool(labelled, few_shot, seed) if few_shot else None
+    second = tag_items(items, scorer, model_id=model_id, memory=None, pool=pool, **options)
     return consistency.compare_passes(
         first.rows.withColumn("ord", F.col("path")), second.rows.withColumn("ord", F.col("path")))
 

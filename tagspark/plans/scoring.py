@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -16,9 +16,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ANSWER = ("path string, key string, context string, text string, tags array<string>, reasons map<string, string>, "
           "category string, product string, description string, specs string, "
-          "input_tokens bigint, output_tokens bigint, ms double, error string")
+          "input_tokens bigint, output_tokens bigint, retries bigint, ms double, error string")
 _FIELDS = ("text", "tags", "reasons", "category", "product", "description", "specs",
-           "input_tokens", "output_tokens")
+           "input_tokens", "output_tokens", "retries")
 
 
 def _as_fields(answer: Any) -> dict[str, Any]:
@@ -30,16 +30,20 @@ def _as_fields(answer: Any) -> dict[str, Any]:
     return {name: get(name) for name in _FIELDS}
 
 
-def ask(requests: DataFrame, scorer: Callable[[], Any]) -> DataFrame:
+def ask(requests: DataFrame, scorer: Callable[[], Any], examples: tuple[Sequence[dict], int] | None = None) -> DataFrame:
     """U-1, U-3: one answer per request, or the error it met.
 
-    `requests` has path, key, content_b64, media_type, context, examples and
-    feedback. `scorer()` is called once per task and gives an object with
+    `requests` has path, key, content_b64, media_type, context and feedback.
+    `examples` are a pool and how many of it to show with an item, its own
+    left out; they travel once per task, not per request. `scorer()` is called once per task and gives an object with
     `predict` (image, media type, context, examples, feedback) or the plainer
     `predict_tags` (without feedback). Requests carry whole images; Spark bounds
     an Arrow batch in bytes (`spark.sql.execution.arrow.maxBytesPerBatch`). An answer may be a raw text, a tag list,
     or an object or dict with any of the answer's fields.
     """
+    def shown(path: str) -> list[dict] | None:
+        return None if examples is None else [e for e in examples[0] if e["path"] != path][:examples[1]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = scorer()
         full = getattr(client, "predict", None)
@@ -48,7 +52,7 @@ def ask(requests: DataFrame, scorer: Callable[[], Any]) -> DataFrame:
             for r in batch.itertuples(index=False):
                 row = dict.fromkeys((*_FIELDS, "error"))
                 started = time.perf_counter()
-                given = {"context": r.context, "examples": r.examples}
+                given = {"context": r.context, "examples": shown(r.path)}
                 try:
                     if full is None:
                         answer = client.predict_tags(r.content_b64, r.media_type, **given)
@@ -60,8 +64,8 @@ def ask(requests: DataFrame, scorer: Callable[[], Any]) -> DataFrame:
                 row.update(path=r.path, key=r.key, context=r.context, ms=(time.perf_counter() - started) * 1000)
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["path", "key", "context", *_FIELDS, "ms", "error"]).astype(
-                {"input_tokens": "Int64", "output_tokens": "Int64"})
+                {"input_tokens": "Int64", "output_tokens": "Int64", "retries": "Int64"})
 
     return requests.select(
-        "path", "key", "content_b64", "media_type", "context", "examples", "feedback"
+        "path", "key", "content_b64", "media_type", "context", "feedback"
     ).mapInPandas(run, ANSWER)

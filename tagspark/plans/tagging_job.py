@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 
 from tagspark import fixed
 from tagspark.functions import tags as T
-from tagspark.functions.images import base64_text, examples_key, media_type, request_key
+from tagspark.functions.images import base64_text, media_type, request_key
 from tagspark.functions.paths import context_from_path, split_context
 from tagspark.functions.text import blank, filled
 from tagspark.functions.answers import prediction
 from tagspark.operators.evidence import Rules
-from tagspark.operators.keyed import lookup
+from tagspark.operators.examples import Pool
+from tagspark.operators.keyed import last_per_key, lookup
+from tagspark.operators.slots import maybe_in, slot_filter
 from tagspark.plans.evidence_job import proposals
 from tagspark.plans.scoring import ask
 from tagspark.session import written
 from tagspark.sources.vocabulary import allowed_tags, family
 
 NO_TAGS = "array<string>"
+# Requests of a look (a path, a context and a feedback each) that are handed to
+# every task; with more of them the items asked about are shuffled instead.
+BROADCAST_REQUESTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -74,51 +79,57 @@ def tag_items(items: DataFrame, scorer: Callable[[], Any], *, model_id: str,
               memory: DataFrame | None = None, corpus: DataFrame | None = None,
               rules: Rules = fixed.EVIDENCE_RULES, brand: str = "",
               known_folders: Sequence[str] = tuple(fixed.KNOWN_CATEGORIES),
-              passes: int = fixed.MAX_PASSES, tasks: int | None = None) -> TaggingRun:
+              passes: int = fixed.MAX_PASSES, pool: Pool | None = None) -> TaggingRun:
     """Tag every item: look, check against the vocabulary, look again when weak.
 
-    `items` has a unique `path`, `content`, and optionally `context` and
-    `examples`. With a `memory` an identical request is asked once: earlier
-    answers and repeats inside the batch are reused, an identical request
-    shares its outcome even when that is an error. `tasks` sets how many
-    requests run side by side. Every answer is written to the shared folder
+    `items` has a unique `path`, `content`, and optionally `context`; a `pool`
+    gives the examples shown with each. With a `memory` an identical request is
+    asked once: earlier answers (the last per key) and repeats inside the batch
+    are reused, an identical request shares its outcome even when that is an
+    error. As many requests run side by side as the items have partitions. Every answer is written to the shared folder
     before it is used, so no later step asks the scorer again.
     """
     vocabulary = allowed_tags() if vocabulary is None else list(vocabulary)
     highlight_family = family() if highlight_family is None else list(highlight_family)
     told = filled(F.col("context")) if "context" in items.columns else F.lit(None).cast("string")
-    examples = F.col("examples") if "examples" in items.columns else F.lit(None).cast(NO_TAGS)
     context = F.coalesce(told, filled(context_from_path(F.col("path"), known_folders)))
-    source = items.select("path", "content", context.alias("context"), examples.alias("examples"))
+    source = items.select("path", "content", context.alias("context"))
 
     if memory is None:
         requests = source.select("path", "context", F.col("path").alias("key"))
         work = requests
     else:
-        shown = examples_key(F.col("examples")) if "examples" in items.columns else None
+        order = F.col("created") if "created" in memory.columns else F.col("key")
+        memory = last_per_key(memory, ["key"], order)
+        shown = None if pool is None else pool.key(F.col("path"))
         key = request_key(base64_text(F.col("content")), F.lit(model_id), F.col("context"),
                           examples=shown, extra="enrich" if corpus is not None else "")
         # Hashing reads every byte once; from here on the table is narrow.
         requests = written(source.select("path", "context", key.alias("key")), "requests")
         heads = requests.groupBy("key").agg(F.min_by(F.struct("path", "context"), "path").alias("_head"))
-        work = (heads.join(memory.select("key"), "key", "left_anti")
-                .select("_head.path", "_head.context", "key"))
+        work = written(heads.join(memory.select("key"), "key", "left_anti")
+                       .select("_head.path", "_head.context", "key"), "work")
 
     proposed = None if corpus is None else written(
         proposals(requests, corpus, rules, brand), "proposals")
 
     def look(todo: DataFrame, attempt: int) -> DataFrame:
         # Without a memory the first look is at everything: no join, no shuffle
-        # of the images. Otherwise only what is asked about is sent.
-        everything = memory is None and attempt == 1
-        sent = (source.withColumn("key", F.col("path")).withColumn("feedback", F.lit(None).cast("string"))
-                if everything else source.drop("context").join(todo, "path"))
+        # of the images. Otherwise images are picked where they lie. Only with
+        # very many requests they move, and then only those asked about: a
+        # filter of fixed size keeps the others out of the shuffle.
+        if memory is None and attempt == 1:
+            sent = source.withColumn("key", F.col("path")).withColumn("feedback", F.lit(None).cast("string"))
+        elif todo.count() <= BROADCAST_REQUESTS:
+            sent = source.drop("context").join(F.broadcast(todo), "path")
+        else:
+            asked = slot_filter(todo, F.xxhash64("path"))
+            sent = maybe_in(source.drop("context"), F.xxhash64("path"), asked).filter("maybe").drop("maybe").join(todo, "path")
         sent = sent.select(
-            "path", "key", "context", "examples", "feedback",
+            "path", "key", "context", "feedback",
             base64_text(F.col("content")).alias("content_b64"), media_type(F.col("content")).alias("media_type"))
-        if tasks:
-            sent = sent.repartition(tasks, "path")
-        return written(ask(sent, scorer), f"answers-{attempt}").withColumn("attempts", F.lit(attempt))
+        shown = None if pool is None else (pool.entries, pool.limit)
+        return written(ask(sent, scorer, shown), f"answers-{attempt}").withColumn("attempts", F.lit(attempt))
 
     answers = look(work.withColumn("feedback", F.lit(None).cast("string")), 1)
     calls = [answers]
@@ -168,7 +179,8 @@ def tag_items(items: DataFrame, scorer: Callable[[], Any], *, model_id: str,
         calls=all_calls.select(
             "path", F.lit("model").alias("action"), "attempts", "ms",
             F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"),
-            F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"), "error"),
+            F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"),
+            F.coalesce("retries", F.lit(0)).alias("retries"), "error"),
     )
 
 
@@ -191,11 +203,10 @@ def to_tasks(run: TaggingRun, run_id: str = "adhoc") -> DataFrame:
     """AG-14..16: one row per item with what it took."""
     used = run.calls.groupBy("path").agg(
         F.count(F.lit(1)).alias("model_calls"), F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"))
+        F.sum("output_tokens").alias("output_tokens"), F.sum("retries").alias("retries"))
     none = F.lit(0).cast("bigint")
     return (run.rows.select("path", "tags", "cached", "error", F.col("model").alias("model_id"))
             .join(used, "path", "left")
             .select(F.lit(run_id).alias("run_id"), F.col("path").alias("task_id"), "model_id",
                     F.size("tags").alias("n_tags"), F.col("error").isNotNull().alias("failed"), "cached",
-                    F.lit(0).alias("retries"),
-                    *[F.coalesce(c, none).alias(c) for c in ("model_calls", "input_tokens", "output_tokens")]))
+                    *[F.coalesce(c, none).alias(c) for c in ("retries", "model_calls", "input_tokens", "output_tokens")]))

@@ -7,6 +7,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tagspark.operators import consistency, runs
+from tagspark.operators.examples import draw_pool
 from tagspark.plans import reports
 from tagspark.plans.tagging_job import tag_items, to_history, to_results, to_tasks
 
@@ -183,6 +184,48 @@ def test_stability(spark):
     assert tuple(consistency.summary(compared).first()) == (2, 0.5, 2)
 
 
+def test_stability_draws_other_examples(spark):
+    labelled = spark.createDataFrame([(f"TV/M/{i}.jpg", b"x", [t]) for i, t in enumerate(("colour", "left", "right", "case", "top"))],
+                                     "path string, content binary, truth array<string>")
+    given = labelled.drop("truth")
+    first = tag_items(given, Peeking, model_id="m", pool=draw_pool(labelled, 2))
+    compared = reports.stability(first, given, Peeking, model_id="m", labelled=labelled, few_shot=2)
+    assert consistency.summary(compared).first()["mean_agreement"] < 1.0
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_images_do_not_move_and_many_requests_move_only_what_is_asked(spark, monkeypatch, most):
+    from tagspark.plans import tagging_job
+    monkeypatch.setattr(tagging_job, "BROADCAST_REQUESTS", most)
+    seen, write = [], tagging_job.written
+
+    def watching(df, name):
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(tagging_job, "written", watching)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run = tagged(spark, reasoning(["velvet", "harbour"], ["top"]), "a", "b", "a", memory=remembering(spark))
+        assert {tuple(r["tags"]) for r in run.rows.collect()} == {("top",)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plans = [p for name, p in seen if name.startswith("answers")]
+    assert len(plans) == 2
+    if most:
+        assert not any("Exchange hashpartitioning" in p or "Sort " in p for p in plans)
+    else:
+        assert all("BroadcastExchange" in p and "Filter" in p for p in plans)
+
+
+def test_a_repeated_key_of_the_memory_counts_once(spark):
+    scorer = plain(["top"])
+    left = tagged(spark, scorer, "x", memory=remembering(spark)).memory_rows
+    again = tagged(spark, scorer, "x", memory=left.unionByName(left))
+    assert again.rows.count() == 1 and only(again)["cached"]
+
+
 def test_run_report(spark):
     run = tagged(spark, reasoning(["top"]), "a", "b")
     prices = spark.createDataFrame([("stub", 1.0, 5.0)], "prefix string, usd_in double, usd_out double")

@@ -278,10 +278,10 @@ def test_results(spark):
                                  "run_id string, image_path string, created int, write_ord int, v string")
     latest = results.latest_results(rows)
     assert sorted(r["v"] for r in latest.collect()) == ["last", "new", "x"]
-    assert [r["run_id"] for r in results.runs_summary(latest).collect()] == ["r1", "r2"]
-    assert [r["v"] for r in results.run_rows(latest).collect()] == ["x", "new"]
-    assert [r["v"] for r in results.run_rows(latest, "r2").collect()] == ["last"]
-    assert [r["v"] for r in results.run_rows(latest, limit=1).collect()] == ["x"]
+    assert [r["run_id"] for r in results.runs_summary(rows).collect()] == ["r1", "r2"]
+    assert [r["v"] for r in results.run_rows(rows).collect()] == ["x", "new"]
+    assert [r["v"] for r in results.run_rows(rows, "r2").collect()] == ["last"]
+    assert [r["v"] for r in results.run_rows(rows, limit=1).collect()] == ["x"]
 
 
 def test_examples(spark):
