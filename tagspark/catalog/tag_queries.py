@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagspark.catalog import adapters as A
@@ -10,6 +11,8 @@ from tagspark.catalog.registry import query
 from tagspark.functions import tags as T
 from tagspark.functions.text import normalise
 from tagspark.operators import consistency, engagement, examples, quality, tagging
+from tagspark.session import fresh_path
+from tagspark.sources.vocabulary import read_vocabulary
 
 SCORED = """
 outcomes AS (
@@ -213,6 +216,30 @@ def failure_kinds(spark, sf_dir):
     return quality.failure_kinds(A.actions(spark, sf_dir), order="task_id")
 
 
+@query(sql("""
+SELECT string_split(error, ':')[1] AS kind, row_number() OVER (ORDER BY count(*) DESC, min(task_id)) AS rank
+FROM actions WHERE error IS NOT NULL GROUP BY 1""", "actions"))
+def failure_ranking(spark, sf_dir):
+    """Kinds of errors in their order; there are as many rows as kinds."""
+    kinds = quality.failure_kinds(A.actions(spark, sf_dir), order="task_id").withColumn("_at", F.monotonically_increasing_id())
+    return kinds.select("kind", F.row_number().over(Window.orderBy("_at")).cast("bigint").alias("rank"))
+
+
+@query("""
+WITH w AS (SELECT p_type AS general, p_brand AS tag FROM part),
+own AS (SELECT DISTINCT general, general AS tag FROM w UNION SELECT DISTINCT general, tag FROM w)
+SELECT general, tag FROM own
+UNION ALL SELECT NULL, c FROM (SELECT DISTINCT c_mktsegment AS c FROM customer) WHERE c NOT IN (SELECT tag FROM own)""")
+def vocabulary_file(spark, sf_dir):
+    """A taxonomy of types and brands with market segments as extras, written as a vocabulary file and read back."""
+    path = fresh_path(spark, "vocabulary")
+    groups = A.table(spark, sf_dir, "part").groupBy("p_type").agg(F.collect_set("p_brand").alias("specifics"))
+    book = groups.agg(F.map_from_entries(F.collect_list(F.struct("p_type", "specifics"))).alias("taxonomy"))
+    extra = A.table(spark, sf_dir, "customer").agg(F.collect_set("c_mktsegment").alias("observed_extra"))
+    book.withColumn("observed_extra", extra.scalar()).write.json(path)
+    return read_vocabulary(spark, path)
+
+
 @query(sql("""
 SELECT count(error) AS failed, count(*) AS rows, arg_min(error, task_id) FILTER (error IS NOT NULL) AS first_error
 FROM actions""", "actions"))

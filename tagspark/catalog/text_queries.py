@@ -18,7 +18,7 @@ from tagspark.plans.answer_job import parse_answers as parse_all
 from tagspark.plans.evidence_job import proposals
 from tagspark.plans.prompts import Wording, prompt
 from tagspark.plans.reports import evaluate, stability
-from tagspark.plans.tagging_job import tag_items, to_tasks
+from tagspark.plans.tagging_job import tag_items, to_results, to_tasks
 from tagspark.session import written
 
 
@@ -320,3 +320,36 @@ def tagging_with_examples(spark, sf_dir):
     # Copies share one request, and so the retries of the one that was asked.
     asked = run.rows.join(run.calls.select("path", "retries"), "path", "left").groupBy("key").agg(F.max("retries").alias("retries"))
     return run.rows.join(asked, "key").select("path", F.array_join(F.array_sort("tags"), "|").alias("tags"), "retries")
+
+
+@query("WITH" + A.SQL["corpus"] + f"""
+, items AS (
+  SELECT CASE WHEN p_partkey % 3 = 0 THEN 'upload/' ELSE 'catalog/' || p_type || '/' || p_brand || '/' END
+    || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.jpg' AS path, p_type, p_brand, string_split(p_name, ' ') AS w,
+    p_partkey % 3 <> 0 AS placed FROM part),
+found AS (SELECT p_type, p_brand, lower(arg_min(found, ord)) AS found FROM (SELECT DISTINCT p_type, p_brand FROM part)
+  JOIN corpus ON contains(lower(p_type || '   ' || p_brand), key) GROUP BY ALL),
+said AS (
+  SELECT path, CASE WHEN list_contains({A.VOCABULARY}, w[1]) THEN [w[1]] ELSE [] END
+    || CASE WHEN placed AND regexp_matches(found, '(^|\\W)winner') THEN ['hot'] ELSE [] END
+    || CASE WHEN placed AND regexp_matches(found, '(^|\\W)measured') THEN ['cold'] ELSE [] END AS tags
+  FROM items LEFT JOIN found USING (p_type, p_brand))
+SELECT path, array_to_string(list_sort(list_distinct(tags)), '|') AS tags FROM said""")
+def tagging_with_corpus(spark, sf_dir):
+    """Tags of a run that also takes what a corpus says about an item's product; items without a context are not looked up."""
+    folder = F.concat(F.lit("catalog/"), "p_type", F.lit("/"), "p_brand", F.lit("/"))
+    path = F.concat(F.when(F.col("p_partkey") % 3 == 0, "upload/").otherwise(folder),
+                    F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit(".jpg"))
+    items = A.table(spark, sf_dir, "part").select(path.alias("path"), F.col("p_name").cast("binary").alias("content"))
+    run = tag_items(items, FollowingScorer, corpus=A.corpus(spark, sf_dir), rules={"hot": ["winner"], "cold": ["measured"]},
+                    passes=1, **OPTIONS)
+    return run.rows.select("path", F.array_join(F.array_sort("tags"), "|").alias("tags"))
+
+
+@query(ITEMS + f"""
+SELECT path, category, '' AS model, array_to_string(tags, '|') AS tags, array_to_string({FAMILY_SQL}, '|') AS highlights FROM final""")
+def projected_results(spark, sf_dir):
+    """Rows of a run as saved results: category and model as the path tells them."""
+    rows = to_results(tag_items(_items(spark, sf_dir), ReplayScorer, **OPTIONS).rows)
+    return rows.select("path", "category", F.coalesce("model", F.lit("")).alias("model"),
+                       F.array_join("tags", "|").alias("tags"), F.array_join("highlights", "|").alias("highlights"))

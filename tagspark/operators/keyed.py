@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is split into parts of about this many rows.
-# At most rows / HOT_ROWS keys can be hot, which bounds the broadcast list of
-# them, and their look-up rows are repeated at most rows / HOT_ROWS times in all.
-HOT_ROWS = 1_000_000
+# Look-ups leave skew to adaptive execution, which splits the large side of a
+# left join. With a number here (or given to `lookup`) keys with more rows are
+# split into parts of about that many rows, at the cost of counting them first.
+HOT_ROWS: int | None = None
 # Rows without a key match nothing; they are spread over this many parts.
 KEYLESS_PARTS = 1 << 20
 
@@ -39,10 +39,11 @@ def key_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: Column,
-           hot_rows: int = HOT_ROWS, heat: DataFrame | None = None) -> DataFrame:
+           hot_rows: int | None = HOT_ROWS, heat: DataFrame | None = None) -> DataFrame:
     """Left join to a side that is unique on `keys`, safe for hot keys.
 
-    Rows of a key that `left` repeats more than `hot_rows` times are spread by
+    Without `hot_rows` this is a plain left join, whose skew adaptive execution
+    splits. With it, rows of a key that `left` repeats more than `hot_rows` times are spread by
     the hash of `row_id` (a column that differs between rows, so that the
     spread is the same when a task is run again) over as many parts as they
     fill; only for those keys the row of `right` is repeated once per part.
@@ -54,10 +55,11 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: Colum
     cheaply than by computing `left` twice; it decides balance alone, never
     the result.
     """
+    if hot_rows is None:
+        return left.join(right, list(keys), "left")
     sizes = key_sizes(left, keys) if heat is None else heat
-    hot = F.broadcast(
-        sizes.filter(F.col("_n") > hot_rows)
-        .select(*keys, F.ceil(F.col("_n") / max(hot_rows, 1)).alias("_salts")))
+    hot = (sizes.filter(F.col("_n") > hot_rows)
+           .select(*keys, F.ceil(F.col("_n") / max(hot_rows, 1)).alias("_salts")))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()

@@ -53,6 +53,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tagspark/{run}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; call when its results have been read."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tagspark/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 

@@ -25,13 +25,14 @@ def recognise(headers: Sequence[str]) -> dict[str, str]:
     return fields
 
 
-def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+def read_sheet(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """SRC-3: file, category, product, price, views as text, and `ord`, the row order.
 
     Only recognised columns are read; a field the sheet lacks is NULL. Numbers
-    stay text, as a cell may hold `1,234` or `n/a`.
+    stay text, as a cell may hold `1,234` or `n/a`. Large files are read in
+    many tasks, unless cells may hold line breaks: with `multi_line` each file is one task's.
     """
-    sheet = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    sheet = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     fields = recognise(sheet.columns)
     if "file" not in fields.values():
         raise ValueError(f"no file-name column in {path!r}; columns present: {sheet.columns}")

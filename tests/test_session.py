@@ -30,3 +30,12 @@ def test_a_written_table_is_computed_once(spark):
     kept = session.written(drawn, "drawn")
     assert kept.schema == drawn.schema or kept.columns == drawn.columns
     assert sorted(kept.collect()) == sorted(kept.collect())
+
+
+def test_written_tables_can_be_cleared(spark):
+    import os
+    session.written(spark.range(3), "gone").collect()
+    folder = f"{session.shared_dir(spark)}/tagspark/{spark.sparkContext.applicationId}".removeprefix("file:")
+    assert os.listdir(folder)
+    session.clear_written(spark)
+    assert not os.path.exists(folder)

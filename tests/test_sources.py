@@ -73,6 +73,23 @@ def test_sheet(spark, folder):
         sheet.read_sheet(spark, path)
 
 
+def test_sheet_in_many_tasks_keeps_the_order_of_its_rows(spark, folder):
+    path = os.path.join(folder, "long.csv")
+    with open(path, "w") as f:
+        f.write("Name,Price\n" + "".join(f"f{i}.jpg,{i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        read = sheet.read_sheet(spark, path)
+        assert read.rdd.getNumPartitions() > 4
+        assert [r["price"] for r in read.orderBy("ord").collect()] == [str(i) for i in range(5000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with open(path, "w") as f:
+        f.write('Name,Price\na.jpg,"1\n2"\nb.jpg,3\n')
+    assert [r["price"] for r in sheet.read_sheet(spark, path, multi_line=True).orderBy("ord").collect()] == ["1\n2", "3"]
+
+
 def test_vocabulary_file(spark, folder):
     path = os.path.join(folder, "v.json")
     with open(path, "w") as f:
