@@ -118,7 +118,7 @@ class Trie:
         """The payload byte of each (context, word), 0 where the trie has none: the context is found first, then its word among its own."""
         out = np.zeros(len(contexts), np.uint8)
         at = self.contexts.find(contexts)
-        known = np.flatnonzero(at >= 0)
+        known = np.flatnonzero(at >= 0) if len(self.payload) else np.zeros(0, np.int64)
         if len(known):
             c = at[known]
             place = self.words.find((c.astype(np.uint64) << U(32)) | words[known].astype(np.uint64),
