@@ -14,7 +14,7 @@ from tagspark.session import written
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # Entries a worker's word table holds before it starts afresh; results do not depend on it.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 
 def row_key(docs: DataFrame, id_col: str, key: str) -> tuple[DataFrame, bool]:

@@ -8,31 +8,46 @@ from pyspark.sql import functions as F
 from tagspark.session import written
 
 
+# Rows of two numbers (16 MB of them) that may be handed to every task; larger tables are joined by a shuffle.
+BROADCAST_PAIRS = 1_000_000
+
+
+def handed(pairs: DataFrame) -> DataFrame:
+    """A written table of two numbers per row, marked for broadcast where its rows are counted and few enough."""
+    return F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+
+
+def renamed(links: DataFrame, names: DataFrame) -> DataFrame:
+    """`links` (a, b) with every node that `names` (node, root) lists by its root; links within a root go."""
+    names = handed(names)
+    ends = (links.join(names.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
+            .join(names.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+            .select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")))
+    return ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def joined(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The names (node, root) of `first`, with its roots renamed by `second`, and those that only `second` has."""
+    moved = first.join(handed(second).select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select(
+        "node", F.coalesce("to", "root").alias("root"))
+    fresh = second.join(handed(first).select("node"), "node", "left_anti")
+    return written(moved.unionByName(fresh.select("node", "root")), "roots")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of `links` (columns a, b): root is the smallest node it can reach.
 
-    Each round hooks every node to its smallest neighbour, follows that hook
-    once more, and renames the links by it; links inside a merged node vanish.
-    The smallest node of a component never moves, so it is what remains. The
-    minimum combines before the shuffle, and a node with very many links is
-    spread by the joins' skew handling.
+    Each round hooks every node to its smallest neighbour and renames the links
+    by it; links inside a merged node vanish. The smallest node of a component
+    never moves, so it is what remains. The minimum combines before the shuffle,
+    and a node with very many links is spread by the joins' skew handling.
     """
-    links = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    links = written(links.filter("a <> b").select("a", "b"), "links")
     found = None
     while not links.isEmpty():
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = written(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-                        .select("node", F.least("node", "to").alias("to")), "hooks")
-        again = hooks.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        hooks = written(hooks.join(again, "to").select("node", F.col("further").alias("to")), "hooks")
-        if found is None:
-            found = hooks.select("node", F.col("to").alias("root"))
-        else:
-            found = written(found.join(hooks.select(F.col("node").alias("root"), "to"), "root", "left")
-                            .select("node", F.coalesce("to", "root").alias("root")), "roots")
-        links = written(links.join(hooks.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
-                        .join(hooks.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-                        .filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
-    if found is None:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return found
+                        .select("node", F.least("node", "to").alias("root")), "hooks")
+        found = hooks if found is None else joined(found, hooks)
+        links = written(renamed(links, hooks), "links")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found

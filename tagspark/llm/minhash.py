@@ -4,22 +4,28 @@
    smallest hash a register keeps the count of leading zeros (6 bits) and the ten
    bits behind the leading one. Empty registers borrow the next filled one for banding.
 2. Documents of the same word sequence become one class. Classes that share one
-   of 32 bands of four registers are candidates.
+   of 50 bands are candidates. A band has as many registers, up to eight, as keep the
+   chance that a linked pair shares no band below `MISS`.
 3. Candidates whose Jaccard estimate, corrected for registers that agree by
    chance, lies six standard errors below the threshold are dropped; the rest is
    verified on the full sets of shingles.
 4. A band's members are not paired with each other at once: first all with two
-   pivots, and links are contracted to components; what is left in a band then
-   only matters where it lies in different components, and is paired until nothing is untested.
-
-At the threshold 0.85 a pair of long documents shares no band with probability
-6e-11, at 0.8 with 5e-8.
+   pivots of that band, and links are contracted to components. As the pivots
+   differ from band to band, a member of a large group of near copies meets many
+   of them and joins its component. What is left in a band then only matters
+   where it lies in different components, and is paired until nothing is untested.
+   Shingles that no other open member has bound what a pair can reach, so that
+   copies with many changes of their own are not paired in vain.
+
+At the threshold 0.85 bands have eight registers: a pair right at the threshold shares
+none with a probability of about 1e-7, a pair of similarity 0.5 is a candidate with one of 18 percent.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import OrderedDict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagspark.llm.common import (
-    WordHashes, arrow_pass, batch, maybe_in, mix, row_key, slot_filter, without, words_of,
+    WordHashes, arrow_pass, batch, mix, row_key, without, words_of,
 )
-from tagspark.llm.components import components
+from tagspark.llm.components import components, handed, joined, renamed
 from tagspark.session import written
 
 SHINGLE = 5
 BUCKET_BITS = 7
 MANTISSA = 10
-BANDS, BAND_ROWS = 32, 4
+BANDS, MOST_ROWS = 50, 8
+MISS = 1e-5
 MARGIN = 6.0
 # Pairs per document that are emitted at once; with more left, another pivot per band is tested first.
-PAIRS_PER_DOC = 8
-PIVOT_ROUNDS = 4
+PAIRS_PER_DOC = 4
+PIVOT_ROUNDS = 3
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -68,15 +75,24 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(regs: np.ndarray) -> np.ndarray:
-    """One key per band of registers, empty ones filled by the next register that is not."""
+@lru_cache(maxsize=8)
+def band_registers(percent: int) -> np.ndarray:
+    """The registers of each band for a threshold: runs of shuffled orders of all registers."""
+    rows = max(r for r in range(1, MOST_ROWS + 1) if r == 1 or (1 - (percent / 100) ** r) ** BANDS <= MISS)
+    size = 1 << BUCKET_BITS
+    orders = [np.random.default_rng(i).permutation(size)[:size // rows * rows].reshape(-1, rows) for i in range(BANDS)]
+    return np.concatenate(orders)[:BANDS]
+
+
+def bands(regs: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """One key per band, a row of `chosen` registers; empty registers are filled by the next one that is not."""
     filled = np.flatnonzero(regs)
     if not len(filled):
         return np.zeros(0, np.int64)
     full = regs[filled[np.searchsorted(filled, np.arange(len(regs))) % len(filled)]]
-    rows = full[:BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(np.uint64)
+    rows = full[chosen].astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(BAND_ROWS):
+    for k in range(chosen.shape[1]):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k] + np.uint64(1))
     return key.view(np.int64)
 
@@ -98,8 +114,10 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.clip((agree - by_chance) / (1 - by_chance), 0, 1), used
 
 
-def sketch(keyed: DataFrame) -> DataFrame:
+def sketch(keyed: DataFrame, percent: int) -> DataFrame:
     """_row, n_shingles, seq (SHA-256 of the words), regs, bands of every row of `keyed` (_row, text)."""
+    chosen = band_registers(percent)
+
     def step(batches):
         table = WordHashes()
         for rows in batches:
@@ -111,7 +129,7 @@ def sketch(keyed: DataFrame) -> DataFrame:
                 ns.append(len(hashes))
                 seqs.append(hashlib.sha256(b" ".join(words)).digest())
                 regs.append(r.tobytes())
-                keys.append(bands(r))
+                keys.append(bands(r, chosen))
             yield batch(_row=rows.column(0), n_shingles=pa.array(ns, pa.int64()), seq=pa.array(seqs, pa.binary()),
                         regs=pa.array(regs, pa.binary()), bands=pa.array(keys, pa.list_(pa.int64())))
 
@@ -119,12 +137,22 @@ def sketch(keyed: DataFrame) -> DataFrame:
                       "_row bigint, n_shingles bigint, seq binary, regs binary, bands array<bigint>")
 
 
+def both_sides(pairs: DataFrame, rows: DataFrame, values: list[str]) -> DataFrame:
+    """Pairs (a, b) with `values` of both rows, as value_a and value_b.
+
+    Pairs that are few enough are handed to every task, so that rows of no pair
+    stay where they are and the two halves meet on the pair itself, which no hot row can skew.
+    """
+    pairs = handed(pairs)
+    side = lambda c: pairs.join(rows.select(F.col("_row").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in values]), c)
+    return side("a").join(side("b"), ["a", "b"])
+
+
 def promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose set sizes and estimate leave room for the threshold."""
-    side = lambda c: sketches.select(F.col("_row").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-    both = (pairs.join(side("a"), "a").join(side("b"), "b")
-            .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            .select("a", "b", "n_a", "n_b", "regs_a", "regs_b"))
+    both = both_sides(pairs, sketches, ["n_shingles", "regs"])
+    both = both.filter(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")).select(
+        "a", "b", "n_shingles_a", "n_shingles_b", "regs_a", "regs_b")
     wanted = percent / 100
 
     def step(batches):
@@ -143,7 +171,7 @@ def promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 class ShingleSets:
     """Sets of whole shingles by row; the least recently used go when they hold more than `most` shingles."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         self.sets: OrderedDict = OrderedDict()
         self.size, self.most = 0, most
 
@@ -163,11 +191,7 @@ class ShingleSets:
 
 def verified(pairs: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
-    named = written(pairs, "pairs")
-    ids = named.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    texts = maybe_in(keyed.select("_row", "text"), F.xxhash64("_row"), slot_filter(ids, F.xxhash64("_row"))).filter("maybe").drop("maybe")
-    side = lambda c: texts.select(F.col("_row").alias(c), F.col("text").alias(f"text_{c}"))
-    both = named.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    both = both_sides(written(pairs, "pairs"), keyed, ["text"]).select("a", "b", "text_a", "text_b")
 
     def step(batches):
         sets = ShingleSets()
@@ -182,6 +206,24 @@ def verified(pairs: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     return written(arrow_pass(both, step, "a bigint, b bigint"), "verified")
 
 
+def shareable(ids: DataFrame, keyed: DataFrame) -> DataFrame:
+    """_row, n, most of the rows that `ids` lists: how many shingles they have, and how many of them another of these rows has too."""
+    texts = keyed.select("_row", "text").join(handed(written(ids, "open-rows")), "_row")
+
+    def step(batches):
+        table = WordHashes()
+        for rows in batches:
+            found = [shingle_hashes(table.of(words_of(t))).view(np.int64) for t in rows.column(1).to_pylist()]
+            yield batch(_row=rows.column(0), shingles=pa.array(found, pa.list_(pa.int64())))
+
+    sets = written(arrow_pass(texts, step, "_row bigint, shingles array<bigint>"), "open-shingles")
+    alone = (sets.select("_row", F.explode("shingles").alias("shingle")).groupBy("shingle")
+             .agg(F.count(F.lit(1)).alias("rows"), F.min("_row").alias("_row")).filter("rows = 1")
+             .groupBy("_row").agg(F.count(F.lit(1)).alias("alone")))
+    return written(sets.select("_row", F.size("shingles").cast("bigint").alias("n")).join(alone, "_row", "left").select(
+        "_row", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")), "shareable")
+
+
 def _classes(docs_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sketches of one row per word sequence (the smallest), and seq with that row."""
     first = docs_rows.filter("n_shingles > 0").groupBy("seq").agg(F.min("_row").alias("rep"))
@@ -192,48 +234,59 @@ def _classes(docs_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _roots(heads: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     """node, root of every class that is linked to another."""
     total = heads.count()
-    members = written(heads.select("_row", F.explode("bands").alias("band")), "bands")
-
-    def linked(pairs, links):
-        new = verified(promising(pairs.distinct(), heads, percent), keyed, percent)
-        return new if links is None else links.unionByName(new)
-
-    def with_roots(rows, roots):
-        named = roots.select(F.col("node").alias("_row"), "root")
-        return rows.join(named, "_row", "left").withColumn("root", F.coalesce("root", "_row"))
-
-    # Every member against the smallest and the largest of its band.
-    ends = members.groupBy("band").agg(F.min("_row").alias("low"), F.max("_row").alias("high")).filter("low < high")
-    beside = written(members.join(ends, "band"), "band-members")
-    pairs = beside.select(F.col("low").alias("a"), F.col("_row").alias("b")).unionByName(
-        beside.select(F.col("_row").alias("a"), F.col("high").alias("b"))).filter("a < b")
-    links = linked(pairs, None)
-    roots = components(links)
-    members = beside.filter("_row <> low AND _row <> high").select("_row", "band")
+    every = heads.select("_row", F.explode("bands").alias("band"))
+    shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    members = written(every.join(shared, "band").withColumn("draw", F.xxhash64("_row", "band")), "band-members")
+
+    def linked(pairs):
+        return verified(promising(written(pairs.distinct(), "candidates"), heads, percent), keyed, percent)
+
+    # Every member against two of its band, those with the first and the last draw.
+    at = F.struct("draw", "_row")
+    ends = members.groupBy("band").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    drawn = written(members.join(ends, "band").select("band", "_row", F.col("low._row").alias("low"), F.col("high._row").alias("high")), "drawn")
+    pairs = drawn.select("_row", F.explode(F.array("low", "high")).alias("pivot")).filter("_row <> pivot")
+    roots = components(linked(pairs.select(F.least("_row", "pivot").alias("a"), F.greatest("_row", "pivot").alias("b"))))
+    members = drawn.filter("_row <> low AND _row <> high").select("_row", "band")
+
+    def still_open(rows):
+        """Members of the bands whose untested members lie in different components; all others are settled."""
+        named = (rows.join(handed(roots).select(F.col("node").alias("_row"), "root"), "_row", "left")
+                 .withColumn("root", F.coalesce("root", "_row")))
+        open_bands = (named.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+                      .filter("least < most").select("band"))
+        return written(named.join(open_bands, "band"), "open-bands")
+
+    # Shingles that no other member of an open band has cannot be shared, which bounds what a pair can reach.
+    members = still_open(members).drop("root")
+    can_share = shareable(members.select("_row").distinct(), keyed)
+    members = members.join(handed(can_share), "_row").filter(100 * F.col("most") >= percent * F.col("n"))
+
+    def reaches(n_a, most_a, n_b, most_b):
+        most = F.least(most_a, most_b)
+        return 100 * most >= percent * (F.col(n_a) + F.col(n_b) - most)
+
     for turn in range(PIVOT_ROUNDS + 1):
-        # Bands whose untested members lie in different components; all others are settled.
-        named = with_roots(members, roots)
-        counts = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-        open_bands = counts.groupBy("band").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"),
-                                                F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        named = written(named.join(open_bands.select("band", "m", "same"), "band"), "open-bands")
-        # Each of a band's m members carries an m-th of its (m^2 - same) / 2 pairs.
-        left = named.agg(F.sum((F.col("m") - F.col("same") / F.col("m")) / 2)).first()[0] or 0
+        named = still_open(members)
+        counts = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(
+            F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        left = counts.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0] or 0
         if not left:
             return roots
         if left <= PAIRS_PER_DOC * total or turn == PIVOT_ROUNDS:
-            one = named.select("band", F.col("_row").alias("a"), F.col("root").alias("root_a"))
-            two = named.select("band", F.col("_row").alias("b"), F.col("root").alias("root_b"))
-            rest = one.join(two, "band").filter("a < b AND root_a <> root_b").select("a", "b")
-            return components(linked(rest, links))
-        named = named.withColumn("draw", F.xxhash64("_row", F.lit(turn)))
-        pivots = named.groupBy("band").agg(F.min("draw").alias("draw"))
-        pivots = named.join(pivots, ["band", "draw"]).groupBy("band").agg(F.min("_row").alias("pivot"), F.min("root").alias("pivot_root"))
-        named = written(named.join(pivots, "band"), "pivots")
-        pairs = named.filter("root <> pivot_root").select(F.least("_row", "pivot").alias("a"), F.greatest("_row", "pivot").alias("b"))
-        links = linked(pairs, links)
-        roots = components(links)
-        members = named.filter("_row <> pivot").select("_row", "band")
+            one, two = (named.select("band", F.col("_row").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}"),
+                                     F.col("most").alias(f"most_{c}")) for c in "ab")
+            pairs = one.join(two, "band").filter("a < b AND root_a <> root_b").filter(
+                reaches("n_a", "most_a", "n_b", "most_b")).select("a", "b")
+        else:
+            pivots = named.groupBy("band").agg(F.min(F.struct(F.xxhash64("_row", F.lit(turn)).alias("draw"), F.col("_row"), F.col("root"))).alias("p"))
+            named = written(named.join(pivots, "band").select(
+                "band", "_row", "root", "n", "most", F.col("p._row").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
+            pairs = named.filter("root <> pivot_root").select(F.least("_row", "pivot").alias("a"), F.greatest("_row", "pivot").alias("b"))
+            members = named.filter("_row <> pivot").select("_row", "band", "n", "most")
+        roots = joined(roots, components(renamed(linked(pairs), roots)))
+        if left <= PAIRS_PER_DOC * total:
+            return roots
     return roots
 
 
@@ -261,7 +314,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
 
 
 def _near_rows(keyed: DataFrame, percent: int) -> DataFrame:
-    rows = written(sketch(keyed), "sketches")
+    rows = written(sketch(keyed, percent), "sketches")
     heads, classes = _classes(rows)
     roots = _roots(heads, keyed, percent)
     named = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
