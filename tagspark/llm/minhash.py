@@ -9,13 +9,15 @@
 3. Candidates whose Jaccard estimate, corrected for registers that agree by
    chance, lies six standard errors below the threshold are dropped; the rest is
    verified on the full sets of shingles.
-4. A band's members are not paired with each other at once: first all with two
-   pivots of that band, and links are contracted to components. As the pivots
+4. A band's members are not emitted as pairs: first all are held against one
+   pivot of that band, and links are contracted to components. As the pivots
    differ from band to band, a member of a large group of near copies meets many
    of them and joins its component. What is left in a band then only matters
-   where it lies in different components, and is paired until nothing is untested.
-   Shingles that no other open member has bound what a pair can reach, so that
-   copies with many changes of their own are not paired in vain.
+   where it lies in different components, and there an exact bound decides which
+   pairs can reach the threshold at all: shingles that no other open member has
+   cannot be shared, and of the rest two members share no more than the smaller count
+   in each of 64 cells of the hashes. Copies with many changes of their own thus
+   make no pairs in vain.
 
 At the threshold 0.85 bands have eight registers: a pair right at the threshold shares
 none with a probability of about 1e-7, a pair of similarity 0.5 is a candidate with one of 18 percent.
@@ -44,9 +46,8 @@ MANTISSA = 10
 BANDS, MOST_ROWS = 50, 8
 MISS = 1e-5
 MARGIN = 6.0
-# Pairs per document that are emitted at once; with more left, another pivot per band is tested first.
-PAIRS_PER_DOC = 4
-PIVOT_ROUNDS = 3
+# Cells of the bound on what two rows can share.
+CELLS = 64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -207,7 +208,12 @@ def verified(pairs: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
 
 
 def shareable(ids: DataFrame, keyed: DataFrame) -> DataFrame:
-    """_row, n, most of the rows that `ids` lists: how many shingles they have, and how many of them another of these rows has too."""
+    """_row, n, shares of the rows that `ids` lists: how many shingles they have, and in each of `CELLS` cells of the
+    shingles' hashes how many that another of these rows has too.
+
+    Two rows share at most the smaller of their counts in each cell, so the sum
+    over the cells bounds their intersection.
+    """
     texts = keyed.select("_row", "text").join(handed(written(ids, "open-rows")), "_row")
 
     def step(batches):
@@ -217,11 +223,16 @@ def shareable(ids: DataFrame, keyed: DataFrame) -> DataFrame:
             yield batch(_row=rows.column(0), shingles=pa.array(found, pa.list_(pa.int64())))
 
     sets = written(arrow_pass(texts, step, "_row bigint, shingles array<bigint>"), "open-shingles")
+    cell = F.pmod("shingle", F.lit(CELLS)).cast("int")
     alone = (sets.select("_row", F.explode("shingles").alias("shingle")).groupBy("shingle")
              .agg(F.count(F.lit(1)).alias("rows"), F.min("_row").alias("_row")).filter("rows = 1")
-             .groupBy("_row").agg(F.count(F.lit(1)).alias("alone")))
-    return written(sets.select("_row", F.size("shingles").cast("bigint").alias("n")).join(alone, "_row", "left").select(
-        "_row", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")), "shareable")
+             .groupBy("_row").agg(F.collect_list(cell).alias("alone")))
+    cells = F.transform("shingles", lambda s: F.pmod(s, F.lit(CELLS)).cast("int"))
+    counted = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.size(F.filter("cells", lambda x: x == c)) - F.size(
+        F.filter("alone", lambda x: x == c)))
+    none = F.array().cast("array<int>")
+    return (sets.withColumn("cells", cells).join(alone, "_row", "left").withColumn("alone", F.coalesce("alone", none))
+            .select("_row", F.size("shingles").cast("bigint").alias("n"), counted.alias("shares")))
 
 
 def _classes(docs_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -233,7 +244,6 @@ def _classes(docs_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _roots(heads: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     """node, root of every class that is linked to another."""
-    total = heads.count()
     every = heads.select("_row", F.explode("bands").alias("band"))
     shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     members = written(every.join(shared, "band").withColumn("draw", F.xxhash64("_row", "band")), "band-members")
@@ -241,13 +251,12 @@ def _roots(heads: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     def linked(pairs):
         return verified(promising(written(pairs.distinct(), "candidates"), heads, percent), keyed, percent)
 
-    # Every member against two of its band, those with the first and the last draw.
+    # Every member against one of its band, drawn anew for each band.
     at = F.struct("draw", "_row")
-    ends = members.groupBy("band").agg(F.min(at).alias("low"), F.max(at).alias("high"))
-    drawn = written(members.join(ends, "band").select("band", "_row", F.col("low._row").alias("low"), F.col("high._row").alias("high")), "drawn")
-    pairs = drawn.select("_row", F.explode(F.array("low", "high")).alias("pivot")).filter("_row <> pivot")
-    roots = components(linked(pairs.select(F.least("_row", "pivot").alias("a"), F.greatest("_row", "pivot").alias("b"))))
-    members = drawn.filter("_row <> low AND _row <> high").select("_row", "band")
+    ends = members.groupBy("band").agg(F.min(at).alias("first"))
+    drawn = written(members.join(ends, "band").select("band", "_row", F.col("first._row").alias("pivot")), "drawn")
+    rest = drawn.filter("_row <> pivot")
+    roots = components(linked(rest.select(F.least("_row", "pivot").alias("a"), F.greatest("_row", "pivot").alias("b"))))
 
     def still_open(rows):
         """Members of the bands whose untested members lie in different components; all others are settled."""
@@ -257,37 +266,18 @@ def _roots(heads: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
                       .filter("least < most").select("band"))
         return written(named.join(open_bands, "band"), "open-bands")
 
-    # Shingles that no other member of an open band has cannot be shared, which bounds what a pair can reach.
-    members = still_open(members).drop("root")
-    can_share = shareable(members.select("_row").distinct(), keyed)
-    members = members.join(handed(can_share), "_row").filter(100 * F.col("most") >= percent * F.col("n"))
-
-    def reaches(n_a, most_a, n_b, most_b):
-        most = F.least(most_a, most_b)
-        return 100 * most >= percent * (F.col(n_a) + F.col(n_b) - most)
-
-    for turn in range(PIVOT_ROUNDS + 1):
-        named = still_open(members)
-        counts = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(
-            F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left = counts.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0] or 0
-        if not left:
-            return roots
-        if left <= PAIRS_PER_DOC * total or turn == PIVOT_ROUNDS:
-            one, two = (named.select("band", F.col("_row").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}"),
-                                     F.col("most").alias(f"most_{c}")) for c in "ab")
-            pairs = one.join(two, "band").filter("a < b AND root_a <> root_b").filter(
-                reaches("n_a", "most_a", "n_b", "most_b")).select("a", "b")
-        else:
-            pivots = named.groupBy("band").agg(F.min(F.struct(F.xxhash64("_row", F.lit(turn)).alias("draw"), F.col("_row"), F.col("root"))).alias("p"))
-            named = written(named.join(pivots, "band").select(
-                "band", "_row", "root", "n", "most", F.col("p._row").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
-            pairs = named.filter("root <> pivot_root").select(F.least("_row", "pivot").alias("a"), F.greatest("_row", "pivot").alias("b"))
-            members = named.filter("_row <> pivot").select("_row", "band", "n", "most")
-        roots = joined(roots, components(renamed(linked(pairs), roots)))
-        if left <= PAIRS_PER_DOC * total:
-            return roots
-    return roots
+    # What a member can share with any other open member bounds what it can reach at all.
+    named = still_open(rest.select("band", "_row")).drop("root")
+    facts = shareable(named.select("_row").distinct(), keyed)
+    most = F.aggregate("shares", F.lit(0), lambda n, x: n + x)
+    facts = written(facts.filter(100 * most >= percent * F.col("n")), "can-reach")
+    named = still_open(named.join(facts.select("_row"), "_row", "left_semi"))
+    one, two = (named.join(facts, "_row").select("band", F.col("_row").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}"),
+                                                 F.col("shares").alias(f"shares_{c}")) for c in "ab")
+    shared = F.aggregate(F.zip_with("shares_a", "shares_b", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    reaches = 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)
+    pairs = one.join(two, "band").filter("a < b AND root_a <> root_b").filter(reaches).select("a", "b")
+    return joined(roots, components(renamed(linked(pairs), roots)))
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:

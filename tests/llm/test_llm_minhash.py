@@ -55,8 +55,7 @@ def test_chains_edges_and_short_texts(make, prose):
     check(make(*short, *chain, *edits), 85)
 
 
-def test_bands_of_many_members_are_settled_by_turns(make, prose, monkeypatch):
-    monkeypatch.setattr(minhash, "PAIRS_PER_DOC", 0)
+def test_bands_of_many_members(make, prose):
     base = prose(6, 200).split()
     docs = [(i, " ".join(base[:40 + 5 * (i % 8)] + prose(50 + i // 3, 60).split() + base[80:])) for i in range(40)]
     check(make(*docs), 80)
