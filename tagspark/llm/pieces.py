@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb
 from tagspark.llm.common import add_columns, arrow_pass, batch
 
 MARK = "▁"
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 80_000
 
 
 class ChunkTable:
@@ -57,7 +58,7 @@ class ChunkTable:
             (f"[{cut}]|" if cut else "") + f"{MARK}*[^{MARK}{cut}]+|{MARK}+").findall
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
         self.entries = entries
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, array] = {}
         self.text: dict[str, str] = {}
         self.guard = self.library.encode("\n") if self.cuts else None
 
@@ -78,7 +79,7 @@ class ChunkTable:
         found = [ids if len(c) > 1 else self._alone(c) for c, ids in zip(marked, found)]
         found += [ids[len(self.guard):] for ids in self.library.encode(["\n" + c for c in bare], num_threads=1)] if bare else []
         for chunk, ids in zip(marked + bare, found):
-            self.ids[chunk] = ids
+            self.ids[chunk] = array("i", ids)
             self.text[chunk] = ",".join(map(str, ids))
 
     def _alone(self, mark: str) -> list[int]:
@@ -95,7 +96,7 @@ def table(model: str) -> ChunkTable:
     return ChunkTable(model)
 
 
-def slices(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str]]:
+def slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of whole texts of about `most` characters, so that a batch of long texts stays small in memory."""
     part, size = [], 0
     for t in texts:
