@@ -22,9 +22,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import CACHE_ENTRIES, add_columns, arrow_pass, batch
+from tagspark.llm.common import add_columns, arrow_pass, batch
 
 SAMPLE = 20_000
+# Words a task keeps with their slots; more make it start afresh.
+TERM_ENTRIES = 150_000
 SLOTS = 1 << 18
 FACTORS = 8
 PREFIXES = (4, 5, 6)
@@ -49,7 +51,7 @@ class Terms(dict):
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Slots of a text, sorted, and log(1 + count) of each."""
-        if len(self) > CACHE_ENTRIES:
+        if len(self) > TERM_ENTRIES:
             self.clear()
         counts: Counter = Counter()
         for word, n in Counter(LETTERS.findall((text or "").lower())).items():
@@ -78,18 +80,18 @@ def _logistic(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def select_slots(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, least_rows: int = 3, least_z: float = 2.5) -> np.ndarray:
+def select_slots(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, least_rows: int = 3, least_z: float = 2.5,
+                 slots: int = SLOTS) -> np.ndarray:
     """Slots in at least `least_rows` texts whose share of texts differs between the classes by `least_z` standard errors."""
-    n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
+    n = np.array([[(labels == 0).sum()], [(labels == 1).sum()]], float)
     if not n.all():
         return np.zeros(0, np.int64)
-    slots = np.concatenate([s for s, _ in rows] or [np.zeros(0, np.int64)])
-    of = np.repeat(labels, [len(s) for s, _ in rows])
-    names, where = np.unique(slots, return_inverse=True)
-    seen = np.stack([np.bincount(where[of == y], minlength=len(names)) for y in (0, 1)]).astype(float)
-    share, total = seen / n[:, None], seen.sum(0) / n.sum()
+    seen = np.zeros((2, slots))
+    for (found, _), y in zip(rows, labels.astype(int)):
+        seen[y, found] += 1
+    share, total = seen / n, seen.sum(0) / n.sum()
     error = np.sqrt(total * (1 - total) * (1 / n).sum()) + 1e-12
-    return names[(seen.sum(0) >= least_rows) & (np.abs(share[1] - share[0]) / error >= least_z)]
+    return np.flatnonzero((seen.sum(0) >= least_rows) & (np.abs(share[1] - share[0]) / error >= least_z))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, factors: int = FACTORS, epochs: int = 30,
@@ -104,7 +106,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, factors:
     for slots, x in rows:
         at = np.searchsorted(used, slots)
         ok = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == slots) if len(used) else np.zeros(len(slots), bool)
-        data.append((at[ok], x[ok]))
+        data.append((at[ok], x[ok].astype(np.float64)))
     for _ in range(epochs if len(used) else 0):
         for r in rng.permutation(len(data)):
             at, x = data[r]
@@ -146,11 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, doc_id: str = "
         for rows in batches:
             found = [terms.of(t) for t in rows.column(2).to_pylist()]
             yield batch(doc_id=rows.column(0), label=rows.column(1),
-                        slots=pa.array([s for s, _ in found], pa.list_(pa.int64())),
-                        x=pa.array([x for _, x in found], pa.list_(pa.float64())))
+                        slots=pa.array([s.astype(np.int32) for s, _ in found], pa.list_(pa.int32())),
+                        x=pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32())))
 
     narrow = arrow_pass(texts.select("doc_id", "label", "text"), slots,
-                        "doc_id bigint, label int, slots array<bigint>, x array<double>")
+                        "doc_id bigint, label int, slots array<int>, x array<float>")
 
     def learn(batches):
         ids, ys, rows = [], [], []
@@ -158,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, doc_id: str = "
             ids += b.column(0).to_pylist()
             ys += b.column(1).to_pylist()
             for s, x in zip(b.column(2), b.column(3)):
-                rows.append((s.values.to_numpy(), x.values.to_numpy()))
+                # Copies, so that the batch can go.
+                rows.append((s.values.to_numpy().copy(), x.values.to_numpy().copy()))
         order = sorted(range(len(ids)), key=lambda i: ids[i])
         m = fit([rows[i] for i in order], np.array([ys[i] for i in order], float))
         yield batch(bias=pa.array([m.bias]), used=pa.array([m.used], pa.list_(pa.int64())),
