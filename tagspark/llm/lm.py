@@ -1,6 +1,6 @@
 """Bigram language model in Elias-Fano tries, trained on and scoring whole corpora.
 
-Texts become blocks: a row per one and a half million tokens with the block's
+Texts become blocks: a row per 800,000 tokens or so with the block's
 sorted word hashes and its texts as places in that list. Blocks send each shard
 of words and each shard of bigrams the distinct entries they hold with their
 counts in the texts that are learned from, once. A shard adds up the counts,
@@ -28,8 +28,8 @@ from tagspark.llm.common import WordHashes, arrow_pass, batch, mix, row_key, sha
 from tagspark.llm.trie import EliasFano, Trie, ef_encode, trie_encode
 from tagspark.session import written
 
-BLOCK_TOKENS = 1_500_000
-SHARD_TOKENS = 3_000_000
+BLOCK_TOKENS = 800_000
+SHARD_TOKENS = 2_000_000
 PARTS = 8
 BACKOFF = 0.6
 EXACT = 127
