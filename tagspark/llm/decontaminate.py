@@ -53,9 +53,10 @@ def _shingles(name: str) -> Column:
 
 def simhash(name: str) -> Column:
     """64-bit SimHash of the hashes in the array column `name`: a bit is set where most of them have it."""
-    return F.expr(f"""aggregate(sequence(0, 63), 0L, (fp, b) ->
-        fp | CASE WHEN 2 * aggregate({name}, 0, (n, h) -> n + cast(shiftrightunsigned(h, b) & 1 AS int)) > size({name})
-             THEN shiftleft(1L, b) ELSE 0L END)""")
+    # The outer lambda holds the hashes, which would else be worked out anew for every bit.
+    return F.expr(f"""transform(array({name}), hashes -> aggregate(sequence(0, 63), 0L, (fp, b) ->
+        fp | CASE WHEN 2 * aggregate(hashes, 0, (n, h) -> n + cast(shiftrightunsigned(h, b) & 1 AS int)) > size(hashes)
+             THEN shiftleft(1L, b) ELSE 0L END))[0]""")
 
 
 def _blocks(fingerprint: Column) -> Column:
@@ -130,9 +131,9 @@ def _leaks(keyed: DataFrame, benchmark: DataFrame, similarity: float, radius: in
         "_row", "doc_id", "start", "length", "size",
         F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ").alias("content")), "window-texts")
     # Copies of a passage are looked up and verified once.
-    prints = (places.groupBy("content", "size").agg(F.lit(1).alias("one")).drop("one")
-              .withColumn("window_words", F.split("content", " ")).withColumn("hashes", _hashes("window_words"))
-              .withColumn("window_print", simhash("hashes")).drop("hashes"))
+    prints = written(places.groupBy("content", "size").agg(F.lit(1).alias("one")).drop("one")
+                     .withColumn("window_words", F.split("content", " ")).withColumn("hashes", _hashes("window_words"))
+                     .select("content", "size", simhash("hashes").alias("window_print")), "prints")
     asked = prints.select("content", "size", "window_print", F.inline(_blocks(F.col("window_print"))))
     known = items.select("item_id", "size", "item_print",
                          F.inline(_near_blocks(F.col("item_print"), radius // len(BLOCKS))))
