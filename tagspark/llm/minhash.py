@@ -2,10 +2,12 @@
 
 1. The hash of each five-word shingle picks one of 128 buckets; of a bucket's
    smallest hash a register keeps the count of leading zeros (6 bits) and the ten
-   bits behind the leading one. Empty registers borrow the next filled one for banding.
+   bits behind the leading one. These registers serve the estimate.
 2. Documents of the same word sequence become one class. Classes that share one
-   of 50 bands are candidates. A band has as many registers, up to eight, as keep the
-   chance that a linked pair shares no band below `MISS`.
+   of 50 bands are candidates. A band has as many values, up to eight, as keep the
+   chance that a linked pair shares no band below `MISS`. No value serves two bands. Each is the
+   first hash to reach a place of its own, in as many rounds of hashes as fill all places, so
+   that short texts have as many values as long ones and each agrees with the chance J.
 3. Candidates whose Jaccard estimate, corrected for registers that agree by
    chance, lies six standard errors below the threshold are dropped; the rest is
    verified on the full sets of shingles.
@@ -19,7 +21,7 @@
    in each of 64 cells of the hashes. Copies with many changes of their own thus
    make no pairs in vain.
 
-At the threshold 0.85 bands have eight registers: a pair right at the threshold shares
+At the threshold 0.85 bands have eight values: a pair right at the threshold shares
 none with a probability of about 1e-7, a pair of similarity 0.5 is a candidate with one of 18 percent.
 """
 
@@ -46,6 +48,7 @@ MANTISSA = 10
 BANDS, MOST_ROWS = 50, 8
 MISS = 1e-5
 MARGIN = 6.0
+_NONE = np.uint64(2**64 - 1)
 # Cells of the bound on what two rows can share.
 CELLS = 64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -76,24 +79,44 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_rows(percent: int) -> int:
+    """Values of a band for a threshold."""
+    return max(r for r in range(1, MOST_ROWS + 1) if r == 1 or (1 - (percent / 100) ** r) ** BANDS <= MISS)
+
+
 @lru_cache(maxsize=8)
-def band_registers(percent: int) -> np.ndarray:
-    """The registers of each band for a threshold: runs of shuffled orders of all registers."""
-    rows = max(r for r in range(1, MOST_ROWS + 1) if r == 1 or (1 - (percent / 100) ** r) ** BANDS <= MISS)
-    size = 1 << BUCKET_BITS
-    orders = [np.random.default_rng(i).permutation(size)[:size // rows * rows].reshape(-1, rows) for i in range(BANDS)]
-    return np.concatenate(orders)[:BANDS]
-
-
-def bands(regs: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """One key per band, a row of `chosen` registers; empty registers are filled by the next one that is not."""
-    filled = np.flatnonzero(regs)
-    if not len(filled):
+def _seeds(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _FACTORS[0])
+
+
+def places(hashes: np.ndarray, size: int) -> np.ndarray:
+    """For each of `size` places the first round and the smallest hash of it that falls there.
+
+    Every round hashes all shingles anew and deals them out; rounds go on until
+    no place is empty, so a value does not depend on how many rounds are done at a time.
+    Whatever the sizes of two sets, a place agrees with the chance of their Jaccard similarity.
+    """
+    out = np.full(size, _NONE)
+    at, least = 0, int(size * (np.log(size) + 2))
+    while at == 0 or (out == _NONE).any():
+        rounds = np.arange(at, at + max(1, least // len(hashes)), dtype=np.uint64)
+        seeds = _seeds(1 << int(rounds[-1] + np.uint64(1)).bit_length())[rounds.astype(np.int64)]
+        drawn = mix(hashes[None, :] ^ seeds[:, None])
+        place = ((drawn >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
+        # The round above 44 bits of the hash.
+        value = (drawn & np.uint64((1 << 44) - 1)) | (rounds[:, None] << np.uint64(44))
+        np.minimum.at(out, place.ravel().astype(np.int64), value.ravel())
+        at, least = at + len(rounds), size
+    return out
+
+
+def bands(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """One key per band, of values that no other band has; none for no shingles."""
+    if not len(hashes):
         return np.zeros(0, np.int64)
-    full = regs[filled[np.searchsorted(filled, np.arange(len(regs))) % len(filled)]]
-    rows = full[chosen].astype(np.uint64)
+    rows = places(hashes, BANDS * band_rows(percent)).reshape(BANDS, -1)
     key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(chosen.shape[1]):
+    for k in range(rows.shape[1]):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k] + np.uint64(1))
     return key.view(np.int64)
 
@@ -117,8 +140,6 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 def sketch(keyed: DataFrame, percent: int) -> DataFrame:
     """_row, n_shingles, seq (SHA-256 of the words), regs, bands of every row of `keyed` (_row, text)."""
-    chosen = band_registers(percent)
-
     def step(batches):
         table = WordHashes()
         for rows in batches:
@@ -126,11 +147,10 @@ def sketch(keyed: DataFrame, percent: int) -> DataFrame:
             for text in rows.column(1).to_pylist():
                 words = words_of(text)
                 hashes = shingle_hashes(table.of(words))
-                r = registers(hashes)
                 ns.append(len(hashes))
                 seqs.append(hashlib.sha256(b" ".join(words)).digest())
-                regs.append(r.tobytes())
-                keys.append(bands(r, chosen))
+                regs.append(registers(hashes).tobytes())
+                keys.append(bands(hashes, percent))
             yield batch(_row=rows.column(0), n_shingles=pa.array(ns, pa.int64()), seq=pa.array(seqs, pa.binary()),
                         regs=pa.array(regs, pa.binary()), bands=pa.array(keys, pa.list_(pa.int64())))
 

@@ -107,6 +107,46 @@ def test_estimate_is_near_and_corrected():
     assert abs(np.mean(hits) - minhash.chance(np.array([2000.0]), np.array([2000.0]))[0]) < 2.5e-4
 
 
+def pair_at(rng, percent, n):
+    """Two sets of n shingles or a few more that are linked, as close to the threshold as the sizes allow."""
+    common = next(c for c in range(n, 0, -1) if 100 * (c - 1) < percent * (2 * n - c + 1))
+    pool = np.unique(rng.integers(0, 2**63, 2 * n + 8).astype(np.uint64) * np.uint64(2))
+    rng.shuffle(pool)
+    return np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n:2 * n - common]]))
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_short_and_long_sets_share_a_band_at_the_threshold(percent):
+    rng = np.random.default_rng(3)
+    missed = 0
+    for n in (5, 7, 10, 13, 20, 26, 40, 64, 100, 400):
+        for _ in range(300):
+            a, b = pair_at(rng, percent, n)
+            missed += not (minhash.bands(a, percent) == minhash.bands(b, percent)).any()
+    # 3,000 pairs, each missed with a probability of at most MISS.
+    assert missed == 0
+
+
+def test_places_agree_as_often_as_the_sets_are_alike():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 6, 30, 300):
+        found = []
+        for _ in range(200):
+            pool = rng.integers(0, 2**63, 2 * n).astype(np.uint64) * np.uint64(2)
+            a, b = np.unique(pool[:n + n // 2]), np.unique(pool[n // 2:])
+            found.append((minhash.places(a, 400) == minhash.places(b, 400)).mean())
+        assert abs(np.mean(found) - 0.5) < 0.02
+
+
+def test_short_texts_at_the_threshold(make, prose):
+    docs = []
+    for i in range(300):
+        w = prose(7000 + i, 17 + i % 20).split()
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, "more", "words"]))]
+    check(make(*docs), 85)
+    check(make(*docs), 80)
+
+
 def test_fewer_than_five_words_are_one_shingle():
     table = WordHashes()
     assert len(minhash.shingle_hashes(table.of([]))) == 0
