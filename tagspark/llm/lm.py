@@ -11,8 +11,8 @@ context's words are spread over `PARTS` shards.
 
     p(w | v) = (1 - BACKOFF) P(v w) / P(v) + BACKOFF p(w),    p(w) = (c + 0.5) / (N + 0.5 (V + 1))
 
-P(v w) is the quantised joint probability that the trie keeps: counts up to
-`EXACT` are kept exactly and larger ones within 4 percent.
+P(v w) is the quantised joint probability that the trie keeps, in codes of 16 bits: counts up to
+`EXACT` are kept exactly and larger ones, up to 2**63, within 0.06 percent.
 """
 
 from __future__ import annotations
@@ -32,18 +32,18 @@ BLOCK_TOKENS = 800_000
 SHARD_TOKENS = 2_000_000
 PARTS = 8
 BACKOFF = 0.6
-EXACT = 127
-# Counts that the codes stand for: each itself up to EXACT, then steps of 8 percent.
-CODEBOOK = np.concatenate([np.arange(EXACT + 1), EXACT * 1.08 ** np.arange(1, 256 - EXACT)])
+EXACT = (1 << 15) - 1
+# Counts that the codes stand for: each itself up to EXACT, then equal steps on a logarithmic scale up to 2**63, which no corpus reaches.
+CODEBOOK = np.concatenate([np.arange(EXACT + 1), np.geomspace(EXACT, 2.0 ** 63, (1 << 16) - EXACT)[1:]])
 # Hashes of words keep 56 bits, those of contexts 44, and those of words within a context 32.
 HASH_SHIFT, CONTEXT_SHIFT = np.uint64(8), np.uint64(20)
 START, END = np.uint64(0x5BF03635D1A5C3E1), np.uint64(0xA24BAED4963EE407)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
-    """Codes 1 to 255 of counts of at least one, nearest on a logarithmic scale."""
+    """Codes 1 to 65535 of counts of at least one, nearest on a logarithmic scale."""
     edges = np.sqrt(CODEBOOK[1:-1] * CODEBOOK[2:])
-    return (np.searchsorted(edges, counts) + 1).astype(np.uint8)
+    return (np.searchsorted(edges, counts) + 1).astype(np.uint16)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -242,7 +242,7 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
         replies = replies.sort_values(["kind", "shard"])
         counts = np.concatenate([np.frombuffer(zstandard.decompress(f), np.uint64)
                                  for f in replies.found[replies.kind == 0]]).astype(np.float64)
-        codes = np.concatenate([np.frombuffer(zstandard.decompress(f), np.uint8) for f in replies.found[replies.kind == 1]])
+        codes = np.concatenate([np.frombuffer(zstandard.decompress(f), "<u2") for f in replies.found[replies.kind == 1]])
         before, after = b.bigrams()
         *_, place = b.by_shard(shards)
         unigram = (counts + 0.5) / (total + 0.5 * (distinct + 1))

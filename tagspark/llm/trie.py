@@ -90,13 +90,13 @@ class EliasFano:
 
 
 def trie_encode(contexts: np.ndarray, of: np.ndarray, words: np.ndarray, payload: np.ndarray) -> bytes:
-    """Levels: sorted `contexts`, a pointer to each one's first word, `words` (32 bits) sorted within their context `of`, and a byte per word.
+    """Levels: sorted `contexts`, a pointer to each one's first word, `words` (32 bits) sorted within their context `of`, and two bytes per word.
 
     `of` counts contexts from 0; words are stored relative to their context.
     """
     starts = np.searchsorted(of, np.arange(len(contexts) + 1)).astype(np.uint64)
     levels = [ef_encode(contexts), ef_encode(starts), ef_encode((of.astype(np.uint64) << U(32)) | words.astype(np.uint64)),
-              payload.astype(np.uint8).tobytes()]
+              payload.astype("<u2").tobytes()]
     return struct.pack("<4Q", *map(len, levels)) + b"".join(levels)
 
 
@@ -107,7 +107,7 @@ class Trie:
         ends = 32 + np.cumsum((0, *sizes))
         parts = [raw[a:b] for a, b in zip(ends, ends[1:])]
         self.contexts, self.starts, self.words = (EliasFano(p) for p in parts[:3])
-        self.payload = parts[3]
+        self.payload = np.ndarray((len(parts[3]) // 2,), "<u2", parts[3])
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """All contexts and words, in order."""
@@ -115,8 +115,8 @@ class Trie:
         return self.contexts.all()[(keys >> U(32)).astype(np.int64)] if len(keys) else keys, keys & U(0xFFFFFFFF)
 
     def look_up(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The payload byte of each (context, word), 0 where the trie has none: the context is found first, then its word among its own."""
-        out = np.zeros(len(contexts), np.uint8)
+        """The payload of each (context, word), 0 where the trie has none: the context is found first, then its word among its own."""
+        out = np.zeros(len(contexts), "<u2")
         at = self.contexts.find(contexts)
         known = np.flatnonzero(at >= 0) if len(self.payload) else np.zeros(0, np.int64)
         if len(known):

@@ -48,6 +48,15 @@ def test_codes_are_near():
     assert np.abs(np.log(lm.CODEBOOK[codes] / counts)).max() < 0.04
 
 
+def test_frequent_bigrams_are_not_capped():
+    counts = np.array([2_410_152, 2_500_000, 24_000_000, 3_000_000_000, 2**60])
+    assert np.abs(lm.CODEBOOK[lm.quantise(counts)] / counts - 1).max() < 6e-4
+    # Three blocks' messages about one bigram add up in the levels.
+    keys = trie_encode(np.array([5], np.uint64), np.array([0]), np.array([7], np.uint64), np.zeros(0))
+    trie = Trie(lm.bigram_levels([keys] * 3, [lm._pack(np.array([8_000_000]))] * 3))
+    assert abs(lm.CODEBOOK[trie.look_up(np.array([5], np.uint64), np.array([7], np.uint64))[0]] / 24_000_000 - 1) < 6e-4
+
+
 def by_hand(rows, held):
     texts = [(d, words_of(t) + [None]) for d, t in rows]
     c, pairs, starts = Counter(), Counter(), 0
