@@ -85,9 +85,11 @@ def weighted_jaccard(a: str, b: str) -> Column:
 
 
 def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, words, size of the items that have a shingle, once each."""
-    return (benchmark.select(benchmark[item_id].cast("bigint").alias("item_id"), words(benchmark[text].cast("string")).alias("item_words"))
+    """item (a number of its own), item_id, words, size of the items that have a shingle, once each."""
+    found = (benchmark.select(benchmark[item_id].cast("bigint").alias("item_id"), words(benchmark[text].cast("string")).alias("item_words"))
             .filter(F.size("item_words") >= SHINGLE).distinct().withColumn("size", F.size("item_words")))
+    # Written once, so that the numbers stay as they are when a task runs again.
+    return written(found.withColumn("item", F.monotonically_increasing_id()), "numbered-items")
 
 
 def _windows(keyed: DataFrame, items: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     One row per pair: the most similar of the windows that put a shared shingle at
     its offset in the item (the first of equals), how far its fingerprint is from the item's, and how many windows of the document match.
     Items of fewer than five words have no shingle and match nothing, as do null
-    and empty texts. A document shorter than an item is one window as a whole.
+    and empty texts. An item with a null id is an item of its own. A document shorter than an item is one window as a whole.
     Repeated rows, and rows with a null id, are documents of their own. Empty tables give no rows; other columns are not read.
     """
     keyed, _ = row_key(docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text")), "doc_id", "_row")
@@ -135,18 +137,19 @@ def _leaks(keyed: DataFrame, benchmark: DataFrame, similarity: float, radius: in
                      .withColumn("window_words", F.split("content", " ")).withColumn("hashes", _hashes("window_words"))
                      .select("content", "size", simhash("hashes").alias("window_print")), "prints")
     asked = prints.select("content", "size", "window_print", F.inline(_blocks(F.col("window_print"))))
-    known = items.select("item_id", "size", "item_print",
+    known = items.select("item", "size", "item_print",
                          F.inline(_near_blocks(F.col("item_print"), radius // len(BLOCKS))))
     close = (asked.join(known, ["size", "block", "value"])
              .withColumn("hamming", F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print"))))
              .filter(F.col("hamming") <= radius)
-             .select("content", "size", "item_id", "item_print", "hamming").distinct())
-    verified = (close.join(items, ["item_id", "size", "item_print"]).withColumn("window_words", F.split("content", " "))
+             .select("content", "item", "hamming").distinct())
+    verified = (close.join(items, "item").withColumn("window_words", F.split("content", " "))
                 .withColumn("a", _shingles("window_words")).withColumn("b", _shingles("item_words"))
                 .withColumn("similarity", weighted_jaccard("a", "b")).filter(F.col("similarity") >= similarity)
-                .select("content", "size", "item_id", "hamming", "similarity"))
+                .select("content", "size", "item", "item_id", "hamming", "similarity"))
+    own = F.when(F.col("item_id").isNull(), F.col("item")).alias("own")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "length", (-F.col("hamming")).alias("hamming")))
-    return (places.join(verified, ["content", "size"]).groupBy("_row", "doc_id", "item_id")
+    return (places.join(verified, ["content", "size"]).groupBy("_row", "doc_id", "item_id", own)
             .agg(best.alias("best"), F.count(F.lit(1)).alias("n_windows"))
             .select("_row", "doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("start"),
                     F.col("best.length").alias("n_words"), (-F.col("best.hamming")).alias("hamming"), "n_windows"))

@@ -96,3 +96,12 @@ def test_simhash(spark):
     got = [r.s for r in spark.createDataFrame([(h,) for h in hashes], "h array<bigint>").select(d.simhash("h").alias("s")).collect()]
     want = [sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in h) > len(h)) for h in hashes]
     assert [g % 2**64 for g in got] == want
+
+
+def test_items_with_a_null_id(spark, make, prose):
+    items = [(None, prose(950, 30)), (None, prose(951, 30)), (7, prose(952, 30))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = make((1, prose(1, 20) + " " + items[0][1]), (2, items[1][1] + " " + items[0][1]), (3, items[2][1]), (4, prose(4, 60)))
+    got = sorted((r.doc_id, r.item_id or 0, r.similarity, r.start) for r in d.leaks(docs, benchmark).collect())
+    assert got == [(1, 0, 1.0, 20), (2, 0, 1.0, 0), (2, 0, 1.0, 30), (3, 7, 1.0, 0)]
+    assert [r.doc_id for r in d.decontaminate(docs, benchmark).collect()] == [4]
