@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagspark.llm import decontaminate, exact, hilbert, language, licences, lm, minhash, pieces, pii, toxicity
+from tagspark.llm import decontaminate, exact, hilbert, language, licences, lm, minhash, pieces, pii, syncmers, toxicity
 from tagspark.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,9 @@ def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigram scores of every text; learned from rows whose checksum is not 1 modulo 5; tested against plain counting."""
     return lm.score(table(spark, sf_dir, "documents"), held_out("doc_id", 5, 1))
+
+
+@query()
+def op13_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text next to those of its edited text and of its neighbour; tested against the definition."""
+    return syncmers.compare_neighbours(table(spark, sf_dir, "documents"))
