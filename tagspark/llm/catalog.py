@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagspark.llm import decontaminate, exact, hilbert, language, licences, lm, minhash, pieces, pii, syncmers, toxicity
+from tagspark.llm import decontaminate, exact, hilbert, language, licences, lm, minhash, pieces, pii, syncmers, toxicity, vector_codes
 from tagspark.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,35 @@ def op7_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every text next to those of its edited text and of its neighbour; tested against the definition."""
     return syncmers.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql() -> str:
+    """Every part against every entry, round by round."""
+    far = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+    steps = []
+    for r in range(vector_codes.ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT id, p, x, min({{'far': far, 'e': e}}) AS best FROM (SELECT id, parts.p, e, x, {far} AS far "
+                     f"FROM parts JOIN b{r} ON parts.p = b{r}.p) GROUP BY id, p, x)")
+        if r < vector_codes.ROUNDS:
+            steps.append(f"""m{r} AS (SELECT p, e, list(floor(s / n) ORDER BY i) AS c FROM (
+  SELECT p, best.e AS e, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 17)) AS i) GROUP BY ALL) GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (p, e))""")
+    last = vector_codes.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT id, p, v[p * 16 + 1:(p + 1) * 16] AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+b0 AS MATERIALIZED (SELECT p, id - 1 AS e, x AS c FROM parts WHERE id <= {vector_codes.ENTRIES}),
+{", ".join(steps)},
+coded AS (SELECT id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM a{last} GROUP BY id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) FROM b{last}) AS codebooks_sha256
+FROM coded JOIN kept USING (id)"""
+
+
+@query(_codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by equal-average search; the SQL compares every part with every entry."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_codes.with_label_errors(*vector_codes.compress(vectors, vector="embedding"))
