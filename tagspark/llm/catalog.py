@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagspark.llm import decontaminate, exact, hilbert, language, licences, lm, minhash, pieces, pii, syncmers, toxicity, vector_codes
+from tagspark.llm import alignment, decontaminate, exact, hilbert, language, licences, lm, minhash, pieces, pii, syncmers, toxicity, vector_codes
 from tagspark.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all vectors by equal-average search; the SQL compares every part with every entry."""
     vectors = table(spark, sf_dir, "embeddings")
     return vector_codes.with_label_errors(*vector_codes.compress(vectors, vector="embedding"))
+
+
+@query()
+def op11_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of the two tokenizations of every text; tested against comparing all byte ranges."""
+    return alignment.compare(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                             public_tokenizers.path("piece_bpe_32k.model"))
