@@ -19,6 +19,7 @@ from tagspark.operators import results, runs
 from tagspark.plans.reports import run_report, score_records
 from tagspark.session import fresh_path, written
 from tagspark.sources import records, stores
+from tagspark.sources.memory_table import MemoryTable
 from tagspark.sources.sheet import read_sheet
 
 
@@ -141,6 +142,31 @@ def memory_summary(spark, sf_dir):
     return mem.memory_summary(mem.split_requests(requests, known), known)
 
 
+@query(sql(SPLIT + "SELECT ord, source, source <> 'scorer' AS cached FROM split", "requests"))
+def memory_probe(spark, sf_dir):
+    """The split against a memory table of buckets, of which only those the requests fall into are read."""
+    requests = written(A.requests(spark, sf_dir), "requests")
+    table = MemoryTable(spark, fresh_path(spark, "memory"), "key string, created timestamp")
+    table.put(A.memory(spark, sf_dir, requests).withColumn("created", F.timestamp_seconds(F.lit(0))))
+    return mem.split_requests(requests, table).select("ord", "source", "cached")
+
+
+@query("""
+WITH writes AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type AS tag, event_id, (event_id % 3 = 0)::INT + 1 AS version FROM events),
+held AS (SELECT v.version, w.* EXCLUDE (version) FROM (VALUES (1), (2)) v(version) JOIN writes w ON w.version <= v.version)
+SELECT version, key, arg_max(tag, event_id) AS tag, max(event_id) AS written FROM held GROUP BY version, key""")
+def memory_versions(spark, sf_dir):
+    """Two puts into a memory table, each state read by its version."""
+    rows = A.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("tag"), "event_id",
+        F.timestamp_seconds("event_id").alias("created"))
+    table = MemoryTable(spark, fresh_path(spark, "memory"), "key string, tag string, event_id bigint, created timestamp")
+    first = table.put(rows.filter(F.col("event_id") % 3 != 0))
+    second = table.put(rows.filter(F.col("event_id") % 3 == 0))
+    states = [table.read(n).withColumn("version", F.lit(n)) for n in (first, second)]
+    return states[0].unionByName(states[1]).select("version", "key", "tag", F.col("event_id").alias("written"))
+
+
 @query("""
 WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w, p_brand, p_partkey % 2 = 0 AS listed FROM part)
 SELECT p_partkey, w[1] || '|' || w[2] AS tags, CASE WHEN listed THEN '' ELSE w[1] || '=seen' END AS rationale,

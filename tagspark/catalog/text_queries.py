@@ -19,7 +19,8 @@ from tagspark.plans.evidence_job import proposals
 from tagspark.plans.prompts import Wording, prompt
 from tagspark.plans.reports import evaluate, stability
 from tagspark.plans.tagging_job import tag_items, to_results, to_tasks
-from tagspark.session import written
+from tagspark.session import fresh_path, written
+from tagspark.sources.memory_table import MemoryTable
 
 
 def _pairs(entries):
@@ -252,6 +253,18 @@ def tagging_again(spark, sf_dir):
     return again.rows.select("path", F.array_join("tags", "|").alias("tags"), "attempts", "cached")
 
 
+@query(ITEMS + """
+SELECT path, array_to_string(tags, '|') AS tags, CASE WHEN failed THEN 1 ELSE 0 END AS attempts, NOT failed AS cached
+FROM final""")
+def tagging_from_table(spark, sf_dir):
+    """A second run over a memory table, into which the first run's answers were put."""
+    table = MemoryTable(spark, fresh_path(spark, "memory"))
+    items = _items(spark, sf_dir)
+    table.put(tag_items(items, ReplayScorer, memory=table, **OPTIONS).memory_rows)
+    again = tag_items(items, ReplayScorer, memory=table, **OPTIONS)
+    return again.rows.select("path", F.array_join("tags", "|").alias("tags"), "attempts", "cached")
+
+
 @query(ITEMS + """
 SELECT count(*) AS tasks, count(*) FILTER (len(tags) > 0) AS successes, count(*) FILTER (failed) AS failures,
   0 AS cache_hits, CAST(sum(attempts) AS BIGINT) AS model_calls FROM final""")

@@ -21,6 +21,7 @@ from tagspark.operators.keyed import last_per_key, lookup
 from tagspark.operators.slots import maybe_in, slot_filter
 from tagspark.plans.evidence_job import proposals
 from tagspark.plans.scoring import ask
+from tagspark.sources.memory_table import MemoryTable
 from tagspark.session import written
 from tagspark.sources.vocabulary import allowed_tags, family
 
@@ -76,7 +77,7 @@ def _read(answers: DataFrame, vocabulary: Sequence[str], proposed: DataFrame | N
 
 def tag_items(items: DataFrame, scorer: Callable[[], Any], *, model_id: str,
               vocabulary: Sequence[str] | None = None, highlight_family: Sequence[str] | None = None,
-              memory: DataFrame | None = None, corpus: DataFrame | None = None,
+              memory: DataFrame | MemoryTable | None = None, corpus: DataFrame | None = None,
               rules: Rules = fixed.EVIDENCE_RULES, brand: str = "",
               known_folders: Sequence[str] = tuple(fixed.KNOWN_CATEGORIES),
               passes: int = fixed.MAX_PASSES, pool: Pool | None = None) -> TaggingRun:
@@ -86,7 +87,7 @@ def tag_items(items: DataFrame, scorer: Callable[[], Any], *, model_id: str,
     gives the examples shown with each. With a `memory` an identical request is
     asked once: earlier answers (the last per key) and repeats inside the batch
     are reused, an identical request shares its outcome even when that is an
-    error. As many requests run side by side as the items have partitions. Every answer is written to the shared folder
+    error. A memory table is read only in the buckets that the requests fall into. As many requests run side by side as the items have partitions. Every answer is written to the shared folder
     before it is used, so no later step asks the scorer again.
     """
     vocabulary = allowed_tags() if vocabulary is None else list(vocabulary)
@@ -99,13 +100,17 @@ def tag_items(items: DataFrame, scorer: Callable[[], Any], *, model_id: str,
         requests = source.select("path", "context", F.col("path").alias("key"))
         work = requests
     else:
-        order = F.col("created") if "created" in memory.columns else F.col("key")
-        memory = last_per_key(memory, ["key"], order)
         shown = None if pool is None else pool.key(F.col("path"))
         key = request_key(base64_text(F.col("content")), F.lit(model_id), F.col("context"),
                           examples=shown, extra="enrich" if corpus is not None else "")
         # Hashing reads every byte once; from here on the table is narrow.
         requests = written(source.select("path", "context", key.alias("key")), "requests")
+        if isinstance(memory, MemoryTable):
+            # One state of the table for the whole run, and only the buckets these requests fall into.
+            memory = written(memory.matching(requests), "remembered")
+        else:
+            order = F.col("created") if "created" in memory.columns else F.col("key")
+            memory = last_per_key(memory, ["key"], order)
         heads = requests.groupBy("key").agg(F.min_by(F.struct("path", "context"), "path").alias("_head"))
         work = written(heads.join(memory.select("key"), "key", "left_anti")
                        .select("_head.path", "_head.context", "key"), "work")
