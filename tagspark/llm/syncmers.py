@@ -6,7 +6,7 @@ edit changes only the anchors that touch it, and the anchors of two joined texts
 either, shifted, and those of the few bytes around the joint (`joined`). At least one of K - S
 successive k-mers is an anchor; on average 2 of K - S + 1 are.
 
-Anchors are one bigint each, place << 32 | 32 bits of the k-mer's hash, in order of place. For
+Anchors are one bigint each, place << 32 | 1 << 31 | 31 bits of the k-mer's hash, in order of place. For
 matching, an anchor counts with its distance from the one before (`elements`): equal elements
 stand for equal runs of text at the same place relative to each other, wherever in the texts they are.
 """
@@ -32,22 +32,29 @@ RUNS = 50_000
 
 
 def _hash(part: Column) -> Column:
-    return F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF))
+    """31 bits with a leading one, so that its hex digits are always eight."""
+    return F.xxhash64(part).bitwiseAND(F.lit(0x7FFFFFFF)) + F.lit(0x80000000)
 
 
 def picks(data: Column, k: int = K, s: int = S) -> Column:
     """Anchors of binary `data`; none where it is shorter than `k`."""
     w = k - s + 1
+    # Where runs of three start that cover all inner places. The other edge need not be
+    # looked at: if its hash is less than all of them, it is the least itself.
+    runs = [*range(1, w - 4, 3), w - 4]
 
-    def edge(h: Column, i: Column) -> Column:
-        left, right = F.get(h, i), F.get(h, i + (w - 1))
-        return (reduce(and_, [left <= F.get(h, i + j) for j in range(1, w)])
-                | reduce(and_, [right <= F.get(h, i + j) for j in range(w - 2, -1, -1)]))
+    def edge(h: Column, least: Column, i: Column) -> Column:
+        below = lambda x: reduce(and_, [x <= F.get(least, i + j) for j in runs])
+        return below(F.get(h, i)) | below(F.get(h, i + (w - 1)))
+
+    def places(h: Column, n: Column) -> Column:
+        least = F.transform(h, lambda x, i: F.least(x, F.get(h, i + 1), F.get(h, i + 2)))
+        return let(least, lambda m: F.filter(F.sequence(F.lit(0), n - k), lambda i: edge(h, m, i)))
 
     def chosen(b: Column) -> Column:
         # Variables of lambdas are passed by reference; a binary column would be copied at every use.
         hashes = F.transform(F.sequence(F.lit(1), F.length(b) - (s - 1)), lambda i: F.xxhash64(F.substring(b, i, s)))
-        at = let(hashes, lambda h: F.filter(F.sequence(F.lit(0), F.length(b) - k), lambda i: edge(h, i)))
+        at = let(hashes, lambda h: places(h, F.length(b)))
         return F.transform(at, lambda i: F.shiftleft(i.cast("bigint"), 32) + _hash(F.substring(b, i + 1, k)))
 
     return let(data, lambda b: F.when(F.length(b) >= k, chosen(b)).otherwise(F.array().cast(NONE)))
@@ -85,13 +92,17 @@ def elements(found: Column) -> Column:
 
 def fingerprint(elements: Column) -> Column:
     """Nine hex digits per element: eight of the hash, one of the distance."""
-    return F.array_join(F.transform(elements, lambda x: F.lpad(F.lower(F.hex(x)), 9, "0")), "")
+    return F.array_join(F.transform(elements, F.hex), "")
+
+
+def distinct(elements: Column) -> Column:
+    return F.size(F.array_distinct(elements))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared elements over all elements of either, each once; 1 for two fingerprints without elements."""
+def likeness(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
+    """Shared elements over all elements of either, each once; 1 for two fingerprints without elements. `n_*` as by `distinct`."""
     def of(m: Column) -> Column:
-        union = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - m
+        union = n_a + n_b - m
         return F.when(union > 0, m / union).otherwise(1.0)
 
     return let(F.size(F.array_intersect(a, b)), of)
@@ -119,7 +130,7 @@ def _ordered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_rows: int = RUN_ROWS) -> DataFrame:
-    """doc_id, text, anchors, and next_text, next_anchors of the document with the next smaller id; the smallest is followed by the largest.
+    """doc_id, text, anchors, elements, n_elements, and the same (`next_`) of the document with the next smaller id; the smallest is followed by the largest.
 
     Ids are cut into runs at ids drawn by their hash; texts are shuffled once,
     by run. The first document of a run goes to the run before it as well, so
@@ -138,11 +149,14 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_r
     # The optimizer puts the subquery in place of the column, so no row carries the ends.
     dealt = rows.withColumn("ends", ends).withColumn("run", run).select("doc_id", "text", "at", F.inline(F.array_compact(F.array(
         to(F.col("run"), 0), F.when(cut, to(F.col("run") + 1, 1)), F.when(F.col("at") == top, to(F.lit(0), 2))))))
-    marked = dealt.repartition("run").withColumn("anchors", anchors(F.col("text")))
+    # Worked out behind the exchange, once for a document and its neighbour.
+    marked = dealt.repartition("run").withColumn("anchors", anchors(F.col("text"))).withColumn("elements", elements(F.col("anchors")))
+    marked = marked.withColumn("n_elements", distinct(F.col("elements")))
     # A document copied from the next run is the last but one at most: only the first of all documents may follow it.
     order = Window.partitionBy("run").orderBy(F.col("rank") == 2, F.col("at").desc())
-    return (marked.withColumns({"next_text": F.lead("text").over(order), "next_anchors": F.lead("anchors").over(order)})
-            .filter("rank = 0").select("doc_id", "text", "anchors", "next_text", "next_anchors"))
+    own = ["text", "anchors", "elements", "n_elements"]
+    return (marked.withColumns({f"next_{c}": F.lead(c).over(order) for c in own}).filter("rank = 0")
+            .select("doc_id", *own, *[f"next_{c}" for c in own]))
 
 
 def compare_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_rows: int = RUN_ROWS) -> DataFrame:
@@ -163,8 +177,10 @@ def compare_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     edited = joined(F.col("first"), F.col("anchors"), F.col("second"), F.col("next_anchors"))
     marked = parts.select(
         "doc_id", "n_chars", F.sha2(F.concat("first", "second").cast("binary"), 256).alias("edited_sha256"),
-        elements(F.col("anchors")).alias("own"), elements(edited).alias("edited"), elements(F.col("next_anchors")).alias("next"))
+        "elements", "n_elements", "next_elements", "next_n_elements", elements(edited).alias("edited")).withColumn(
+        "n_edited", distinct(F.col("edited")))
+    near = lambda other, n: likeness(F.col("elements"), F.col(other), F.col("n_elements"), F.col(n))
     return marked.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("elements")).alias("fingerprint"),
         fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+        near("edited", "n_edited").alias("near_edited"), near("next_elements", "next_n_elements").alias("near_next"))

@@ -16,7 +16,7 @@ def signed(x):
 def plain_anchors(text):
     """(place, hash) of every closed syncmer, by its definition."""
     data = (text or "").encode()
-    low = lambda part: xxhash.xxh64_intdigest(part, seed=42) & 0xFFFFFFFF
+    low = lambda part: (xxhash.xxh64_intdigest(part, seed=42) & 0x7FFFFFFF) + 0x80000000
     if len(data) < K:
         return [(0, low(data))] if data else []
     found = []
@@ -45,8 +45,8 @@ def brute_force(pairs):
         half = len(text) // 2
         edited = text[:len(text) - half] + after[:half]
         own, changed, other = (plain_elements(plain_anchors(t)) for t in (text, edited, after))
-        out[i] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:09x}" for x in own),
-                  "".join(f"{x:09x}" for x in changed), pytest.approx(alike(own, changed)), pytest.approx(alike(own, other)))
+        out[i] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:X}" for x in own),
+                  "".join(f"{x:X}" for x in changed), pytest.approx(alike(own, changed)), pytest.approx(alike(own, other)))
     return out
 
 
