@@ -10,7 +10,7 @@ from tagspark.catalog.registry import query
 from tagspark.catalog.replay import BREAK, FollowingScorer, ReplayScorer
 from tagspark.functions import answers, paths
 from tagspark.functions.tags import feedback
-from tagspark.operators import evidence, runs
+from tagspark.operators import evidence, keywords, runs
 from tagspark.operators.consistency import summary
 from tagspark.operators.examples import draw_pool
 from tagspark.operators.tagging import validated
@@ -95,6 +95,33 @@ def evidence_tags(spark, sf_dir):
         "entity", F.array_join("tags", "|").alias("tags"))
 
 
+WORDS = "SELECT unnest(string_split(p_name, ' ')) AS word, p_partkey FROM part UNION ALL SELECT lower(p_type), p_partkey FROM part"
+
+
+@query(f"""
+WITH words AS (SELECT word AS key, min(p_partkey) AS ord FROM ({WORDS}) GROUP BY word)
+SELECT c.doc_id, arg_min(key, (ord, key)) AS key FROM documents c LEFT JOIN words ON contains(lower(c.text), key) GROUP BY c.doc_id""")
+def first_keywords(spark, sf_dir):
+    """The first of all words of part names and types, in the order of parts, that a document holds."""
+    part = A.table(spark, sf_dir, "part")
+    words = (part.select(F.explode(F.split("p_name", " ")).alias("key"), F.col("p_partkey").alias("ord"))
+             .unionByName(part.select(F.lower("p_type").alias("key"), F.col("p_partkey").alias("ord")))
+             .groupBy("key").agg(F.min("ord").alias("ord")))
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("query"))
+    return keywords.first_keyword(docs, words).select("doc_id", "key")
+
+
+@query(f"""
+WITH earned AS (SELECT source AS entity, {_rule('licence')} AS a, {_rule('permissive')} AS b, {_rule('copyleft')} AS c
+  FROM documents GROUP BY source)
+SELECT entity, array_to_string(list_filter([CASE WHEN a THEN 'licence' END, CASE WHEN b THEN 'permissive' END,
+  CASE WHEN c THEN 'copyleft' END], lambda x: x IS NOT NULL), '|') AS tags FROM earned""")
+def evidence_keywords(spark, sf_dir):
+    """The tags of `evidence_tags`, by one pass for the keywords of all rules."""
+    return evidence.tags_by_keywords(A.evidence(spark, sf_dir), rules=A.LICENCE_RULES).select(
+        "entity", F.array_join("tags", "|").alias("tags"))
+
+
 FOUND = """
 , contexts AS (SELECT DISTINCT 'Category: ' || category || ', Model: ' || product AS context, category, product FROM tagged),
 asked AS (SELECT context, lower(category || '   ' || product) AS q FROM contexts),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tagspark import fixed
 from tagspark.functions.text import let
 from tagspark.operators.keyed import HOT_ROWS, lookup
+from tagspark.operators.keywords import automaton_fits, first_keyword, rules_met
 
 Rules = Mapping[str, Sequence[str]]
 
@@ -60,14 +61,44 @@ def tags_by_entity(evidence: DataFrame, entity: str = "entity", rules: Rules = f
             .select(entity, _earned({tag: F.col(f"_r{i}") for i, tag in enumerate(rules)}).alias("tags")))
 
 
+def tags_by_keywords(evidence: DataFrame, entity: str = "entity", rules: Rules = fixed.EVIDENCE_RULES) -> DataFrame:
+    """`tags_by_entity` for rules of many keywords: one pass over a text whatever their number.
+
+    The rules are held by the caller and travel to every task. Tasks send a
+    rule of an entity once.
+    """
+    read = evidence.select(entity, F.concat_ws(" ", "title", "snippet").alias("_text"))
+    met = rules_met(read, list(rules.values()), "_text")
+    earned = (met.select(entity, F.explode_outer("rules").alias("_rule")).groupBy(entity)
+              .agg(F.array_sort(F.collect_set("_rule")).alias("_rules")))
+    names = list(rules)
+    return earned.select(entity, F.transform(
+        "_rules", lambda i: F.get(F.split(F.lit("\n".join(names)), "\n"), i)).alias("tags"))
+
+
 def find_evidence(queries: DataFrame, corpus: DataFrame, row_id: str = "query",
                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """JN-9: the first corpus entry whose key is part of the query, as `results`.
 
     `queries` has one row per distinct `query`, `corpus` has `key`, `ord` and
-    `results`. The substrings of a query that are as long as some key are
-    joined to the keys, so the work does not grow with queries times keys. A
-    query without a match has NULL results.
+    `results`. Keys that fit an automaton are found in one pass over a query;
+    more of them are joined to its substrings (`find_by_parts`). A query
+    without a match has NULL results.
+    """
+    entries = corpus.filter(F.col("key").isNotNull() & F.col("ord").isNotNull()).groupBy("key").agg(
+        F.min_by(F.struct("ord", "results"), "ord").alias("_entry"))
+    if not automaton_fits(entries):
+        return find_by_parts(queries, corpus, row_id, hot_rows)
+    found = first_keyword(queries, entries.select("key", F.col("_entry.ord").alias("ord")))
+    return (lookup(found, entries, ["key"], F.col(row_id), hot_rows)
+            .select(*queries.columns, F.col("_entry.results").alias("results")))
+
+
+def find_by_parts(queries: DataFrame, corpus: DataFrame, row_id: str = "query", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """`find_evidence` for keys of any number.
+
+    The substrings of a query that are as long as some key are joined to the
+    keys, so the work does not grow with queries times keys.
     """
     entries = corpus.groupBy("key").agg(F.min_by(F.struct("ord", "results"), "ord").alias("_entry"))
     lengths = entries.agg(F.array_sort(F.collect_set(F.length("key"))).alias("lengths")).scalar()
