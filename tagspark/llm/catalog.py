@@ -137,14 +137,15 @@ WITH bodies AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^
 items AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
 spots AS (SELECT doc_id, len(w) AS n, p, array_to_string(w[p + 1:p + 5], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 0))) AS p FROM bodies)),
-parts AS (SELECT item_id, len(w) AS size, o, array_to_string(w[o + 1:o + 5], ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 4, 0))) AS o FROM items)),
-windows AS (SELECT DISTINCT doc_id, n, size, least(greatest(p - o, 0), greatest(n - size, 0)) AS start FROM spots JOIN parts USING (s)),
-held AS (SELECT w.doc_id, w.n, w.size, w.start, s, count(*) AS c FROM windows w JOIN spots ON spots.doc_id = w.doc_id
-  AND p >= start AND p <= start + least(size, w.n) - 5 GROUP BY ALL),
+parts AS (SELECT item_id, size, o, array_to_string(w[o + 1:o + 5], ' ') AS s
+  FROM (SELECT item_id, w, len(w) AS size, unnest(range(greatest(len(w) - 4, 0))) AS o FROM items)),
+hits AS (SELECT DISTINCT doc_id, n, item_id, size, p, s FROM spots JOIN parts USING (s)),
+windows AS (SELECT doc_id, n, item_id, size, unnest(range(greatest(n - size, 0) + 1)) AS start FROM (SELECT DISTINCT doc_id, n, item_id, size FROM hits)),
+held AS (SELECT w.doc_id, w.n, w.item_id, w.size, start, s, count(*) AS c FROM windows w JOIN hits h ON h.doc_id = w.doc_id AND h.item_id = w.item_id
+  AND h.size = w.size AND p >= start AND p <= start + least(w.size, w.n) - 5 GROUP BY ALL),
 wanted AS (SELECT item_id, size, s, count(*) AS c FROM parts GROUP BY ALL),
 common AS (SELECT doc_id, n, size, start, item_id, CAST(sum(least(held.c, wanted.c)) AS DOUBLE) AS m
-  FROM held JOIN wanted USING (size, s) GROUP BY ALL),
+  FROM held JOIN wanted USING (item_id, size, s) GROUP BY ALL),
 alike AS (SELECT *, m / (least(size, n) + size - 8 - m) AS similarity FROM common)
 SELECT doc_id, item_id, max(similarity) AS similarity, first(start ORDER BY similarity DESC, start) AS start,
   first(least(size, n) ORDER BY similarity DESC, start) AS n_words, count(*) AS n_windows

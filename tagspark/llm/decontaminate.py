@@ -1,8 +1,9 @@
 """Benchmark passages in documents, by SimHash of item-sized windows. DataFrame functions only.
 
-1. Five-word shingles of all texts are looked up among the benchmark's. A window
-   without one has similarity 0 to every item, so the others are not built.
-   Each hit, at its offset in an item, places one window of that item's size.
+1. Five-word shingles of all texts are looked up among the benchmark's, and a text's
+   hits are gathered by item. A window of an item's size reaches the similarity only with a
+   certain number of hits, so all windows with as many of them are built, wherever in the
+   item the shared shingles stand, and no others.
 2. Every distinct window gets a 64-bit SimHash of its shingles. Five blocks of the
    fingerprint are looked up among the items' blocks with up to three bits
    changed: of 19 differing bits, one block has three or fewer, so all items
@@ -92,28 +93,34 @@ def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
     return written(found.withColumn("item", F.monotonically_increasing_id()), "numbered-items")
 
 
-def _windows(keyed: DataFrame, items: DataFrame) -> DataFrame:
-    """Item-sized windows that hold a shingle of the benchmark: _row, start, length, size."""
-    places = (items.select("size", F.posexplode(_hashes("item_words")).alias("offset", "hash"))
-              .groupBy("hash", "offset", "size").agg(F.lit(1).alias("one")).drop("one"))
-    places = written(places, "benchmark-shingles")
-    if places.count() <= BROADCAST_SHINGLES:
-        places = F.broadcast(places)
+def _windows(keyed: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """Every item-sized window with so many shingles of an item that their similarity can be reached: _row, start, length, size."""
+    known = written(items.select("item", "size", F.explode(F.array_distinct(_hashes("item_words"))).alias("hash")), "benchmark-shingles")
+    if known.count() <= BROADCAST_SHINGLES:
+        known = F.broadcast(known)
     # Count and hashes are worked out before the rows are multiplied, so that no row carries its text's words; the outer
     # form, as for the inner one Spark adds a filter that works out the hashes a second time.
     spots = (keyed.select("_row", words(F.col("text")).alias("words"))
              .select("_row", F.size("words").alias("n"), _hashes("words").alias("hashes"))
              .select("_row", "n", F.posexplode_outer("hashes").alias("at", "hash")))
-    start = F.least(F.greatest(F.col("at") - F.col("offset"), F.lit(0)), F.greatest(F.col("n") - F.col("size"), F.lit(0)))
-    return spots.join(places, "hash").select("_row", start.alias("start"), F.least("n", "size").alias("length"), "size").distinct()
+    length = F.least("n", "size")
+    # Of m shared among a and b shingles the similarity is m / (a + b - m) at most.
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (length + F.col("size") - 2 * (SHINGLE - 1)) - 1e-9).cast("int")
+    hits = (spots.join(known, "hash").groupBy("_row", "item", "n", "size").agg(F.array_sort(F.collect_list("at")).alias("at"))
+            .withColumns({"length": length, "least": F.greatest(least, F.lit(1))}).filter(F.size("at") >= F.col("least")))
+    # Windows that hold the hits i to i + least - 1 start where the last of them allows at the earliest, and at the first at the latest.
+    starts = F.expr(f"""array_distinct(flatten(transform(sequence(0, size(at) - least), i -> transform(
+        array(named_struct('low', greatest(0, at[i + least - 1] - length + {SHINGLE}), 'high', least(at[i], n - length))),
+        r -> if(r.low <= r.high, sequence(r.low, r.high), array()))[0])))""")
+    return hits.select("_row", F.explode(starts).alias("start"), "length", "size").distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
           similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Pairs of a document and an item it holds: doc_id, item_id, similarity, start, n_words, hamming, n_windows.
 
-    One row per pair: the most similar of the windows that put a shared shingle at
-    its offset in the item (the first of equals), how far its fingerprint is from the item's, and how many windows of the document match.
+    One row per pair: the most similar of all windows of the item's size (the first of equals), how far its
+    fingerprint is from the item's, and how many windows of the document match.
     Items of fewer than five words have no shingle and match nothing, as do null
     and empty texts. An item with a null id is an item of its own. A document shorter than an item is one window as a whole.
     Repeated rows, and rows with a null id, are documents of their own. Empty tables give no rows; other columns are not read.
@@ -125,7 +132,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 def _leaks(keyed: DataFrame, benchmark: DataFrame, similarity: float, radius: int) -> DataFrame:
     items = written(items_of(benchmark).withColumn("hashes", _hashes("item_words"))
                     .withColumn("item_print", simhash("hashes")).drop("hashes"), "benchmark-items")
-    windows = written(_windows(keyed, items), "windows")
+    windows = written(_windows(keyed, items, similarity), "windows")
     hit = windows.select("_row").distinct()
     bodies = (maybe_in(keyed, F.xxhash64("_row"), slot_filter(hit, F.xxhash64("_row"))).filter("maybe")
               .select("_row", "doc_id", words(F.col("text")).alias("words")))

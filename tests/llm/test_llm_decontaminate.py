@@ -16,7 +16,7 @@ def bag(w):
 
 
 def by_hand(docs, items, least=0.8):
-    """(doc, item): best similarity and its first place, over the windows of the item's size that put a shared shingle at its offset."""
+    """(doc, item): best similarity and its first place, over all windows of the item's size."""
     out = {}
     for doc, text in docs:
         w = words(text)
@@ -25,8 +25,7 @@ def by_hand(docs, items, least=0.8):
             b = bag(v)
             if not b or not set(b) & set(bag(w)):
                 continue
-            places = {(p, o) for p in range(len(w) - 4) for o in range(len(v) - 4) if w[p:p + 5] == v[o:o + 5]}
-            for at in sorted({min(max(p - o, 0), max(0, len(w) - len(v))) for p, o in places}):
+            for at in range(max(0, len(w) - len(v)) + 1):
                 a = bag(w[at:at + len(v)])
                 s = sum((a & b).values()) / max(1, sum((a | b).values()))
                 if s >= least and s > out.get((doc, item), (0, 0))[0]:
@@ -62,6 +61,37 @@ def test_changed_passages_edges_and_repeats(spark, make, prose):
     assert {r.doc_id for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_moved_parts_insertions_and_repeats(spark, make, prose):
+    """Windows are found wherever the shared shingles stand in the item."""
+    w = prose(70, 80).split()
+    items = [(1, " ".join(w)), (2, prose(71, 24) + " " + prose(71, 24)), (3, prose(72, 60))]
+    docs = [(1, prose(1, 30) + " " + " ".join(w[40:] + w[:40]) + " " + prose(2, 30)),
+            (2, " ".join(w[:20] + ["new"] + w[20:50] + ["newer"] + w[50:])), (3, " ".join(w[3:] + w[:3])),
+            (4, " ".join([prose(71, 24)] * 4)), (5, " ".join(prose(72, 60).split()[20:] + prose(72, 60).split()[:20])),
+            (6, " ".join(w[:60])), (7, " ".join(w[:75]))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    want = by_hand(docs, items)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in d.leaks(make(*docs), benchmark).collect()}
+    assert got == want and {(1, 1), (3, 1), (4, 2), (5, 3), (7, 1)} <= set(want) and (6, 1) not in want
+
+
+def test_recall_at_the_threshold(spark, make, prose):
+    """Passages with changed words in different places, down to the similarity of 0.8: at least 99 of 100 lie within the radius."""
+    rng = random.Random(5)
+    items = [(i, prose(800 + i, rng.randint(60, 120))) for i in range(40)]
+    docs = []
+    for i in range(400):
+        w = items[i % 40][1].split()
+        for at in rng.sample(range(len(w)), rng.randint(0, 2)):
+            w[at] = "changed"
+        docs.append((i, prose(i, rng.randint(0, 9)) + " " + " ".join(w)))
+    want = by_hand(docs, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in d.leaks(make(*docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    near = {k for k, (s, _) in want.items() if s < 0.9}
+    assert set(got) <= set(want) and len(near) > 60
+    assert len(near & set(got)) >= 0.99 * len(near)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark, make, prose):
     item = prose(77, 25)
     benchmark = spark.createDataFrame([(1, item), (1, item), (2, prose(78, 25))], "item_id bigint, text string")
