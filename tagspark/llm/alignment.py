@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
@@ -28,7 +27,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb
-from tokenizers import Tokenizer
 
 from tagspark.llm.common import add_columns, arrow_pass
 from tagspark.llm.pieces import MARK
@@ -39,7 +37,6 @@ SLICE_CHARS = 2_000_000
 BLOCK_CHARS = 8_000_000
 # The split of a byte-level BPE into words.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,8 +50,7 @@ class ByteTokens:
     """Ids of a byte-level BPE file without its special tokens, and the bytes of each id.
 
     Where ids are in the order of the merges, which is checked, merging by rank
-    gives the same ids and is faster; texts with very long words stay with the
-    library of the file, whose time does not grow with the square of a word.
+    gives the same ids and is several times faster than the file's own library.
     """
 
     def __init__(self, path: str):
@@ -70,15 +66,9 @@ class ByteTokens:
         ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if i not in special}
         self.bytes = {i: b for b, i in ranks.items()}
         self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.path, self.exact = path, None
 
     def encode(self, text: str) -> list[int]:
-        if LONG_RUN.search(text) is None:
-            return self.fast.encode_ordinary(text)
-        if self.exact is None:
-            self.exact = Tokenizer.from_file(self.path)
-            self.exact.encode_special_tokens = True
-        return self.exact.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
 
 class PieceTokens:
@@ -90,6 +80,15 @@ class PieceTokens:
         self.bytes = {i: bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode()
                       for i, p in enumerate(spec.pieces)}
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        rules = spec.normalizer_spec
+        # Then pieces give back all bytes but those of a marker, which stands for a space.
+        self.lossless = (not rules.precompiled_charsmap and not rules.remove_extra_whitespaces and rules.add_dummy_prefix
+                         and rules.escape_whitespaces and sum(p.type == 6 for p in spec.pieces) == 256
+                         and all(p.type in (1, 2, 3, 6) for p in spec.pieces))
+
+    def gives_back(self, text: str, ids: list[int]) -> bool:
+        """Whether the ids' bytes are a space and the text."""
+        return MARK not in text if self.lossless else b"".join(map(self.bytes.__getitem__, ids)) == b" " + text.encode()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
@@ -102,16 +101,15 @@ class Pair:
         self.a, self.b = ByteTokens(a_path), PieceTokens(b_path)
         size = lambda t: np.array([len(t.bytes.get(i, b"")) for i in range(max(t.bytes) + 1)], np.int64)
         self.a_len, self.b_len = size(self.a), size(self.b)
-        self.names = [str(i) for i in range(max(len(self.a_len), len(self.b_len)))]
+        # Each id as text with what may follow it.
+        self.names = [f"{i}{end}" for i in range(max(len(self.a_len), len(self.b_len))) for end in ",|;"]
 
     def tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides; none for a text that is empty or that the tokens' bytes do not give back."""
-        whole = [" " + t for t in texts]
-        a, b = [self.a.encode(t) if len(t) > 1 else [] for t in whole], self.b.encode(texts)
-        for i, t in enumerate(whole):
-            data = t.encode()
-            if (len(t) == 1 or b"".join(map(self.a.bytes.__getitem__, a[i])) != data
-                    or b"".join(map(self.b.bytes.__getitem__, b[i])) != data):
+        # Byte-level tokens always give back their text.
+        a, b = [self.a.encode(" " + t) if t else [] for t in texts], self.b.encode(texts)
+        for i, t in enumerate(texts):
+            if not t or not self.b.gives_back(t, b[i]):
                 a[i], b[i] = [], []
         return a, b
 
@@ -173,19 +171,16 @@ class Aligned:
 
     def groups(self) -> list[str]:
         """The groups of each document, as `a1,a2|b1;a3|b2,b3`."""
-        names = self.pair.names
-        a, b = [names[i] for i in self.a.tolist()], [names[i] for i in self.b.tolist()]
-        doc, to_a, to_b = self.cuts()
-        ends = np.searchsorted(doc, np.arange(self.n + 1)).tolist()
-        to_a, to_b = to_a.tolist(), to_b.tolist()
-        out = []
-        for d in range(self.n):
-            i, j, parts = int(self.a_edges[d]), int(self.b_edges[d]), []
-            for x, y in zip(to_a[ends[d]:ends[d + 1]], to_b[ends[d]:ends[d + 1]]):
-                parts.append(f"{','.join(a[i:x])}|{','.join(b[j:y])}")
-                i, j = x, y
-            out.append(";".join(parts))
-        return out
+        end_a, end_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
+        end_a[self.at_a[self.cut]] = end_b[self.at_b[self.cut]] = 1
+        # Number of the group of each token, and its place where the A tokens of a group stand before its B tokens.
+        of_a, of_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
+        in_a, in_b = np.bincount(of_a), np.bincount(of_b)
+        text = np.zeros(len(self.a) + len(self.b), np.int64)
+        text[np.arange(len(self.a)) + (np.cumsum(in_b) - in_b)[of_a]] = 3 * self.a + end_a
+        text[np.arange(len(self.b)) + np.cumsum(in_a)[of_b]] = 3 * self.b + 2 * end_b
+        names, text, edges = self.pair.names, text.tolist(), (self.a_edges + self.b_edges).tolist()
+        return ["".join([names[x] for x in text[i:j]])[:-1] for i, j in zip(edges, edges[1:])]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, pair (id of A << 32 | id of B) and number of links, for each distinct pair of a document."""
