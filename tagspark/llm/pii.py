@@ -31,17 +31,23 @@ DIGITS = 5
 SUPPORT = 3
 ACCEPT = 0.75
 TURNS = 3
-# Characters in front of an entity in which its word is sought, and the width of a cell in the overlap join.
-CONTEXT = 64
+# Width of a cell in the overlap join.
 CELL = 64
+SPACES = " \t\n\x0b\f\r"
 EDGES = "\"'`,;:!?()[]{}<>=*#&%$|.+-_/\\~^"
 
 
 def _found(kind: str) -> Column:
-    """The matches of a kind in the column text, each with the length of the text since the one before and the word in front."""
+    """The matches of a kind in the column text, each with the length of the text since the one before and the word in front.
+
+    That word is whole, however long, and may be (or end in) the match before.
+    """
+    def word(i: Column) -> Column:
+        before = F.concat(F.when(i > 0, F.get(kind, i - 1)).otherwise(""), F.get(f"{kind}_gaps", i))
+        return F.lower(F.element_at(F.split(F.rtrim(before, F.lit(SPACES)), r"\s+", -1), -1))
+
     return F.transform(kind, lambda m, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(f"{kind}_gaps", i)).alias("gap"), m.alias("match"),
-        F.lower(F.regexp_extract(F.substring(F.get(f"{kind}_gaps", i), -CONTEXT, CONTEXT), r"(\S++)\s*+$", 1)).alias("word")))
+        F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(f"{kind}_gaps", i)).alias("gap"), m.alias("match"), word(i).alias("word")))
 
 
 def _valid() -> Column:

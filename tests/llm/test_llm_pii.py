@@ -57,6 +57,15 @@ def test_patterns_find_unseen_identifiers(make):
     assert all(k[0] == "phone" for i, _ in seeds for k in got[i])
 
 
+def test_the_word_in_front_is_whole_and_may_hold_digits(make):
+    long = "x" * 90
+    seeds = [(i, f"passport no4 +1 743 555-38{i}") for i in range(10, 20)] + [(i, f"{long}a +1 743 555-39{i}") for i in range(20, 30)]
+    others = [(40, "passport no4 55538247"), (41, f"{long}a 55538248"), (42, f"{long}b 55538249"), (43, "no4\t55538250 11 no4 55538251"), (44, "+1 743 555-3810 no4 55538252")]
+    got = found(make(*seeds, *others), "spans")
+    assert got[40] == [("id", 13, 21)] and got[41] == [("id", 92, 100)] and got[42] == []
+    assert got[43] == [("id", 4, 12), ("id", 20, 28)] and got[44] == [("phone", 0, 15), ("id", 20, 28)]
+
+
 def test_mixed_patterns_are_not_trusted(make):
     docs = make(*[(i, f"see +1 743 555-38{i}") for i in range(10, 14)], *[(i, f"see 77{i}00{i}") for i in range(20, 40)])
     assert not any(s[0] == "id" for spans in found(docs, "spans").values() for s in spans)
