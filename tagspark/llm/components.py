@@ -34,20 +34,34 @@ def joined(first: DataFrame, second: DataFrame) -> DataFrame:
     return written(moved.unionByName(fresh.select("node", "root")), "roots")
 
 
+def flattened(hooks: DataFrame) -> DataFrame:
+    """`hooks` (node, root) with every node by the end of its chain of roots; each step halves the chains' lengths."""
+    while True:
+        above = handed(hooks).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        hooks = written(hooks.join(above, "root", "left").select(
+            "node", F.coalesce("to", "root").alias("root"), (F.col("to") != F.col("root")).alias("moved")), "hooks")
+        if hooks.filter("moved").isEmpty():
+            return hooks.drop("moved")
+        hooks = hooks.drop("moved")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of `links` (columns a, b): root is the smallest node it can reach.
 
-    Each round hooks every node to its smallest neighbour and renames the links
-    by it; links inside a merged node vanish. The smallest node of a component
-    never moves, so it is what remains. The minimum combines before the shuffle,
-    and a node with very many links is spread by the joins' skew handling.
+    Each round hooks every node to its smallest neighbour, follows the hooks to
+    their ends by pointer jumping and renames the links by them; links inside a
+    merged node vanish. A node that stays its own root while others of its
+    component remain has a smaller neighbour in the next round, so the rounds,
+    like the jumps of one, grow with the logarithm of the links. The smallest
+    node of a component never moves, so it is what remains. The minimum combines
+    before the shuffle, and a node with very many links is spread by the joins' skew handling.
     """
     links = written(links.filter("a <> b").select("a", "b"), "links")
     found = None
     while not links.isEmpty():
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = written(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-                        .select("node", F.least("node", "to").alias("root")), "hooks")
+        hooks = flattened(written(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
+                                  .select("node", F.least("node", "to").alias("root")), "hooks"))
         found = hooks if found is None else joined(found, hooks)
         links = written(renamed(links, hooks), "links")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found

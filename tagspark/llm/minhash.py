@@ -4,10 +4,11 @@
    smallest hash a register keeps the count of leading zeros (6 bits) and the ten
    bits behind the leading one. These registers serve the estimate.
 2. Documents of the same word sequence become one class. Classes that share one
-   of 50 bands are candidates. A band has as many values, up to eight, as keep the
-   chance that a linked pair shares no band below `MISS`. No value serves two bands. Each is the
-   first hash to reach a place of its own, in as many rounds of hashes as fill all places, so
-   that short texts have as many values as long ones and each agrees with the chance J.
+   of 50 bands are candidates. A band has as many registers, up to eight, as keep the
+   chance that a linked pair shares no band below `MISS`. No register serves two bands. Each is
+   of a place of its own: the first hash to reach it, in as many rounds of hashes as fill all
+   places, compressed to the round, the leading zeros and ten bits. Short texts thus have as
+   many registers as long ones, and each agrees with the chance J or, by chance, a little more.
 3. Candidates whose Jaccard estimate, corrected for registers that agree by
    chance, lies six standard errors below the threshold are dropped; the rest is
    verified on the full sets of shingles.
@@ -110,11 +111,19 @@ def places(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def compressed(values: np.ndarray) -> np.ndarray:
+    """Registers of what `places` gives: the round, six bits of leading zeros, and the bits behind the leading one."""
+    fraction, length = np.frexp((values & np.uint64((1 << 44) - 1)).astype(np.float64))
+    mantissa = np.where(fraction > 0, (fraction - 0.5) * 2 * (1 << MANTISSA), 0).astype(np.uint64)
+    zeros = (44 - length).astype(np.uint64)
+    return (values >> np.uint64(44) << np.uint64(6 + MANTISSA)) | (zeros << np.uint64(MANTISSA)) | mantissa
+
+
 def bands(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """One key per band, of values that no other band has; none for no shingles."""
+    """One key per band, of compressed registers that no other band has; none for no shingles."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    rows = places(hashes, BANDS * band_rows(percent)).reshape(BANDS, -1)
+    rows = compressed(places(hashes, BANDS * band_rows(percent))).reshape(BANDS, -1)
     key = np.arange(BANDS, dtype=np.uint64)
     for k in range(rows.shape[1]):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k] + np.uint64(1))

@@ -171,3 +171,25 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for e in links if e[0] != e[1] for x in e}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from tagspark.llm import components as c
+    rounds, jumps = [], []
+    plain_renamed, plain_handed = c.renamed, c.handed
+    monkeypatch.setattr(c, "renamed", lambda *a: rounds.append(1) or plain_renamed(*a))
+    monkeypatch.setattr(c, "handed", lambda *a: jumps.append(1) or plain_handed(*a))
+    got = c.components(spark.range(1000).selectExpr("id AS a", "id + 1 AS b")).collect()
+    assert {r.root for r in got} == {0} and len(got) == 1001
+    assert len(rounds) <= 2 and len(jumps) <= 15
+
+
+def test_registers_of_places_are_those_of_their_definition():
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.integers(0, 1 << 44, 2000), 2 ** np.arange(44), [0]]).astype(np.uint64) | (rng.integers(0, 9, 2045).astype(np.uint64) << np.uint64(44))
+    for value, register in zip(values.tolist(), minhash.compressed(values).tolist()):
+        low = value & (1 << 44) - 1
+        size = low.bit_length()
+        behind = low - (1 << size - 1) if size else 0
+        ten = behind << 10 >> size - 1 if size else 0
+        assert (register >> 16, register >> 10 & 63, register & 1023) == (value >> 44, 44 - size, ten)
