@@ -81,8 +81,10 @@ def _near_blocks(fingerprint: Column, changed: int) -> Column:
 
 def weighted_jaccard(a: str, b: str) -> Column:
     """Of two array columns: sum of the smaller over sum of the larger counts of each shingle."""
-    return F.expr(f"""aggregate(array_intersect({a}, {b}), 0L, (n, s) -> n + least(
-        size(filter({a}, x -> x = s)), size(filter({b}, x -> x = s))), n -> n / (size({a}) + size({b}) - n))""")
+    # Where all of one side are different, no smaller count is above one; only else shingles are counted.
+    return F.expr(f"""transform(array(CASE WHEN size(array_distinct({a})) = size({a}) OR size(array_distinct({b})) = size({b})
+        THEN size(array_intersect({a}, {b})) ELSE aggregate(array_intersect({a}, {b}), 0, (n, s) -> n + least(
+        size(filter({a}, x -> x = s)), size(filter({b}, x -> x = s)))) END), n -> n / (size({a}) + size({b}) - n))[0]""")
 
 
 def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
