@@ -10,6 +10,8 @@ from tagspark.session import written
 
 # Rows of two numbers (16 MB of them) that may be handed to every task; larger tables are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
+# Files of a table of at most so many rows.
+FILES = 8
 
 
 def handed(pairs: DataFrame) -> DataFrame:
@@ -26,20 +28,25 @@ def renamed(links: DataFrame, names: DataFrame) -> DataFrame:
     return ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def joined(first: DataFrame, second: DataFrame) -> DataFrame:
+def joined(first: DataFrame, second: DataFrame, few: bool = False) -> DataFrame:
     """The names (node, root) of `first`, with its roots renamed by `second`, and those that only `second` has."""
     moved = first.join(handed(second).select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select(
         "node", F.coalesce("to", "root").alias("root"))
     fresh = second.join(handed(first).select("node"), "node", "left_anti")
-    return written(moved.unionByName(fresh.select("node", "root")), "roots")
+    return _kept(moved.unionByName(fresh.select("node", "root")), "roots", few)
 
 
-def flattened(hooks: DataFrame) -> DataFrame:
+def _kept(df: DataFrame, name: str, few: bool) -> DataFrame:
+    """`df` written; in a handful of files where its rows are known to be few, as each file costs more than it holds."""
+    return written(df.coalesce(FILES) if few else df, name)
+
+
+def flattened(hooks: DataFrame, few: bool = False) -> DataFrame:
     """`hooks` (node, root) with every node by the end of its chain of roots; each step halves the chains' lengths."""
     while True:
         above = handed(hooks).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        hooks = written(hooks.join(above, "root", "left").select(
-            "node", F.coalesce("to", "root").alias("root"), (F.col("to") != F.col("root")).alias("moved")), "hooks")
+        hooks = _kept(hooks.join(above, "root", "left").select(
+            "node", F.coalesce("to", "root").alias("root"), (F.col("to") != F.col("root")).alias("moved")), "hooks", few)
         if hooks.filter("moved").isEmpty():
             return hooks.drop("moved")
         hooks = hooks.drop("moved")
@@ -56,12 +63,13 @@ def components(links: DataFrame) -> DataFrame:
     node of a component never moves, so it is what remains. The minimum combines
     before the shuffle, and a node with very many links is spread by the joins' skew handling.
     """
-    links = written(links.filter("a <> b").select("a", "b"), "links")
+    few = links.count() <= BROADCAST_PAIRS
+    links = _kept(links.filter("a <> b").select("a", "b"), "links", few)
     found = None
     while not links.isEmpty():
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = flattened(written(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-                                  .select("node", F.least("node", "to").alias("root")), "hooks"))
-        found = hooks if found is None else joined(found, hooks)
-        links = written(renamed(links, hooks), "links")
+        hooks = flattened(_kept(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
+                                .select("node", F.least("node", "to").alias("root")), "hooks", few), few)
+        found = hooks if found is None else joined(found, hooks, few)
+        links = _kept(renamed(links, hooks), "links", few)
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
