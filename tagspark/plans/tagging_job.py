@@ -21,6 +21,7 @@ from tagspark.operators.keyed import last_per_key, lookup
 from tagspark.operators.slots import maybe_in, slot_filter
 from tagspark.plans.evidence_job import proposals
 from tagspark.plans.scoring import ask
+from tagspark.sources.images import ImageFolder
 from tagspark.sources.memory_table import MemoryTable
 from tagspark.session import written
 from tagspark.sources.vocabulary import allowed_tags, family
@@ -75,7 +76,7 @@ def _read(answers: DataFrame, vocabulary: Sequence[str], proposed: DataFrame | N
                     (F.col("error").isNull() & T.looks_weak(F.col("kept"), F.col("dropped"))).alias("weak")))
 
 
-def tag_items(items: DataFrame, scorer: Callable[[], Any], *, model_id: str,
+def tag_items(items: DataFrame | ImageFolder, scorer: Callable[[], Any], *, model_id: str,
               vocabulary: Sequence[str] | None = None, highlight_family: Sequence[str] | None = None,
               memory: DataFrame | MemoryTable | None = None, corpus: DataFrame | None = None,
               rules: Rules = fixed.EVIDENCE_RULES, brand: str = "",
@@ -84,7 +85,8 @@ def tag_items(items: DataFrame, scorer: Callable[[], Any], *, model_id: str,
     """Tag every item: look, check against the vocabulary, look again when weak.
 
     `items` has a unique `path`, `content`, and optionally `context`; a `pool`
-    gives the examples shown with each. With a `memory` an identical request is
+    gives the examples shown with each. Of an image folder only those files are
+    opened that are asked about or, with a memory, whose fingerprint is not in the folder's manifest. With a `memory` an identical request is
     asked once: earlier answers (the last per key) and repeats inside the batch
     are reused, an identical request shares its outcome even when that is an
     error. A memory table is read only in the buckets that the requests fall into. As many requests run side by side as the items have partitions. Every answer is written to the shared folder
@@ -92,19 +94,31 @@ def tag_items(items: DataFrame, scorer: Callable[[], Any], *, model_id: str,
     """
     vocabulary = allowed_tags() if vocabulary is None else list(vocabulary)
     highlight_family = family() if highlight_family is None else list(highlight_family)
-    told = filled(F.col("context")) if "context" in items.columns else F.lit(None).cast("string")
+    folder = items if isinstance(items, ImageFolder) else None
+    listed = written(folder.listing(), "listing") if folder else items
+    told = filled(F.col("context")) if "context" in listed.columns else F.lit(None).cast("string")
     context = F.coalesce(told, filled(context_from_path(F.col("path"), known_folders)))
-    source = items.select("path", "content", context.alias("context"))
+    kept = ["path", "uri", "length", "modified"] if folder else ["path", "content"]
+    source = listed.select(*kept, context.alias("context"))
 
     if memory is None:
         requests = source.select("path", "context", F.col("path").alias("key"))
         work = requests
     else:
         shown = None if pool is None else pool.key(F.col("path"))
-        key = request_key(base64_text(F.col("content")), F.lit(model_id), F.col("context"),
-                          examples=shown, extra="enrich" if corpus is not None else "")
-        # Hashing reads every byte once; from here on the table is narrow.
-        requests = written(source.select("path", "context", key.alias("key")), "requests")
+        extra = "enrich" if corpus is not None else ""
+
+        def request(content: Column) -> Column:
+            return request_key(content, F.lit(model_id), F.col("context"), examples=shown, extra=extra)
+
+        if folder is None:
+            # Hashing reads every byte once; from here on the table is narrow.
+            requests = written(source.select("path", "context", request(base64_text(F.col("content"))).alias("key")), "requests")
+        else:
+            # The fingerprint of no content names all else that it depends on.
+            asked = source.withColumn("asked", request(F.lit("")))
+            keys = folder.fingerprints(asked, lambda rows: request(base64_text(rows["content"])))
+            requests = written(source.join(keys, "path").select("path", "context", F.col("request").alias("key")), "requests")
         if isinstance(memory, MemoryTable):
             # One state of the table for the whole run, and only the buckets these requests fall into.
             memory = written(memory.matching(requests), "remembered")
@@ -123,7 +137,10 @@ def tag_items(items: DataFrame, scorer: Callable[[], Any], *, model_id: str,
         # of the images. Otherwise images are picked where they lie. Only with
         # very many requests they move, and then only those asked about: a
         # filter of fixed size keeps the others out of the shuffle.
-        if memory is None and attempt == 1:
+        if folder is not None:
+            wanted = todo.join(source.select("path", "uri"), "path")
+            sent = folder.content(wanted).join(todo, "path")
+        elif memory is None and attempt == 1:
             sent = source.withColumn("key", F.col("path")).withColumn("feedback", F.lit(None).cast("string"))
         elif todo.count() <= BROADCAST_REQUESTS:
             sent = source.drop("context").join(F.broadcast(todo), "path")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,12 @@ from tagspark import fixed
 from tagspark.functions.images import base64_text, media_type
 from tagspark.functions.paths import tags_from_name
 from tagspark.functions.text import basename
+from tagspark.session import written
+from tagspark.sources.memory_table import MemoryTable
+
+# Files or folders that are named to the reader one by one; of more of them a folder above is read.
+NAMED = 10_000
+MANIFEST = "key string, length bigint, modified timestamp, asked string, request string, created timestamp"
 
 
 def _is_image(path: Column) -> Column:
@@ -26,8 +35,76 @@ def image_content(spark: SparkSession, root: str) -> DataFrame:
     letters = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", "*.{" + ",".join(map(letters, fixed.IMAGE_EXTENSIONS)) + "}").load(root))
-    return (files.select(F.regexp_replace("path", r"\Afile:(//)?", "").alias("path"), "content")
-            .filter(_is_image(F.col("path"))))
+    return files.select(_plain(F.col("path")).alias("path"), "content").filter(_is_image(F.col("path")))
+
+
+def _plain(uri: Column) -> Column:
+    return F.regexp_replace(uri, r"\Afile:(//)?", "")
+
+
+@dataclass(frozen=True)
+class ImageFolder:
+    """The images under `root`, listed without being opened, and opened only where they are wanted.
+
+    With a `manifest` (a memory table of `MANIFEST` rows, by path) fingerprints of
+    files whose length and modification time have not changed are used again.
+    """
+
+    spark: SparkSession
+    root: str
+    manifest: MemoryTable | None = None
+
+    def listing(self) -> DataFrame:
+        """SRC-1: path, uri, length, modified of every image; no content is read."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root)
+        return (files.select(_plain(F.col("path")).alias("path"), F.col("path").alias("uri"), "length",
+                             F.col("modificationTime").alias("modified")).filter(_is_image(F.col("path"))))
+
+    def content(self, wanted: DataFrame) -> DataFrame:
+        """SRC-2: path and bytes of the images whose `path` and `uri` are in `wanted`, opening no other files where it can be helped.
+
+        Up to `NAMED` files are read by name; of more of them whole folders are
+        read, or all of `root`.
+        """
+        wanted = written(wanted.select("path", "uri"), "wanted-images")
+        read = self.spark.read.format("binaryFile")
+        some = [r.uri for r in wanted.select("uri").distinct().limit(NAMED + 1).collect()]
+        if not some:
+            return self.spark.createDataFrame([], "path string, content binary")
+        if len(some) <= NAMED:
+            # A name may hold what the reader takes for a pattern.
+            files = read.load([_literal(u) for u in some])
+            return files.select(_plain(F.col("path")).alias("path"), "content")
+        parents = [r.p for r in wanted.select(F.regexp_replace("uri", r"/[^/]*\z", "").alias("p")).distinct().limit(NAMED + 1).collect()]
+        files = (read.load([_literal(p) for p in parents]) if len(parents) <= NAMED
+                 else read.option("recursiveFileLookup", True).load(self.root))
+        return files.select(_plain(F.col("path")).alias("path"), "content").join(wanted.select("path"), "path", "left_semi")
+
+    def fingerprints(self, listed: DataFrame, request: Callable[[DataFrame], Column]) -> DataFrame:
+        """S-15: path and `request` (the fingerprint) of the files `listed` (path, uri, length, modified, asked, and what `request` reads).
+
+        `asked` names everything but the content that a fingerprint depends on.
+        `request` is given the listed rows with their `content`. Only files
+        that the manifest does not know as they are now are opened; their rows are put into it.
+        """
+        listed = written(listed, "listed-images")
+        if self.manifest is None:
+            known = self.spark.createDataFrame([], MANIFEST)
+        else:
+            known = written(self.manifest.matching(listed.select(F.col("path").alias("key"))), "known-images")
+        known = known.select(F.col("key").alias("path"), "length", "modified", "asked", "request")
+        same = ["path", "length", "modified", "asked"]
+        fresh = written(listed.join(known, same, "left_anti"), "fresh-images")
+        rows = fresh.join(self.content(fresh), "path")
+        hashed = written(rows.select(*same, request(rows).alias("request")), "hashed-images")
+        if self.manifest is not None:
+            self.manifest.put(hashed.select(F.col("path").alias("key"), "length", "modified", "asked", "request",
+                                            F.current_timestamp().alias("created")))
+        return listed.join(known, same).select("path", "request").unionByName(hashed.select("path", "request"))
+
+
+def _literal(uri: str) -> str:
+    return "".join("\\" + c if c in "\\*?[]{}" else c for c in uri)
 
 
 def list_images(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
