@@ -30,3 +30,24 @@ class FollowingScorer:
     def predict(self, image_b64, media_type, context=None, examples=None, feedback=None):
         own = base64.b64decode(image_b64).decode().split()
         return {"tags": [own[0], *[e["tags"][-1] for e in (examples or [])[:1]]], "retries": len(own)}
+
+
+class Refused(RuntimeError):
+    """An error with a status."""
+
+    def __init__(self, status: int):
+        super().__init__("refused")
+        self.status_code = status
+
+
+class RefusingScorer:
+    """As FollowingScorer, but refuses with the status that an item's bytes begin with while `strict`, and never after."""
+
+    def __init__(self, strict: bool):
+        self.strict = strict
+
+    def predict(self, image_b64, media_type, context=None, examples=None, feedback=None):
+        status, *own = base64.b64decode(image_b64).decode().split()
+        if self.strict and status != "200":
+            raise Refused(int(status))
+        return {"tags": own[:1]}

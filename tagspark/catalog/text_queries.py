@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tagspark.catalog import adapters as A
 from tagspark.catalog.adapters import sql
 from tagspark.catalog.registry import query
-from tagspark.catalog.replay import BREAK, FollowingScorer, ReplayScorer
+from tagspark.catalog.replay import BREAK, FollowingScorer, RefusingScorer, ReplayScorer
 from tagspark.functions import answers, paths
 from tagspark.functions.tags import feedback
 from tagspark.operators import evidence, keywords, runs
@@ -362,6 +362,39 @@ def tagging_with_examples(spark, sf_dir):
     return run.rows.join(asked, "key").select("path", F.array_join(F.array_sort("tags"), "|").alias("tags"), "retries")
 
 
+def _refused(spark, sf_dir):
+    status = F.element_at(F.array(*[F.lit(s) for s in ("200", "429", "400", "503", "200")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("catalog/"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit(".jpg"))
+    return A.table(spark, sf_dir, "part").select(path.alias("path"), F.concat_ws(" ", status, "p_name").cast("binary").alias("content"))
+
+
+REFUSED = f"""
+WITH items AS (
+  SELECT 'catalog/' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.jpg' AS path, [200, 429, 400, 503, 200][p_partkey % 5 + 1] AS status,
+    CASE WHEN list_contains({A.VOCABULARY}, string_split(p_name, ' ')[1]) THEN string_split(p_name, ' ')[1] ELSE '' END AS tag FROM part)"""
+
+
+@query(REFUSED + """
+SELECT path, CASE WHEN status = 400 THEN '' ELSE tag END AS tags, CASE WHEN status = 400 THEN 'Refused: refused' END AS error,
+  CASE WHEN status = 400 THEN 0 ELSE 1 END AS attempts FROM items""")
+def tagging_quarantine(spark, sf_dir):
+    """A run after one in which requests were refused: those refused for good keep their error, all others are asked."""
+    items = _refused(spark, sf_dir)
+    left = written(tag_items(items, lambda: RefusingScorer(True), passes=1, **OPTIONS).failures, "quarantine")
+    again = tag_items(items, lambda: RefusingScorer(False), passes=1, quarantine=left, **OPTIONS)
+    return again.rows.select("path", F.array_join("tags", "|").alias("tags"), "error", "attempts")
+
+
+@query(REFUSED + """
+SELECT path, 'Refused: refused' AS error, status, status <> 400 AS transient, CASE WHEN status = 400 THEN 1 ELSE 2 END AS calls
+FROM items WHERE status <> 200""")
+def tagging_failures(spark, sf_dir):
+    """What a run leaves in quarantine: transient failures were asked twice."""
+    run = tag_items(_refused(spark, sf_dir), lambda: RefusingScorer(True), passes=2, ask_again=True, **OPTIONS)
+    calls = run.calls.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("calls"))
+    return run.failures.join(calls, "path").select("path", "error", "status", "transient", "calls")
+
+
 @query("WITH" + A.SQL["corpus"] + f"""
 , items AS (
   SELECT CASE WHEN p_partkey % 3 = 0 THEN 'upload/' ELSE 'catalog/' || p_type || '/' || p_brand || '/' END

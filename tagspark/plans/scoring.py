@@ -16,11 +16,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ANSWER = ("path string, key string, context string, text string, tags array<string>, reasons map<string, string>, "
           "category string, product string, description string, specs string, "
-          "input_tokens bigint, output_tokens bigint, retries bigint, ms double, error string")
+          "input_tokens bigint, output_tokens bigint, retries bigint, ms double, error string, status int")
 _FIELDS = ("text", "tags", "reasons", "category", "product", "description", "specs",
            "input_tokens", "output_tokens", "retries")
 
 
+def _status(exc: Exception) -> int | None:
+    """The HTTP status that clients put on their errors, under one of two names."""
+    found = getattr(exc, "status_code", None)
+    found = getattr(exc, "status", None) if found is None else found
+    return found if isinstance(found, int) else None
+
+
 def _as_fields(answer: Any) -> dict[str, Any]:
     if isinstance(answer, str):
         return {"text": answer}
@@ -50,7 +57,7 @@ def ask(requests: DataFrame, scorer: Callable[[], Any], examples: tuple[Sequence
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                row = dict.fromkeys((*_FIELDS, "error"))
+                row = dict.fromkeys((*_FIELDS, "error", "status"))
                 started = time.perf_counter()
                 given = {"context": r.context, "examples": shown(r.path)}
                 try:
@@ -61,10 +68,11 @@ def ask(requests: DataFrame, scorer: Callable[[], Any], examples: tuple[Sequence
                     row.update(_as_fields(answer))
                 except Exception as exc:  # one bad item must not end the run
                     row["error"] = f"{type(exc).__name__}: {exc}"
+                    row["status"] = _status(exc)
                 row.update(path=r.path, key=r.key, context=r.context, ms=(time.perf_counter() - started) * 1000)
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=["path", "key", "context", *_FIELDS, "ms", "error"]).astype(
-                {"input_tokens": "Int64", "output_tokens": "Int64", "retries": "Int64"})
+            yield pd.DataFrame(rows, columns=["path", "key", "context", *_FIELDS, "ms", "error", "status"]).astype(
+                {"input_tokens": "Int64", "output_tokens": "Int64", "retries": "Int64", "status": "Int32"})
 
     return requests.select(
         "path", "key", "content_b64", "media_type", "context", "feedback"

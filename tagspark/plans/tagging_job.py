@@ -34,11 +34,20 @@ BROADCAST_REQUESTS = 200_000
 
 @dataclass(frozen=True)
 class TaggingRun:
-    """What a run leaves: a row per item, new memory rows, a row per call."""
+    """What a run leaves: a row per item, new memory rows, a row per call, and a row per request that failed.
+
+    `failures` (key, path, error, status, transient, created) may be kept and given to a later run as its quarantine.
+    """
 
     rows: DataFrame
     memory_rows: DataFrame
     calls: DataFrame
+    failures: DataFrame
+
+
+def _transient() -> Column:
+    """S-21: whether the failure of a row is worth another try, by its status or else by the name of its error."""
+    return F.coalesce(T.is_transient(F.col("status"), F.regexp_extract("error", r"\A([^:]*):", 1)), F.lit(False))
 
 
 def _no_tags() -> Column:
@@ -53,7 +62,7 @@ def _read(answers: DataFrame, vocabulary: Sequence[str], proposed: DataFrame | N
     read = prediction(F.col("text"), vocabulary)
     by_text = F.col("text").isNotNull()
     fields = answers.select(
-        "path", "key", "context", "attempts", "error", read.alias("_read"), by_text.alias("_by_text"),
+        "path", "key", "context", "attempts", "error", "status", read.alias("_read"), by_text.alias("_by_text"),
         "tags", "reasons", "category", "product", "description", "specs")
     facts = {c: F.when(F.col("_by_text"), F.col("_read")[c]).otherwise(blank(F.col(c)))
              for c in ("category", "product", "description", "specs")}
@@ -70,7 +79,7 @@ def _read(answers: DataFrame, vocabulary: Sequence[str], proposed: DataFrame | N
     return (parsed
             .withColumns({"kept": F.when(F.col("error").isNull(), kept).otherwise(_no_tags()),
                           "dropped": T.dropped_tags(F.col("raw"), vocabulary)})
-            .select("path", "key", "context", "attempts", "error", "kept", "dropped",
+            .select("path", "key", "context", "attempts", "error", "status", "kept", "dropped",
                     T.reasons_for(F.col("kept"), F.col("reasons")).alias("rationale"),
                     "category", "product", "description", "specs",
                     (F.col("error").isNull() & T.looks_weak(F.col("kept"), F.col("dropped"))).alias("weak")))
@@ -81,7 +90,8 @@ def tag_items(items: DataFrame | ImageFolder, scorer: Callable[[], Any], *, mode
               memory: DataFrame | MemoryTable | None = None, corpus: DataFrame | None = None,
               rules: Rules = fixed.EVIDENCE_RULES, brand: str = "",
               known_folders: Sequence[str] = tuple(fixed.KNOWN_CATEGORIES),
-              passes: int = fixed.MAX_PASSES, pool: Pool | None = None) -> TaggingRun:
+              passes: int = fixed.MAX_PASSES, pool: Pool | None = None,
+              quarantine: DataFrame | None = None, ask_again: bool = False) -> TaggingRun:
     """Tag every item: look, check against the vocabulary, look again when weak.
 
     `items` has a unique `path`, `content`, and optionally `context`; a `pool`
@@ -89,7 +99,10 @@ def tag_items(items: DataFrame | ImageFolder, scorer: Callable[[], Any], *, mode
     opened that are asked about or, with a memory, whose fingerprint is not in the folder's manifest. With a `memory` an identical request is
     asked once: earlier answers (the last per key) and repeats inside the batch
     are reused, an identical request shares its outcome even when that is an
-    error. A memory table is read only in the buckets that the requests fall into. As many requests run side by side as the items have partitions. Every answer is written to the shared folder
+    error. A memory table is read only in the buckets that the requests fall into. Of the requests in a `quarantine` (failures of
+    earlier runs) only those whose last failure was transient are asked; the
+    others keep their error. With `ask_again` a transient failure of one look is
+    asked again in the next. As many requests run side by side as the items have partitions. Every answer is written to the shared folder
     before it is used, so no later step asks the scorer again.
     """
     vocabulary = allowed_tags() if vocabulary is None else list(vocabulary)
@@ -129,6 +142,12 @@ def tag_items(items: DataFrame | ImageFolder, scorer: Callable[[], Any], *, mode
         work = written(heads.join(memory.select("key"), "key", "left_anti")
                        .select("_head.path", "_head.context", "key"), "work")
 
+    held = None
+    if quarantine is not None:
+        last = last_per_key(quarantine.select("key", "error", "status", "created"), ["key"], F.col("created"))
+        held = written(work.join(last.filter(~_transient()).drop("created"), "key"), "held")
+        work = written(work.join(held.select("key"), "key", "left_anti"), "work")
+
     proposed = None if corpus is None else written(
         proposals(requests, corpus, rules, brand), "proposals")
 
@@ -140,7 +159,7 @@ def tag_items(items: DataFrame | ImageFolder, scorer: Callable[[], Any], *, mode
         if folder is not None:
             wanted = todo.join(source.select("path", "uri"), "path")
             sent = folder.content(wanted).join(todo, "path")
-        elif memory is None and attempt == 1:
+        elif memory is None and attempt == 1 and held is None:
             sent = source.withColumn("key", F.col("path")).withColumn("feedback", F.lit(None).cast("string"))
         elif todo.count() <= BROADCAST_REQUESTS:
             sent = source.drop("context").join(F.broadcast(todo), "path")
@@ -158,13 +177,22 @@ def tag_items(items: DataFrame | ImageFolder, scorer: Callable[[], Any], *, mode
     state = _read(answers, vocabulary, proposed)
     for attempt in range(2, passes + 1):
         state = written(state, f"state-{attempt}")
-        again = F.col("weak") & (F.col("attempts") == attempt - 1)
+        again = (F.col("weak") | (_transient() & F.col("error").isNotNull()) if ask_again else F.col("weak")) & (
+            F.col("attempts") == attempt - 1)
         todo = state.filter(again).select(
-            "path", "key", "context", T.feedback(F.col("dropped"), F.col("kept")).alias("feedback"))
+            "path", "key", "context", F.when(F.col("error").isNull(), T.feedback(F.col("dropped"), F.col("kept"))).alias("feedback"))
         answers = look(todo, attempt)
         calls.append(answers)
         state = state.filter(~again).unionByName(_read(answers, vocabulary, proposed))
 
+    if held is not None:
+        nothing = {f.name: F.lit(None).cast(f.dataType) for f in state.schema}
+        kept_back = held.select(*[F.col(c) if c in held.columns else nothing[c].alias(c) for c in state.columns])
+        state = state.unionByName(kept_back.withColumns({
+            "attempts": F.lit(0), "kept": _no_tags(), "dropped": _no_tags(), "rationale": F.create_map().cast("map<string, string>")}))
+    failures = state.filter(F.col("error").isNotNull()).select(
+        "key", "path", "error", "status", _transient().alias("transient"), F.current_timestamp().alias("created"))
+
     done = state.select(
         "key", F.col("path").alias("_asked"), F.col("kept").alias("tags"), "rationale",
         F.struct("category", "product", "description", "specs").alias("details"), "attempts", "error")
@@ -203,6 +231,7 @@ def tag_items(items: DataFrame | ImageFolder, scorer: Callable[[], Any], *, mode
             F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"),
             F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"),
             F.coalesce("retries", F.lit(0)).alias("retries"), "error"),
+        failures=failures,
     )
 
 
