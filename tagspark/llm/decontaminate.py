@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagspark.functions.text import let
 from tagspark.llm.common import maybe_in, row_key, slot_filter, without
 from tagspark.session import written
 
@@ -79,12 +80,19 @@ def _near_blocks(fingerprint: Column, changed: int) -> Column:
     return F.concat(*out)
 
 
-def weighted_jaccard(a: str, b: str) -> Column:
-    """Of two array columns: sum of the smaller over sum of the larger counts of each shingle."""
+def weighted_jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays: sum of the smaller over sum of the larger counts of each shingle."""
     # Where all of one side are different, no smaller count is above one; only else shingles are counted.
-    return F.expr(f"""transform(array(CASE WHEN size(array_distinct({a})) = size({a}) OR size(array_distinct({b})) = size({b})
-        THEN size(array_intersect({a}, {b})) ELSE aggregate(array_intersect({a}, {b}), 0, (n, s) -> n + least(
-        size(filter({a}, x -> x = s)), size(filter({b}, x -> x = s)))) END), n -> n / (size({a}) + size({b}) - n))[0]""")
+    # A variable of a lambda is worked out once, however often it is used.
+    def of(sides: Column) -> Column:
+        x, y = sides["a"], sides["b"]
+        shared = F.array_intersect(x, y)
+        count = lambda s: F.least(F.size(F.filter(x, lambda z: z == s)), F.size(F.filter(y, lambda z: z == s)))
+        plain = (F.size(F.array_distinct(x)) == F.size(x)) | (F.size(F.array_distinct(y)) == F.size(y))
+        m = F.when(plain, F.size(shared)).otherwise(F.aggregate(shared, F.lit(0), lambda n, s: n + count(s)))
+        return let(m, lambda m: m / (F.size(x) + F.size(y) - m))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -152,9 +160,11 @@ def _leaks(keyed: DataFrame, benchmark: DataFrame, similarity: float, radius: in
              .withColumn("hamming", F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print"))))
              .filter(F.col("hamming") <= radius)
              .select("content", "item", "hamming").distinct())
-    verified = (close.join(items, "item").withColumn("window_words", F.split("content", " "))
-                .withColumn("a", _shingles("window_words")).withColumn("b", _shingles("item_words"))
-                .withColumn("similarity", weighted_jaccard("a", "b")).filter(F.col("similarity") >= similarity)
+    # Few rows, each of which takes far longer to work out than to read: spread as they are, not by their bytes.
+    spread = int(close.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    verified = (close.repartition(spread, "content", "item").join(items, "item").withColumn("window_words", F.split("content", " "))
+                .withColumn("similarity", weighted_jaccard(_shingles("window_words"), _shingles("item_words")))
+                .filter(F.col("similarity") >= similarity)
                 .select("content", "size", "item", "item_id", "hamming", "similarity"))
     own = F.when(F.col("item_id").isNull(), F.col("item")).alias("own")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "length", (-F.col("hamming")).alias("hamming")))
