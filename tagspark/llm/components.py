@@ -10,8 +10,8 @@ from tagspark.session import written
 
 # Rows of two numbers (16 MB of them) that may be handed to every task; larger tables are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
-# Files of a table of at most so many rows.
-FILES = 8
+# Files of a table of few rows, and rows of a file of one with more.
+FILES, FILE_ROWS = 8, 250_000
 
 
 def handed(pairs: DataFrame) -> DataFrame:
@@ -36,6 +36,11 @@ def joined(first: DataFrame, second: DataFrame, few: bool = False) -> DataFrame:
     return _kept(moved.unionByName(fresh.select("node", "root")), "roots", few)
 
 
+def in_files(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """`df`, of at most `rows` narrow rows, written in as many files as they fill rather than one for each task before."""
+    return written(df.coalesce(max(FILES, rows // FILE_ROWS)), name)
+
+
 def _kept(df: DataFrame, name: str, few: bool) -> DataFrame:
     """`df` written; in a handful of files where its rows are known to be few, as each file costs more than it holds."""
     return written(df.coalesce(FILES) if few else df, name)

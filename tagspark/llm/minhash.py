@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tagspark.llm.common import (
     WordHashes, arrow_pass, batch, mix, row_key, without, words_of,
 )
-from tagspark.llm.components import components, handed, joined, renamed
+from tagspark.llm.components import components, handed, in_files, joined, renamed
 from tagspark.session import written
 
 SHINGLE = 5
@@ -221,7 +221,7 @@ class ShingleSets:
 
 def verified(pairs: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
-    both = both_sides(written(pairs, "pairs"), keyed, ["text"]).select("a", "b", "text_a", "text_b")
+    both = both_sides(pairs, keyed, ["text"]).select("a", "b", "text_a", "text_b")
 
     def step(batches):
         sets = ShingleSets()
@@ -243,7 +243,7 @@ def shareable(ids: DataFrame, keyed: DataFrame) -> DataFrame:
     Two rows share at most the smaller of their counts in each cell, so the sum
     over the cells bounds their intersection.
     """
-    texts = keyed.select("_row", "text").join(handed(written(ids, "open-rows")), "_row")
+    texts = keyed.select("_row", "text").join(handed(ids), "_row")
 
     def step(batches):
         table = WordHashes()
@@ -267,7 +267,7 @@ def shareable(ids: DataFrame, keyed: DataFrame) -> DataFrame:
 def _classes(docs_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sketches of one row per word sequence (the smallest), and seq with that row."""
     first = docs_rows.filter("n_shingles > 0").groupBy("seq").agg(F.min("_row").alias("rep"))
-    heads = written(docs_rows.join(first.select(F.col("rep").alias("_row")), "_row", "left_semi"), "class-heads")
+    heads = in_files(docs_rows.join(first.select(F.col("rep").alias("_row")), "_row", "left_semi"), "class-heads", docs_rows.count())
     return heads, heads.select("seq", F.col("_row").alias("rep"))
 
 
@@ -275,15 +275,18 @@ def _roots(heads: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     """node, root of every class that is linked to another."""
     every = heads.select("_row", F.explode("bands").alias("band"))
     shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    members = written(every.join(shared, "band").withColumn("draw", F.xxhash64("_row", "band")), "band-members")
+    members = in_files(every.join(shared, "band").withColumn("draw", F.xxhash64("_row", "band")), "band-members", BANDS * heads.count())
+    size = members.count()
 
     def linked(pairs):
-        return verified(promising(written(pairs.distinct(), "candidates"), heads, percent), keyed, percent)
+        # Of the second search more pairs than members may be left; their number then only makes the files larger.
+        found = in_files(pairs.distinct(), "candidates", size)
+        return verified(in_files(promising(found, heads, percent), "pairs", found.count()), keyed, percent)
 
     # Every member against one of its band, drawn anew for each band.
     at = F.struct("draw", "_row")
     ends = members.groupBy("band").agg(F.min(at).alias("first"))
-    drawn = written(members.join(ends, "band").select("band", "_row", F.col("first._row").alias("pivot")), "drawn")
+    drawn = in_files(members.join(ends, "band").select("band", "_row", F.col("first._row").alias("pivot")), "drawn", size)
     rest = drawn.filter("_row <> pivot")
     roots = components(linked(rest.select(F.least("_row", "pivot").alias("a"), F.greatest("_row", "pivot").alias("b"))))
 
@@ -293,11 +296,11 @@ def _roots(heads: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
                  .withColumn("root", F.coalesce("root", "_row")))
         open_bands = (named.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"))
                       .filter("least < most").select("band"))
-        return written(named.join(open_bands, "band"), "open-bands")
+        return in_files(named.join(open_bands, "band"), "open-bands", size)
 
     # What a member can share with any other open member bounds what it can reach at all.
     named = still_open(rest.select("band", "_row")).drop("root")
-    facts = shareable(named.select("_row").distinct(), keyed)
+    facts = shareable(in_files(named.select("_row").distinct(), "open-rows", size), keyed)
     most = F.aggregate("shares", F.lit(0), lambda n, x: n + x)
     facts = written(facts.filter(100 * most >= percent * F.col("n")), "can-reach")
     named = still_open(named.join(facts.select("_row"), "_row", "left_semi"))
