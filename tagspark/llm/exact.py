@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,10 +62,8 @@ def fingerprints(docs: DataFrame, text: str, owners: int, rows_per_block: int =
     """One row per block and owner: block, owner, n, bits, code (Golomb), twice (bitmap: met twice within the block)."""
     low = np.uint64(64 - owners.bit_length() + 1)
 
-    def flush(parts):
+    def flush(parts, block):
         values, counts = np.unique(np.concatenate(parts).view(np.uint64), return_counts=True)
-        # Blocks need a name for the answers only; equal lists share one, and so the same answer.
-        block = xxhash.xxh3_64_intdigest(values.tobytes()) >> 1
         edges = np.searchsorted(values >> low, np.arange(owners + 1, dtype=np.uint64))
         out = []
         for o in range(owners):
@@ -79,16 +77,18 @@ def fingerprints(docs: DataFrame, text: str, owners: int, rows_per_block: int =
                      bits=pa.array(bits, pa.int32()), code=pa.array(code, pa.binary()), twice=pa.array(twice, pa.binary()))
 
     def step(batches):
+        # Partition and number name a block, so that (block, owner) is met once; the caller writes the lists, which fixes the names.
+        block = TaskContext.get().partitionId() << 32
         parts, size = [], 0
         for rows in batches:
             if len(rows):
                 parts.append(rows.column(0).to_numpy())
                 size += len(rows)
             if size >= rows_per_block:
-                yield flush(parts)
-                parts, size = [], 0
+                yield flush(parts, block)
+                parts, size, block = [], 0, block + 1
         if size:
-            yield flush(parts)
+            yield flush(parts, block)
 
     return arrow_pass(docs.select(F.xxhash64(text).alias("hash")), step,
                       "block bigint, owner int, n int, bits int, code binary, twice binary")
