@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -37,8 +38,22 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system; a reused worker would otherwise hold its largest task's until it ends."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_pass(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(step, schema)
+    def whole(batches):
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
 
 
 def batch(**columns) -> pa.RecordBatch:
