@@ -79,14 +79,26 @@ class Grams:
         return self.row_of[at]
 
     def bundle(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """One vector per text, the sum of its n-grams' vectors."""
-        grams = np.concatenate([g for g, _ in texts])
-        if len(self.known) + len(np.unique(grams)) > self.entries:
-            self.start()
-        rows = self.rows(grams)
-        counts = np.zeros((len(texts), len(self.vectors)), np.float32)
-        counts[np.repeat(np.arange(len(texts)), [len(g) for g, _ in texts]), rows] = np.concatenate([c for _, c in texts])
-        return counts @ self.vectors
+        """One vector per text, the sum of its n-grams' vectors.
+
+        More n-grams than the table holds are added up run by run, so that memory does not grow with a text. The sums are exact.
+        """
+        grams, at = np.unique(np.concatenate([g for g, _ in texts]), return_inverse=True)
+        text = np.repeat(np.arange(len(texts)), [len(g) for g, _ in texts])
+        times = np.concatenate([c for _, c in texts])
+        # Whole numbers below 2**24 are exact in the narrow type.
+        kind = np.float32 if times.sum() < 1 << 24 else np.float64
+        sums = np.zeros((len(texts), self.dimensions))
+        for first in range(0, len(grams), self.entries):
+            run = grams[first:first + self.entries]
+            if len(self.known) + len(run) > self.entries:
+                self.start()
+            rows = self.rows(run)
+            here = (at >= first) & (at < first + len(run))
+            counts = np.zeros((len(texts), len(self.vectors)), kind)
+            counts[text[here], rows[at[here] - first]] = times[here]
+            sums += counts @ self.vectors
+        return sums
 
 
 def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS) -> DataFrame:

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -27,6 +29,26 @@ def test_a_full_table_changes_nothing():
         assert (small.bundle([found]) == large.bundle([found])).all()
 
 
+def test_more_grams_than_the_table_holds_are_added_run_by_run():
+    small, large = language.Grams(64, entries=7), language.Grams(64)
+    texts = [small.of(t) for t in ("the cat sat on a mat, the cat sat", "un chien noir et un chat", "x")]
+    assert (small.bundle(texts) == large.bundle(texts)).all()
+    assert len(small.known) <= 7
+
+
+def test_memory_does_not_grow_with_a_text():
+    grams = language.Grams(256, entries=1000)
+    long = "".join(chr(0x4E00 + (i * 7919 + i // 20_000) % 20_000) for i in range(30_000))
+    found = grams.of(long)
+    assert len(found[0]) > 20_000
+    grams.bundle([grams.of("ab")])
+    tracemalloc.start()
+    grams.bundle([found])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(grams.vectors) <= 1000 and peak < 30e6
+
+
 def test_order_of_letters_counts():
     grams = language.Grams()
     a, b = (grams.bundle([grams.of(t)])[0] for t in ("abc", "cba"))
