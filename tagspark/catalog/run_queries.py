@@ -219,8 +219,7 @@ def results_history(spark, sf_dir):
     """Two appends to the history, the first without the newer columns, read as one."""
     path = fresh_path(spark, "history")
     rows = _history_rows(spark, sf_dir)
-    (rows.filter(F.col("write_ord") % 2 == 0).drop("description", "specs")
-     .write.partitionBy("run_id").parquet(path))
+    stores.append_results(rows.filter(F.col("write_ord") % 2 == 0).drop("description", "specs"), path)
     stores.put_results(rows.filter(F.col("write_ord") % 2 == 1), path)
     return stores.read_history(spark, path).select("run_id", "image_path", F.array_join("tags", "|").alias("tags"), "specs")
 

@@ -160,6 +160,25 @@ def test_history(spark, folder):
     assert "PartitionFilters: [isnotnull(run_id" in plan
 
 
+def test_history_of_many_runs_shares_files(spark, folder, monkeypatch):
+    monkeypatch.setattr(stores, "RUN_FOLDERS", 3)
+
+    def rows(runs, **given):
+        return spark.createDataFrame([result_row(run_id=f"r{i}", **given) for i in runs], stores.RESULT_ROWS)
+
+    path = f"{folder}/history"
+    stores.append_results(rows(range(40)).drop("description", "specs"), path)
+    stores.put_results(rows(range(20, 60), tags=["top"], created=dt.datetime(2026, 1, 2)), path)
+    assert not [name for name in os.listdir(path) if name.startswith("run_id=")]
+    stores.put_results(rows(range(3), tags=["last"], created=dt.datetime(2026, 1, 3)), path)
+    assert sorted(name for name in os.listdir(path) if name.startswith("run_id=")) == ["run_id=r0", "run_id=r1", "run_id=r2"]
+    got = {r["run_id"]: (r["tags"], r["specs"]) for r in stores.read_history(spark, path).collect()}
+    assert got == {f"r{i}": (["last"], "s") if i < 3 else (["colour"], None) if i < 20 else (["top"], "s") for i in range(60)}
+    one = stores.read_history(spark, path).filter("run_id = 'r30'")
+    assert [r["tags"] for r in one.collect()] == [["top"]]
+    assert "PushedFilters: [IsNotNull(run_id), EqualTo(run_id,r30)]" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_memory(spark, folder):
     none = ("", "", "", "")
     path = f"{folder}/memory"
