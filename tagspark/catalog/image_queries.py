@@ -26,23 +26,15 @@ files AS (
 
 
 def _folder(spark: SparkSession, sf_dir: str) -> str:
-    """Every supplier as an image file, two thirds of them named by a tag list; as many renames on the driver as there are suppliers."""
-    root = fresh_path(spark, "images")
+    """Every supplier as an image file, two thirds of them named by a tag list."""
     words = F.array(*[F.lit(w) for w in A.VOCABULARY])
     named = A.table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("k"), F.get(words, (F.col("s_suppkey") % len(A.VOCABULARY)).cast("int")).alias("one"),
         F.get(words, (F.col("s_nationkey") % len(A.VOCABULARY)).cast("int")).alias("two"), "s_nationkey")
     listed = F.when(F.col("k") % 3 == 0, "").otherwise(F.concat(F.lit(" ['"), "one", F.lit("', '"), "two", F.lit("']")))
-    named.select("k", F.concat("one", F.lit(" "), "two").alias("line")).write.partitionBy("k").option("extension", "jpg").csv(f"{root}-parts")
-    names = {r.k: r.name for r in named.select("k", F.concat(
-        F.lit("nation-"), F.col("s_nationkey").cast("string"), F.lit("/"), F.col("k").cast("string"), listed, F.lit(".jpg")).alias("name")).collect()}
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for nation in {n.split("/")[0] for n in names.values()}:
-        files.mkdirs(path(root, nation))
-    for k, name in names.items():
-        part = next(s.getPath() for s in files.listStatus(path(f"{root}-parts/k={k}")) if s.getPath().getName().endswith(".jpg"))
-        files.rename(part, path(root, name))
+    name = F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string"), F.lit("/"), F.col("k").cast("string"), listed, F.lit(".jpg"))
+    root = fresh_path(spark, "images")
+    images.write_files(named.select(name.alias("name"), F.concat("one", F.lit(" "), "two", F.lit("\n")).cast("binary").alias("content")), root)
     return root
 
 

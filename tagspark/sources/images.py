@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,9 @@ from tagspark.functions.text import basename
 from tagspark.session import written
 from tagspark.sources.memory_table import MemoryTable
 
+# This module travels to the executors with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Files or folders that are named to the reader one by one; of more of them a folder above is read.
 NAMED = 10_000
 MANIFEST = "key string, length bigint, modified timestamp, asked string, request string, created timestamp"
@@ -107,6 +115,34 @@ def _literal(uri: str) -> str:
     return "".join("\\" + c if c in "\\*?[]{}" else c for c in uri)
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Every row of `files` (name, content) as one file `root`/name, written by the task that holds the row.
+
+    Names are unique and may hold folders. `root` is a folder that all executors share, in a store that Arrow
+    reaches. A file gets its name when it is whole, so a task that runs twice does no harm.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(root)
+        waiting = f"{top}-parts/{uuid.uuid4().hex}"
+        store.create_dir(waiting)
+        made = set()
+        for rows in batches:
+            for name, content in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                folder = f"{top}/{name}".rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
+                with store.open_output_stream(f"{waiting}/file") as out:
+                    out.write(content)
+                store.move(f"{waiting}/file", f"{top}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int64())], ["files"])
+        store.delete_dir(waiting)
+
+    # Dealt out by number, as a task's time goes with its files and not with their bytes.
+    tasks = 2 * files.sparkSession.sparkContext.defaultParallelism
+    files.select("name", "content").repartition(tasks, "name").mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
 def list_images(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
     """SRC-1, SL-1: paths of every image under `root`, sorted; no limit when 0 or None."""
     paths = image_content(spark, root).select("path").orderBy("path")

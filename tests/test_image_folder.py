@@ -100,3 +100,23 @@ def test_the_same_keys_as_without_a_manifest(spark, root, folder):
     rows = lambda source, memory: sorted((r.path, r.key, r.tags) for r in tag_items(source, Echo, memory=memory, **options).rows.collect())
     assert rows(ImageFolder(spark, root), empty) == rows(items, empty)
     assert rows(ImageFolder(spark, root), None) == rows(items, None)
+
+
+def test_files_are_written_by_tasks(spark, folder):
+    rows = [(f"shop {i % 3}/{i} ['a', 'b'].jpg", f"image {i}\n".encode()) for i in range(50)] + [("top.jpg", b"")]
+    images.write_files(spark.createDataFrame(rows, "name string, content binary"), f"file://{folder}/made")
+    got = {os.path.relpath(os.path.join(d, n), f"{folder}/made"): open(os.path.join(d, n), "rb").read()
+           for d, _, names in os.walk(f"{folder}/made") for n in names}
+    assert got == dict(rows) and os.listdir(f"{folder}/made-parts") == []
+
+
+@pytest.mark.parametrize("query", ["image_payloads"])
+def test_folder_of_a_query_takes_one_row_to_the_driver(spark, folder, monkeypatch, query):
+    from tagspark.catalog import image_queries
+
+    spark.range(40).selectExpr("id AS s_suppkey", "CAST(id % 25 AS int) AS s_nationkey").write.parquet(f"{folder}/supplier.parquet")
+    taken, plain = [], type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: taken.append(rows := plain(self)) or rows)
+    result = getattr(image_queries, query)(spark, folder)
+    assert max((len(rows) for rows in taken), default=0) <= 1
+    assert plain(result)
