@@ -120,3 +120,14 @@ def test_folder_of_a_query_takes_one_row_to_the_driver(spark, folder, monkeypatc
     result = getattr(image_queries, query)(spark, folder)
     assert max((len(rows) for rows in taken), default=0) <= 1
     assert plain(result)
+
+
+def test_folder_leaves_no_folder_per_file(spark, folder):
+    from tagspark.catalog import image_queries
+
+    spark.range(10).selectExpr("id AS s_suppkey", "CAST(id % 25 AS int) AS s_nationkey").write.parquet(f"{folder}/supplier.parquet")
+    root = image_queries._folder(spark, folder)
+    assert os.listdir(f"{root}-parts") == []
+    # A second run over what was written: the manifest and the memory hold every file as it is.
+    rows = image_queries.tagging_unchanged(spark, folder).collect()
+    assert len(rows) == 10 and all(r.cached and r.attempts == 0 for r in rows)
