@@ -110,7 +110,7 @@ def test_files_are_written_by_tasks(spark, folder):
     assert got == dict(rows) and os.listdir(f"{folder}/made-parts") == []
 
 
-@pytest.mark.parametrize("query", ["image_payloads", "image_listing"])
+@pytest.mark.parametrize("query", ["image_payloads", "image_listing", "labelled_sample"])
 def test_folder_of_a_query_takes_one_row_to_the_driver(spark, folder, monkeypatch, query):
     from tagspark.catalog import image_queries
 
