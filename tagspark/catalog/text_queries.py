@@ -53,7 +53,7 @@ firsts AS (SELECT item_id, tag, arg_min(why, i) AS why FROM every GROUP BY item_
 
 @query(sql(TAGS_SQL + "SELECT item_id, len(tags) AS n, array_to_string(tags, '|') AS tags FROM read", "answers"))
 def parse_answers(spark, sf_dir):
-    read = parse_all(A.answers(spark, sf_dir), A.VOCABULARY)
+    read = parse_all(A.answers(spark, sf_dir), A.VOCABULARY, fields=["tags"])
     return read.select("item_id", F.size("prediction.tags").cast("bigint").alias("n"),
                        F.array_join("prediction.tags", "|").alias("tags"))
 

@@ -57,9 +57,11 @@ def clean_reason(text: Column, chars: int | None = None) -> Column:
 
 def clean_detail(text: Column, chars: int | None = None) -> Column:
     """S-22: a detail without emphasis marks, whole or cut to `chars`; NULL when it says there is none."""
-    value = strip(F.trim(strip(text), F.lit("*")))
-    nothing = one_of(F.rtrim(F.lower(value), F.lit(".")), fixed.NOTHING_WORDS)
-    return F.when(~nothing, _cut(value, chars))
+    def stated(value: Column) -> Column:
+        nothing = one_of(F.rtrim(F.lower(value), F.lit(".")), fixed.NOTHING_WORDS)
+        return F.when(~nothing, _cut(value, chars))
+
+    return let(strip(F.trim(strip(text), F.lit("*"))), stated)
 
 
 def _first_per_tag(entries: Column) -> Column:
@@ -107,12 +109,20 @@ def details(text: Column, chars: int | None = None) -> Column:
     return let(found, lambda stated: F.struct(*[first(stated, label) for label in fixed.DETAIL_LABELS]))
 
 
-def prediction(text: Column, vocabulary: Sequence[str]) -> Column:
-    """A whole answer as one struct; what is missing is blank, never an error."""
-    return let(details(text), lambda facts: F.struct(
-        tag_array(text).alias("tags"),
-        reasons(text, vocabulary).alias("reasons"),
-        blank(facts["category"]).alias("category"),
-        blank(facts["model"]).alias("product"),
-        blank(facts["description"]).alias("description"),
-        blank(facts["specs"]).alias("specs")))
+FIELDS = ("tags", "reasons", "category", "product", "description", "specs")
+
+
+def prediction(text: Column, vocabulary: Sequence[str], fields: Sequence[str] = FIELDS) -> Column:
+    """A whole answer as one struct; what is missing is blank, never an error.
+
+    Only the `fields` named are worked out. Spark does not drop them itself
+    where a reader uses the struct more than once.
+    """
+    stated = {"category": "category", "product": "model", "description": "description", "specs": "specs"}
+
+    def whole(facts: Column | None) -> Column:
+        made = {"tags": lambda: tag_array(text), "reasons": lambda: reasons(text, vocabulary),
+                **{name: lambda label=label: blank(facts[label]) for name, label in stated.items()}}
+        return F.struct(*[made[f]().alias(f) for f in fields])
+
+    return let(details(text), whole) if set(fields) & set(stated) else whole(None)

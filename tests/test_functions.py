@@ -246,3 +246,24 @@ def test_run_id(spark):
 
 def test_rules_only_name_vocabulary_terms():
     assert set(fixed.EVIDENCE_RULES) <= set(allowed_tags())
+
+
+def test_prediction_of_some_fields(spark):
+    from tagspark.functions.answers import FIELDS, prediction
+
+    df = spark.createDataFrame([("colour - red: warm\nModel: X1.\n[\"colour\", \"red\"]",), (None,)], "text string")
+    whole = df.select(prediction(F.col("text"), ["colour", "red"]).alias("p")).select("p.*")
+    assert whole.columns == list(FIELDS)
+    for fields in (["tags"], ["specs", "product"], ["reasons", "tags"]):
+        some = df.select(prediction(F.col("text"), ["colour", "red"], fields).alias("p")).select("p.*")
+        assert some.columns == fields and some.collect() == whole.select(*fields).collect()
+
+
+def test_tags_alone_read_no_lines(spark, folder):
+    from tagspark.catalog.text_queries import parse_answers
+
+    for name, columns in (("part", "1L AS p_partkey, 'red bolt' AS p_name, 'B' AS p_brand, 'SMALL' AS p_type"),
+                          ("conversations", "1L AS conv_id, 1L AS turn, 'assistant' AS role, 'none' AS text")):
+        spark.sql(f"SELECT {columns}").write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    plan = parse_answers(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "category|model" not in plan and "split(" not in plan.replace("split(p_name", "")
