@@ -108,7 +108,7 @@ def first_keywords(spark, sf_dir):
              .unionByName(part.select(F.lower("p_type").alias("key"), F.col("p_partkey").alias("ord")))
              .groupBy("key").agg(F.min("ord").alias("ord")))
     docs = A.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("query"))
-    return keywords.first_keyword(docs, words).select("doc_id", "key")
+    return keywords.first_keyword(docs, words, keep=["doc_id"])
 
 
 @query(f"""

@@ -56,8 +56,14 @@ def _pass(df: DataFrame, columns: Sequence[str], text: Column, work, added: str)
     """`df` as `columns` and what `work` makes of each value of `text`."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            values = [work(t) for t in rows.column(len(columns)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(values, kind)], [*columns, name])
+            # One text at a time, and the columns that stay are copied: a batch lies in one piece of
+            # memory, which is free again before the next batch comes.
+            values = [work(t.as_py()) for t in rows.column(len(columns))]
+            whole = pa.array(range(rows.num_rows), pa.int32())
+            kept = [c.take(whole) for c in rows.columns[:-1]]
+            del rows
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(values, kind)], [*columns, name])
 
     name, sql_type = added.split(" ", 1)
     kind = {"int": pa.int32(), "array<int>": pa.list_(pa.int32())}[sql_type]
@@ -65,9 +71,11 @@ def _pass(df: DataFrame, columns: Sequence[str], text: Column, work, added: str)
     return df.select(*columns, text.alias("_text")).mapInArrow(step, f"{schema}, {added}")
 
 
-def first_keyword(texts: DataFrame, keywords: DataFrame, text: str = "query", word: str = "key", order: str = "ord") -> DataFrame:
+def first_keyword(texts: DataFrame, keywords: DataFrame, text: str = "query", word: str = "key", order: str = "ord",
+                  keep: Sequence[str] | None = None) -> DataFrame:
     """The texts with `key`, the keyword of least `order` that the lower-cased text holds (ties: the lesser word), or NULL.
 
+    With `keep` only these columns of the texts are returned, and no others travel through Python.
     The empty keyword is part of every text but a NULL one. Rows of `keywords`
     without a word or an order are left out; of a repeated word the least order counts.
     """
@@ -83,9 +91,10 @@ def first_keyword(texts: DataFrame, keywords: DataFrame, text: str = "query", wo
         best = min((v for _, (v, _) in _matches(shared, t)), default=empty)
         return min(best, empty) if min(best, empty) < len(words) else None
 
-    ranked = _pass(texts, texts.columns, F.lower(F.col(text)), least, "_rank int")
+    keep = texts.columns if keep is None else list(keep)
+    ranked = _pass(texts, keep, F.lower(F.col(text)), least, "_rank int")
     names = keywords.sparkSession.createDataFrame(list(enumerate(words)), f"_rank int, `{word}` string")
-    return ranked.join(names, "_rank", "left").select(*texts.columns, word)
+    return ranked.join(names, "_rank", "left").select(*keep, word)
 
 
 def rules_met(texts: DataFrame, rules: Sequence[Sequence[str]], text: str = "text") -> DataFrame:

@@ -68,3 +68,13 @@ def test_rules_at_the_start_of_a_word(spark, text):
                                  "entity string, title string, snippet string")
     tags = lambda df: sorted((r.entity, r.tags) for r in df.collect())
     assert tags(evidence.tags_by_keywords(rows, rules=rules)) == tags(evidence.tags_by_entity(rows, rules=rules))
+
+
+def test_only_kept_columns_travel(spark, monkeypatch):
+    given, plain = [], keywords._pass
+    monkeypatch.setattr(keywords, "_pass", lambda df, columns, *rest: given.append(list(columns)) or plain(df, columns, *rest))
+    texts = spark.createDataFrame([(1, "a red bolt", "x"), (2, None, "y"), (3, "nothing", None)], "id int, query string, more string")
+    words = spark.createDataFrame([("bolt", 2), ("red", 1)], "key string, ord int")
+    some = keywords.first_keyword(texts, words, keep=["more", "id"])
+    assert given == [["more", "id"]] and some.columns == ["more", "id", "key"]
+    assert sorted(some.collect(), key=lambda r: r.id) == [("x", 1, "red"), ("y", 2, None), (None, 3, None)]
