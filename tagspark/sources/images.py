@@ -143,9 +143,17 @@ def write_files(files: DataFrame, root: str) -> None:
     files.select("name", "content").repartition(tasks, "name").mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
 
 
+def _few_tasks(named: DataFrame) -> DataFrame:
+    """Rows that name files and hold none of their bytes, in at most four tasks a core.
+
+    The reader counts every file as at least 4 MB, so a folder of small ones makes a task of 32.
+    """
+    return named.coalesce(4 * named.sparkSession.sparkContext.defaultParallelism)
+
+
 def list_images(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
     """SRC-1, SL-1: paths of every image under `root`, sorted; no limit when 0 or None."""
-    paths = image_content(spark, root).select("path").orderBy("path")
+    paths = _few_tasks(image_content(spark, root).select("path")).orderBy("path")
     return paths.limit(limit) if limit else paths
 
 

@@ -2,6 +2,7 @@
 
 import os
 import sys
+import uuid
 
 import pytest
 from pyspark import cloudpickle
@@ -131,3 +132,33 @@ def test_folder_leaves_no_folder_per_file(spark, folder):
     # A second run over what was written: the manifest and the memory hold every file as it is.
     rows = image_queries.tagging_unchanged(spark, folder).collect()
     assert len(rows) == 10 and all(r.cached and r.attempts == 0 for r in rows)
+
+
+@pytest.fixture
+def tasks_of(spark):
+    """The most tasks that a stage of an action had, every file being as large as a task may read."""
+    def most(action):
+        group = f"tasks-{uuid.uuid4().hex}"
+        spark.sparkContext.setJobGroup(group, group)
+        action()
+        seen = spark.sparkContext.statusTracker()
+        stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(j).stageIds]
+        return max(s.numTasks for s in stages if s)
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    yield most
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.fixture
+def many(folder):
+    for i in range(60):
+        put(folder, f"many/{i % 3}/{i:02} ['red'].jpg", b"x")
+    return f"{folder}/many"
+
+
+def test_images_are_listed_in_few_tasks(spark, many, tasks_of):
+    found = []
+    assert tasks_of(lambda: found.extend(images.list_images(spark, many).collect())) <= 16
+    assert len({r.path for r in found}) == 60 and found == sorted(found)
