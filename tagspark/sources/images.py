@@ -65,8 +65,8 @@ class ImageFolder:
     def listing(self) -> DataFrame:
         """SRC-1: path, uri, length, modified of every image; no content is read."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root)
-        return (files.select(_plain(F.col("path")).alias("path"), F.col("path").alias("uri"), "length",
-                             F.col("modificationTime").alias("modified")).filter(_is_image(F.col("path"))))
+        return _few_tasks(files.select(_plain(F.col("path")).alias("path"), F.col("path").alias("uri"), "length",
+                                       F.col("modificationTime").alias("modified")).filter(_is_image(F.col("path"))))
 
     def content(self, wanted: DataFrame) -> DataFrame:
         """SRC-2: path and bytes of the images whose `path` and `uri` are in `wanted`, opening no other files where it can be helped.

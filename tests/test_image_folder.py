@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tagspark.plans.tagging_job import tag_items
+from tagspark.session import written
 from tagspark.sources import images
 from tagspark.sources.images import MANIFEST, ImageFolder
 from tagspark.sources.memory_table import MemoryTable
@@ -162,3 +163,9 @@ def test_images_are_listed_in_few_tasks(spark, many, tasks_of):
     found = []
     assert tasks_of(lambda: found.extend(images.list_images(spark, many).collect())) <= 16
     assert len({r.path for r in found}) == 60 and found == sorted(found)
+
+
+def test_a_folder_is_written_down_in_few_files(spark, many, tasks_of):
+    listing = ImageFolder(spark, many).listing()
+    assert tasks_of(lambda: written(listing, "listing")) <= 16
+    assert listing.count() == 60
