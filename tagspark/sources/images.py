@@ -159,7 +159,7 @@ def list_images(spark: SparkSession, root: str, limit: int | None = None) -> Dat
 
 def labelled_images(spark: SparkSession, root: str, sample: int | None = None) -> DataFrame:
     """SRC-4, SL-2: images whose name is a tag list, with those tags as `truth`."""
-    rows = (image_content(spark, root).select("path", tags_from_name(F.col("path")).alias("truth"))
+    rows = (_few_tasks(image_content(spark, root).select("path")).select("path", tags_from_name(F.col("path")).alias("truth"))
             .filter(F.size("truth") > 0).orderBy("path"))
     return rows.limit(sample) if sample else rows
 

@@ -169,3 +169,9 @@ def test_a_folder_is_written_down_in_few_files(spark, many, tasks_of):
     listing = ImageFolder(spark, many).listing()
     assert tasks_of(lambda: written(listing, "listing")) <= 16
     assert listing.count() == 60
+
+
+def test_labelled_images_are_read_off_in_few_tasks(spark, many, tasks_of):
+    found = []
+    assert tasks_of(lambda: found.extend(images.labelled_images(spark, many, sample=50).collect())) <= 16
+    assert len(found) == 50 and {tuple(r.truth) for r in found} == {("red",)}
