@@ -30,6 +30,8 @@ NO_TAGS = "array<string>"
 # Requests of a look (a path, a context and a feedback each) that are handed to
 # every task; with more of them the items asked about are shuffled instead.
 BROADCAST_REQUESTS = 200_000
+# Items of one partition that are asked about one after the other whatever the other cores do.
+IN_A_ROW = 1_000
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,13 @@ def _no_tags() -> Column:
     return F.array().cast(NO_TAGS)
 
 
+def _uneven(items: DataFrame) -> bool:
+    """Whether a partition of `items` holds more than twice a core's share of them; no content is read for that."""
+    sizes = items.select(F.spark_partition_id().alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    return found["most"] > max(IN_A_ROW, 2 * found["n"] / items.sparkSession.sparkContext.defaultParallelism)
+
+
 def _read(answers: DataFrame, vocabulary: Sequence[str], proposed: DataFrame | None) -> DataFrame:
     """Answers as validated tags, with reasons, details and whether they look weak.
 
@@ -102,7 +111,8 @@ def tag_items(items: DataFrame | ImageFolder, scorer: Callable[[], Any], *, mode
     error. A memory table is read only in the buckets that the requests fall into. Of the requests in a `quarantine` (failures of
     earlier runs) only those whose last failure was transient are asked; the
     others keep their error. With `ask_again` a transient failure of one look is
-    asked again in the next. As many requests run side by side as the items have partitions. Every answer is written to the shared folder
+    asked again in the next. As many requests run side by side as the items have partitions; items that lie in a few large
+    ones are dealt out over all cores first. Every answer is written to the shared folder
     before it is used, so no later step asks the scorer again.
     """
     vocabulary = allowed_tags() if vocabulary is None else list(vocabulary)
@@ -113,6 +123,10 @@ def tag_items(items: DataFrame | ImageFolder, scorer: Callable[[], Any], *, mode
     context = F.coalesce(told, filled(context_from_path(F.col("path"), known_folders)))
     kept = ["path", "uri", "length", "modified"] if folder else ["path", "content"]
     source = listed.select(*kept, context.alias("context"))
+    uneven = folder is None and _uneven(listed)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "path") if uneven else rows
 
     if memory is None:
         requests = source.select("path", "context", F.col("path").alias("key"))
@@ -152,20 +166,21 @@ def tag_items(items: DataFrame | ImageFolder, scorer: Callable[[], Any], *, mode
         proposals(requests, corpus, rules, brand), "proposals")
 
     def look(todo: DataFrame, attempt: int) -> DataFrame:
-        # Without a memory the first look is at everything: no join, no shuffle
-        # of the images. Otherwise images are picked where they lie. Only with
+        # Without a memory the first look is at everything: no join, and no shuffle
+        # of the images unless they are to be dealt out. Otherwise images are picked where they lie. Only with
         # very many requests they move, and then only those asked about: a
         # filter of fixed size keeps the others out of the shuffle.
         if folder is not None:
             wanted = todo.join(source.select("path", "uri"), "path")
             sent = folder.content(wanted).join(todo, "path")
         elif memory is None and attempt == 1 and held is None:
-            sent = source.withColumn("key", F.col("path")).withColumn("feedback", F.lit(None).cast("string"))
+            sent = dealt(listed).select(*kept, context.alias("context")).withColumn("key", F.col("path")).withColumn("feedback", F.lit(None).cast("string"))
         elif todo.count() <= BROADCAST_REQUESTS:
-            sent = source.drop("context").join(F.broadcast(todo), "path")
+            sent = dealt(source.drop("context").join(F.broadcast(todo), "path"))
         else:
             asked = slot_filter(todo, F.xxhash64("path"))
-            sent = maybe_in(source.drop("context"), F.xxhash64("path"), asked).filter("maybe").drop("maybe").join(todo, "path")
+            sent = maybe_in(source.drop("context"), F.xxhash64("path"), asked).filter("maybe").drop("maybe")
+            sent = dealt(sent.join(todo, "path"))
         sent = sent.select(
             "path", "key", "context", "feedback",
             base64_text(F.col("content")).alias("content_b64"), media_type(F.col("content")).alias("media_type"))

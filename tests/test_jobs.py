@@ -219,6 +219,18 @@ def test_images_do_not_move_and_many_requests_move_only_what_is_asked(spark, mon
         assert all("BroadcastExchange" in p and "Filter" in p for p in plans)
 
 
+@pytest.mark.parametrize("parts, remembers, files", [(1, False, 8), (1, True, 8), (4, False, 4)])
+def test_items_in_few_partitions_are_asked_about_on_all_cores(spark, monkeypatch, parts, remembers, files):
+    from tagspark.plans import tagging_job
+    monkeypatch.setattr(tagging_job, "IN_A_ROW", 10, raising=False)
+    given = items(spark, *[f"item {i}" for i in range(400)]).coalesce(parts)
+    run = tag_items(given, reasoning(["velvet", "harbour"], ["top"]), model_id="m", memory=remembering(spark) if remembers else None)
+    asked = run.calls.groupBy("attempts", F.input_file_name().alias("file")).count().groupBy("attempts").agg(
+        F.count("file").alias("files"), F.sum("count").alias("n")).collect()
+    assert {r["attempts"]: (r["files"], r["n"]) for r in asked} == {1: (files, 400), 2: (files, 400)}
+    assert {tuple(r["tags"]) for r in run.rows.collect()} == {("top",)}
+
+
 def test_a_repeated_key_of_the_memory_counts_once(spark):
     scorer = plain(["top"])
     left = tagged(spark, scorer, "x", memory=remembering(spark)).memory_rows
