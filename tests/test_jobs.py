@@ -3,7 +3,7 @@
 import sys
 
 import pytest
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import functions as F
 
 from tagspark.operators import consistency, runs
@@ -193,6 +193,23 @@ def test_stability_draws_other_examples(spark):
     assert consistency.summary(compared).first()["mean_agreement"] < 1.0
 
 
+class Placed:
+    """Names the task that asks."""
+
+    def predict_tags(self, image_b64, media_type, context=None, examples=None):
+        return [f"task {TaskContext.get().partitionId()}"]
+
+
+def test_both_runs_of_a_stability_job_ask_on_all_cores(spark, monkeypatch):
+    from tagspark.plans import tagging_job
+    monkeypatch.setattr(tagging_job, "IN_A_ROW", 10, raising=False)
+    given = items(spark, *[f"item {i}" for i in range(400)]).coalesce(1)
+    options = dict(model_id="m", vocabulary=[f"task {i}" for i in range(20)], highlight_family=["task 0"], passes=1)
+    compared = reports.stability(tag_items(given, Placed, **options), given, Placed, **options)
+    asked = compared.agg(F.count_distinct("first"), F.count_distinct("second"), F.count("path")).first()
+    assert tuple(asked) == (8, 8, 400)
+
+
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_images_do_not_move_and_many_requests_move_only_what_is_asked(spark, monkeypatch, most):
     from tagspark.plans import tagging_job
