@@ -30,7 +30,7 @@ def path_parts(path: Column) -> Column:
             ).otherwise(F.concat(kept, F.array(p))))
 
     return let(
-        F.filter(F.split(path, "/"), lambda p: ~p.isin("", ".")),
+        F.array_remove(F.array_remove(F.split(path, "/"), ""), "."),
         lambda named: F.when(F.array_contains(named, ".."), resolved(named)).otherwise(named))
 
 
@@ -40,15 +40,15 @@ def category_and_model(path: Column, known: Sequence[str] = tuple(fixed.KNOWN_CA
     The two are found separately: when the last known folder holds the file
     itself, the model named under an earlier known folder stands.
     """
-    def read(folders: Column) -> Column:
-        places = F.filter(
-            F.transform(folders, lambda p, i: F.when(one_of(F.lower(p), known), i)), lambda i: i.isNotNull())
-        return let(F.struct(places.alias("places"), F.size(folders).alias("n")), lambda at: F.struct(
-            F.get(folders, F.array_max(at["places"])).alias("category"),
-            F.get(folders, F.array_max(F.filter(at["places"], lambda i: i + 1 < at["n"])) + 1).alias("model")))
-
-    return let(
-        let(path_parts(path), lambda parts: F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))), read)
+    def read(parts: Column) -> Column:
+        # The place of each known folder, NULL for any other part; a greatest place passes over those.
+        own = F.size(parts) - 1
+        places = F.transform(parts, lambda p, i: F.when((i < own) & one_of(F.lower(p), known), i))
+        return let(places, lambda at: F.struct(
+            F.get(parts, F.array_max(at)).alias("category"),
+            F.get(parts, F.array_max(F.filter(at, lambda i: i + 1 < own)) + 1).alias("model")))
+
+    return let(path_parts(path), read)
 
 
 def describe(category: Column, model: Column) -> Column:

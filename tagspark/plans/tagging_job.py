@@ -30,8 +30,10 @@ NO_TAGS = "array<string>"
 # Requests of a look (a path, a context and a feedback each) that are handed to
 # every task; with more of them the items asked about are shuffled instead.
 BROADCAST_REQUESTS = 200_000
-# Items of one partition that are asked about one after the other whatever the other cores do.
+# Items of one partition that are asked about one after the other whatever the other cores do,
+# and how many times a core's share of the items one partition may hold.
 IN_A_ROW = 1_000
+MOST_SHARES = 1.25
 
 
 @dataclass(frozen=True)
@@ -57,10 +59,10 @@ def _no_tags() -> Column:
 
 
 def _uneven(items: DataFrame) -> bool:
-    """Whether a partition of `items` holds more than twice a core's share of them; no content is read for that."""
+    """Whether a partition of `items` holds well over a core's share of them; no content is read for that."""
     sizes = items.select(F.spark_partition_id().alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     found = sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    return found["most"] > max(IN_A_ROW, 2 * found["n"] / items.sparkSession.sparkContext.defaultParallelism)
+    return found["most"] > max(IN_A_ROW, MOST_SHARES * found["n"] / items.sparkSession.sparkContext.defaultParallelism)
 
 
 def _read(answers: DataFrame, vocabulary: Sequence[str], proposed: DataFrame | None) -> DataFrame:
@@ -68,8 +70,8 @@ def _read(answers: DataFrame, vocabulary: Sequence[str], proposed: DataFrame | N
 
     A text is parsed here, on the JVM; other fields count where there is none.
     """
-    read = prediction(F.col("text"), vocabulary)
     by_text = F.col("text").isNotNull()
+    read = F.when(by_text, prediction(F.col("text"), vocabulary))
     fields = answers.select(
         "path", "key", "context", "attempts", "error", "status", read.alias("_read"), by_text.alias("_by_text"),
         "tags", "reasons", "category", "product", "description", "specs")

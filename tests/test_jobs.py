@@ -248,6 +248,33 @@ def test_items_in_few_partitions_are_asked_about_on_all_cores(spark, monkeypatch
     assert {tuple(r["tags"]) for r in run.rows.collect()} == {("top",)}
 
 
+def test_items_in_fewer_partitions_than_cores_are_dealt_out(spark, monkeypatch):
+    from tagspark.plans import tagging_job
+    monkeypatch.setattr(tagging_job, "IN_A_ROW", 10, raising=False)
+    given = items(spark, *[f"item {i}" for i in range(400)]).coalesce(3)
+    run = tag_items(given, plain(["top"]), model_id="m", passes=1)
+    assert run.calls.select(F.input_file_name().alias("file")).distinct().count() == 8
+
+
+class Counting:
+    """Counts beyond what a float holds, some of them missing, as numbers and lists of several kinds."""
+
+    def predict(self, image_b64, media_type, context=None, examples=None, feedback=None):
+        n = int(context.split()[-1])
+        return {"tags": (f"t{n}",), "input_tokens": None if n == 0 else 2 ** 53 + n, "output_tokens": float(n), "retries": "3",
+                "reasons": {"t1": None}}
+
+
+def test_fields_of_answers_come_back_whole(spark):
+    from tagspark.plans.scoring import ask
+    sent = spark.createDataFrame([(f"p{i}", f"k{i}", "", "image/png", f"n {i}", None) for i in range(3)],
+                                 "path string, key string, content_b64 string, media_type string, context string, feedback string")
+    got = ask(sent.coalesce(1), Counting).orderBy("path").collect()
+    assert [(r["path"], r["key"], r["tags"], r["input_tokens"], r["output_tokens"], r["retries"]) for r in got] == [
+        (f"p{i}", f"k{i}", [f"t{i}"], None if i == 0 else 2 ** 53 + i, i, 3) for i in range(3)]
+    assert all(r["reasons"] == {"t1": None} and r["error"] is None and r["status"] is None for r in got)
+
+
 def test_a_repeated_key_of_the_memory_counts_once(spark):
     scorer = plain(["top"])
     left = tagged(spark, scorer, "x", memory=remembering(spark)).memory_rows
